@@ -5,10 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lamina.llm.chat import digests, format_chats
 from lamina.llm.common import read
 from lamina.llm.exact import exact_duplicates
+from lamina.llm.quality import held_out, train, with_quality
 from lamina.llm.sharding import shard_documents
+from lamina.llm.simhash import near_duplicates
+
+
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return digests(format_chats(rows.unionByName(control)))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = with_quality(documents, train(documents, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +41,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash_near_dedup": op1_simhash_near_dedup,
+        "op2_chat_formatting": op2_chat_formatting,
+        "op3_quality_classifier": op3_quality_classifier,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_sharding": op9_sharding,
     }
@@ -31,6 +54,18 @@ NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_chat_formatting": """
+            WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                       UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+            o AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS k FROM c),
+            s AS (SELECT *, regexp_replace(text, '([<\\[])(\\\\*)(<ROLE>>|</ROLE>>|<SYS>>|</SYS>>|<END>>|/INST\\]|INST\\]|/s>|s>)', '\\1\\2+\\3', 'g') AS marked FROM o)
+            SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+                   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+                   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+                   sum(length(marked) + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 25 + length(role) END)::BIGINT AS formatted_chars,
+                   coalesce(min('turn ' || k || ': ' || role || ' may not stand here') FILTER (k = bad), CASE WHEN max(bad) IS NULL AND max_by(role, k) <> 'assistant' THEN 'it ends after ' || max_by(role, k) END) AS problem
+            FROM (SELECT *, min(k) FILTER (CASE WHEN before IS NULL THEN role NOT IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role <> 'user' WHEN before = 'user' THEN role <> 'assistant' ELSE true END) OVER (PARTITION BY conv_id) AS bad FROM s)
+            GROUP BY conv_id""",
         "op8_exact_dedup": f"""
             WITH t AS (SELECT doc_id, {NORMAL} AS t FROM documents)
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
