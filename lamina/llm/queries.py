@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.llm import langid, pieces, toxicity
 from lamina.llm.chat import digests, format_chats
-from lamina.llm.common import read
+from lamina.llm.common import WORD, read
+from lamina.llm.decontam import contaminated
 from lamina.llm.exact import exact_duplicates
 from lamina.llm.quality import held_out, train, with_quality
 from lamina.llm.sharding import shard_documents
 from lamina.llm.simhash import near_duplicates
+from lamina.llm.suffixes import repeated_passages
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +34,27 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.Vocabulary.load()
+    back = pieces.decode(pieces.encode(read(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out(F.col("doc_id")).alias("held_out"))
+    model = langid.train(documents.where("NOT held_out"))
+    found = langid.with_language(documents.select("doc_id", "held_out", "text"), *model)
+    return found.select("doc_id", "held_out", "language.lang_pred", "language.score")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -39,13 +63,24 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.with_toxicity(documents, toxicity.train(documents, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op2_chat_formatting": op2_chat_formatting,
         "op3_quality_classifier": op3_quality_classifier,
+        "op4_suffix_array_dedup": op4_suffix_array_dedup,
+        "op5_sentencepiece": op5_sentencepiece,
+        "op6_language_id": op6_language_id,
+        "op7_decontamination": op7_decontamination,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_sharding": op9_sharding,
+        "op10_toxicity": op10_toxicity,
     }
 
 
@@ -66,6 +101,15 @@ def oracle_sql() -> dict[str, str]:
                    coalesce(min('turn ' || k || ': ' || role || ' may not stand here') FILTER (k = bad), CASE WHEN max(bad) IS NULL AND max_by(role, k) <> 'assistant' THEN 'it ends after ' || max_by(role, k) END) AS problem
             FROM (SELECT *, min(k) FILTER (CASE WHEN before IS NULL THEN role NOT IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role <> 'user' WHEN before = 'user' THEN role <> 'assistant' ELSE true END) OVER (PARTITION BY conv_id) AS bad FROM s)
             GROUP BY conv_id""",
+        "op7_decontamination": f"""
+            WITH d AS (SELECT doc_id, regexp_extract_all({NORMAL}, '{WORD}') AS w FROM documents),
+            i AS (SELECT item_id, regexp_extract_all({NORMAL}, '{WORD}') AS w FROM benchmark),
+            ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda j: array_to_string(w[j:j + 4], ' '))) AS s FROM d),
+            s AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda j: array_to_string(w[j:j + 4], ' '))) AS s FROM i),
+            n AS (SELECT item_id, count(*) AS item_shingles FROM s GROUP BY item_id)
+            SELECT doc_id, item_id, item_shingles, count(*) AS shared
+            FROM ds JOIN s USING (s) JOIN n USING (item_id)
+            GROUP BY doc_id, item_id, item_shingles HAVING 5 * count(*) >= 4 * item_shingles""",
         "op8_exact_dedup": f"""
             WITH t AS (SELECT doc_id, {NORMAL} AS t FROM documents)
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
