@@ -13,7 +13,7 @@ are then verified by exact containment, on the shingles as texts.
 Words are what stands between blanks (0x20, 0x09-0x0D), A-Z lower-cased. An item of fewer words
 than a shingle is one shingle of its own length, looked up among the documents' shingles of that
 length. Items without words match nothing, null texts are empty. Repeated documents and items are
-results like any other. Documents don't move: signatures go to them if Spark's broadcast threshold
+results like any other; rows without doc_id cannot be reported, and keep_clean() keeps them. Documents don't move: signatures go to them if Spark's broadcast threshold
 allows, else the two meet in a join whose hot shingles adaptive execution splits.
 """
 

@@ -51,30 +51,36 @@ def recipes(documents: DataFrame, bits: int = 64) -> DataFrame:
     return texts.select("doc_id", F.transform(chunks(F.col("t")), identifier).alias("recipe"), F.sha2("t", 256).alias("text_sha256"))
 
 
+def members(documents: DataFrame, bits: int = 64) -> DataFrame:
+    """(doc_id, text_sha256, times, keep_id, group_size), a row for each different doc_id of each text."""
+    own = recipes(documents, bits).groupBy("recipe", "doc_id").agg(F.count("*").alias("times"), F.first("text_sha256").alias("text_sha256"))
+    own = materialise(own, "recipes")
+    groups = own.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size")).where("group_size > 1")
+    groups = materialise(groups, "groups")
+    alone = F.lit(1).cast("long")
+    return own.join(groups, "recipe", "left").select("doc_id", "text_sha256", "times", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", alone).alias("group_size"))
+
+
 def exact_duplicates(documents: DataFrame, bits: int = 64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z only; of equal texts the row with the
-    largest doc_id stays. A group of any size is a count and a maximum that tasks pre-aggregate; the
-    way back to its members is a join whose hot keys adaptive execution splits.
+    largest doc_id stays (one of them, if rows repeat; a null doc_id is smaller than any). A group of
+    any size is a count and a maximum that tasks pre-aggregate; the way back to its members is a
+    join whose hot keys adaptive execution splits.
     """
-    own = recipes(documents, bits).groupBy("recipe", "doc_id").agg(F.count("*").alias("times"), F.first("text_sha256").alias("text_sha256"))
-    own = materialise(own, "recipes")
-    groups = own.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size")).where("group_size > 1")
-    groups = materialise(groups, "groups")
-    rows = own.join(groups, "recipe", "left").select(
-        "doc_id",
-        F.coalesce("keep_id", "doc_id").alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        "times",
-        "text_sha256",
-    )
-    one = rows.where("times = 1").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    rows = members(documents, bits)
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    one = rows.where("times = 1").select("doc_id", "keep_id", "group_size", stays.alias("kept"), "text_sha256")
     again = rows.where("times > 1").select("*", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("i"))
-    return one.unionAll(again.select("doc_id", "keep_id", "group_size", ((F.col("doc_id") == F.col("keep_id")) & (F.col("i") == 1)).alias("kept"), "text_sha256"))
+    return one.unionAll(again.select("doc_id", "keep_id", "group_size", (stays & (F.col("i") == 1)).alias("kept"), "text_sha256"))
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns as they were; a repeated row stays once."""
-    ids = exact_duplicates(documents).where("kept").select("doc_id")
-    return documents.join(ids, "doc_id", "left_semi").select(documents.columns)
+    """The documents that stay, with their columns as they were; of repeated rows one stays."""
+    keys = materialise(members(documents).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "times"), "kept")
+    own = documents.withColumn("_text_sha", F.sha2(ascii_lower(F.col("text")), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha"))
+    once = own.join(keys.where("times = 1"), same, "left_semi")
+    again = own.join(keys.where("times > 1"), same, "left_semi").dropDuplicates(["doc_id", "_text_sha"])
+    return once.unionAll(again).select(documents.columns)

@@ -137,7 +137,7 @@ def _em(pi, p, doc, n, begin, total):
 
 
 def with_language(documents: DataFrame, langs: list[str], log_p: np.ndarray, column: str = "language") -> DataFrame:
-    """All rows and columns and a struct (lang_pred, score), from the text alone."""
+    """All rows and columns and a struct (lang_pred, score), from the text alone. An older column of that name is replaced."""
     names = [*langs, "und"]
     broadcast = documents.sparkSession.sparkContext.broadcast(log_p)  # languages x BUCKETS
 

@@ -182,7 +182,7 @@ def vector(text: Column) -> Column:
 
 
 def with_quality(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """All rows and columns and the score, from the text alone."""
+    """All rows and columns and the score, from the text alone. An older column of that name is replaced."""
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:

@@ -234,7 +234,8 @@ def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8
     Candidates are fingerprints within ``radius`` bits that share one of ``tables`` sampled masks;
     every link is then verified on the two documents' shingle digests. A similarity of 0.8 differs
     in about 10 of 64 bits, which 64 tables of 16 bits find with 98 % probability; from 0.9 up it
-    is over 99.9 %. A pair need not be linked directly: its group suffices.
+    is over 99.9 %. A pair need not be linked directly: its group suffices. Rows without doc_id are in
+    no group; if a doc_id has several texts, one of them (that with the largest digests) is compared.
     """
     own = materialise(documents.where("doc_id IS NOT NULL").select("doc_id", fingerprint_column(F.col("text"), words).alias("fp")), "fingerprints")
     nodes = own.select(F.col("doc_id").alias("id"), "fp").distinct()
@@ -247,7 +248,7 @@ def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = documents.join(wanted, "doc_id", "left_semi").select("doc_id", shingle_set(F.col("text")).alias("s"))
-    sets = materialise(sets.dropDuplicates(["doc_id"]), "sets")
+    sets = materialise(sets.groupBy("doc_id").agg(F.max("s").alias("s")), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - shared

@@ -247,7 +247,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
 
 
 def with_toxicity(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """All rows and columns and the score, from the text alone."""
+    """All rows and columns and the score, from the text alone. An older column of that name is replaced."""
     broadcast = documents.sparkSession.sparkContext.broadcast(model)  # a lexicon of LEXICON entries and 28 ** 3 numbers at most
 
     @F.arrow_udf("double")
