@@ -5,10 +5,11 @@ distinct word shingles. Items are short and documents long, so the two are not a
 MinHash signatures of whole documents miss items (an item of 33 shingles in a document of 2,000 has
 a Jaccard similarity of 0.016). The search is therefore one-sided: items are partitioned by their
 number n of shingles, each partition with its own signature length k, the least that cannot miss:
-an item keeps its k = n - ceil(containment * n) + 1 smallest shingle digests (its bottom-k MinHash),
-and as a document may lack n - ceil(containment * n) of them at most, at least one is in it. A
-document is a candidate for an item if any of its shingles has a digest of the signature. Candidates
-are then verified by exact containment, on the shingles as texts.
+an item keeps its k = n - ceil(containment * n) + t smallest shingle digests (its bottom-k MinHash),
+and as a document may lack n - ceil(containment * n) of them at most, at least t are in it. A
+document is a candidate for an item if t of its shingles have digests of the signature; t is HITS,
+or what the item has to have in all if that is less. Candidates are then verified by exact
+containment, on the shingles as texts.
 
 Words are what stands between blanks (0x20, 0x09-0x0D), A-Z lower-cased. An item of fewer words
 than a shingle is one shingle of its own length, looked up among the documents' shingles of that
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import ascii_lower, materialise
 
-WORDS, CONTAINMENT = 5, 0.8
+WORDS, CONTAINMENT, HITS = 5, 0.8, 4
 
 
 def word_array(text: Column) -> Column:
@@ -46,14 +47,15 @@ def joined(run: Column) -> Column:
 
 
 def item_shingles(benchmark: DataFrame, words: int = WORDS, containment: float = CONTAINMENT) -> DataFrame:
-    """(item_id, item, length, n, k, rank, digest, shingle): rank <= k is the item's signature. item_id and text together make an item."""
+    """(item_id, item, length, n, needed, t, k, rank, digest, shingle): rank <= k is the item's signature. item_id and text together make an item."""
     both = lambda run: F.struct(F.xxhash64(run).alias("digest"), joined(run).alias("shingle"))
     w = benchmark.select("item_id", word_array(F.col("text")).alias("w")).where("size(w) > 0").distinct()
     each = F.when(F.size("w") >= words, shingles(F.col("w"), words, both)).otherwise(F.array(both(F.col("w"))))
     w = w.select("item_id", F.xxhash64("w").alias("item"), F.least(F.size("w"), F.lit(words)).alias("length"), F.array_sort(F.array_distinct(each)).alias("s"))
-    missing = F.size("s") - F.ceil(F.size("s") * F.lit(containment).cast("decimal(9,6)"))
-    w = w.select("item_id", "item", "length", F.size("s").alias("n"), (missing + 1).cast("int").alias("k"), F.posexplode("s").alias("rank", "s"))
-    return w.select("item_id", "item", "length", "n", "k", (F.col("rank") + 1).alias("rank"), "s.digest", "s.shingle")
+    w = w.withColumn("n", F.size("s")).withColumn("needed", F.ceil(F.col("n") * F.lit(containment).cast("decimal(9,6)")).cast("int"))
+    w = w.withColumn("t", F.least("needed", F.lit(HITS))).withColumn("k", F.col("n") - F.col("needed") + F.col("t"))
+    w = w.select("item_id", "item", "length", "n", "needed", "t", "k", F.posexplode("s").alias("rank", "s"))
+    return w.select("item_id", "item", "length", "n", "needed", "t", "k", (F.col("rank") + 1).alias("rank"), "s.digest", "s.shingle")
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, words: int = WORDS, containment: float = CONTAINMENT) -> DataFrame:
@@ -67,15 +69,16 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, words: int = WORDS,
         every = F.concat(*[shingles(F.col("w"), n, of) for n in lengths]) if lengths else F.array().cast("array<string>")
         return rows.select("doc_id", F.xxhash64("w").alias("text_hash"), F.explode(every).alias(name))
 
-    signature = items.where("rank <= k").select("digest", "item_id", "item")
+    signature = items.where("rank <= k").select("digest", "item_id", "item", "t")
     hits = exploded(documents, F.xxhash64, "digest").join(signature.select("digest").distinct(), "digest", "left_semi").distinct()
-    found = materialise(hits.join(signature, "digest").select("doc_id", "text_hash", "item_id", "item").distinct(), "candidates")
+    found = hits.join(signature, "digest").groupBy("doc_id", "text_hash", "item_id", "item").agg(F.count("*").alias("hits"), F.first("t").alias("t"))
+    found = materialise(found.where("hits >= t").select("doc_id", "text_hash", "item_id", "item"), "candidates")
 
     # Exact containment of the candidates, on the shingles themselves.
     suspects = documents.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
     held = exploded(suspects, joined, "shingle").join(items.select("shingle").distinct(), "shingle", "left_semi").distinct()
-    shared = held.join(items, "shingle").groupBy("doc_id", "text_hash", "item_id", "item").agg(F.count("*").alias("shared"), F.first("n").alias("item_shingles"))
-    good = shared.where(F.col("shared") >= F.ceil(F.col("item_shingles") * F.lit(containment).cast("decimal(9,6)")))
+    shared = held.join(items, "shingle").groupBy("doc_id", "text_hash", "item_id", "item").agg(F.count("*").alias("shared"), F.first("n").alias("item_shingles"), F.first("needed").alias("needed"))
+    good = shared.where("shared >= needed")
     good = good.join(found, ["doc_id", "text_hash", "item_id", "item"], "left_semi")
     return good.groupBy("doc_id", "item_id").agg(F.max_by("item_shingles", "shared").cast("long").alias("item_shingles"), F.max("shared").alias("shared"))
 
