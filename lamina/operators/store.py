@@ -1,0 +1,105 @@
+"""A store of layers as Parquet tables that can be extended, paused and resumed.
+
+root/F/k=..., root/G/p=.../r=.../seg=... hold layers; a segment holds the states that a larger
+horizon newly admits (those of depth in its window), so a layer is the union of its segments.
+root/log is a table to which each finished step appends one row; what it doesn't name does not
+exist, so a half-written segment is overwritten by the next run. Values are read from the log too.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lamina.operators.layers import COUNT, initial, seeds
+from lamina.operators.mitm import backward_step, dot, forward_step
+
+LAYER = f"word string, h int, count {COUNT}"
+LOG = f"kind string, p int, k int, seg int, horizon int, n int, value {COUNT}, rows long"
+
+
+class Store:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def log(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(LOG).parquet(f"{self.root}/log")
+        except AnalysisException:
+            return self.spark.createDataFrame([], LOG)
+
+    def _note(self, kind: str, p: int = 0, k: int = 0, seg: int = 0, horizon: int = 0, n: int | None = None, value: int | None = None, rows: int | None = None) -> None:
+        show = lambda x, suffix="": "NULL" if x is None else f"{x}{suffix}"
+        row = self.spark.sql(f"SELECT '{kind}' AS kind, {p} AS p, {k} AS k, {seg} AS seg, {horizon} AS horizon, CAST({show(n)} AS INT) AS n, CAST({show(value, 'BD')} AS {COUNT}) AS value, CAST({show(rows)} AS BIGINT) AS rows")
+        row.coalesce(1).write.mode("append").parquet(f"{self.root}/log")
+
+    def _segments(self, kind: str, p: int, k: int) -> list[int]:
+        rows = self.log().where((F.col("kind") == kind) & (F.col("p") == p) & (F.col("k") == k)).select("seg").distinct().collect()
+        return sorted(r["seg"] for r in rows)
+
+    def _path(self, kind: str, p: int, k: int, seg: int) -> str:
+        return f"{self.root}/{kind}/p={p}/k={k}/seg={seg}"
+
+    def layer(self, kind: str, p: int, k: int) -> DataFrame:
+        """The union of a layer's segments, which share no state."""
+        return self.spark.read.schema(LAYER).parquet(*[self._path(kind, p, k, s) for s in self._segments(kind, p, k)])
+
+    def put(self, df: DataFrame, kind: str, p: int, k: int, seg: int, horizon: int) -> None:
+        path = self._path(kind, p, k, seg)
+        df.sortWithinPartitions("h", "word").write.mode("overwrite").parquet(path)
+        self._note(kind, p, k, seg, horizon, rows=self.spark.read.parquet(path).count())
+
+    def horizons(self) -> list[int]:
+        return sorted(r["horizon"] for r in self.log().where("kind = 'done'").select("horizon").distinct().collect())
+
+    def values(self) -> DataFrame:
+        """(n, count, check), each from one of the two splits."""
+        rows = self.log().where("kind IN ('count', 'check')")
+        return rows.groupBy("n").agg(F.max(F.when(F.col("kind") == "count", F.col("value"))).alias("count"), F.max(F.when(F.col("kind") == "check", F.col("value"))).alias("check"))
+
+    def drop(self, kind: str, p: int, k: int) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}/p={p}/k={k}")
+        path.getFileSystem(conf).delete(path, True)
+
+    def extend(self, horizon: int, paused: Callable[[], bool] = lambda: False, discard: bool = False) -> bool:
+        """Computes what the store lacks for all n up to the horizon. False: paused between two layers; the same call goes on."""
+        done = self.horizons()
+        if done and horizon <= done[-1]:
+            return True
+        if self.log().where("kind = 'discarded'").count():
+            raise ValueError("layers were discarded: this store cannot be extended")
+        old, seg = (done[-1], len(done)) if done else (-1, 0)
+        known = {(r["kind"], r["n"]) for r in self.log().where("kind IN ('count', 'check')").collect()}
+        half = -(-horizon // 2)
+        if not self._segments("F", 0, 0):
+            self.put(initial(self.spark), "F", 0, 0, 0, horizon)
+        for k in range(1, half + 1):
+            if not self._segments("F", 0, k):
+                if paused():
+                    return False
+                # Not bounded by this horizon: a later, larger one reads the same layer.
+                self.put(forward_step(self.layer("F", 0, k - 1), 2 * k), "F", 0, k, 0, horizon)
+        for p in (0, 1):
+            for r in range(horizon // 2 + 2):
+                have = self._segments("G", p, r)
+                if r == 0 and not have:
+                    self.put(seeds(self.spark, p), "G", p, 0, 0, horizon)
+                elif r and seg not in have:
+                    if paused():
+                        return False
+                    above = old - r if have else -1
+                    self.put(backward_step(self.layer("G", p, r - 1), horizon - r, max(above, -1)), "G", p, r, seg, horizon)
+                for shift, kind in ((0, "count"), (-2, "check")):
+                    n, k = 2 * r + p + shift, r + p + shift
+                    if 0 <= k <= half and 0 <= n <= horizon and (kind, n) not in known:
+                        self._note(kind, n=n, value=int(dot(self.layer("F", 0, k), self.layer("G", p, r)).first()[0]))
+                        known.add((kind, n))
+                if discard and r:
+                    self._note("discarded")
+                    self.drop("G", p, r - 1)
+        self._note("done", horizon=horizon)
+        return True
