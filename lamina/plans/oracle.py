@@ -121,5 +121,5 @@ SQL = {
     "event_interleavings": """
         WITH e AS (SELECT * FROM (SELECT user_id, row_number() OVER w AS k, value AS a, lead(value) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE b IS NOT NULL)
         SELECT x.user_id, count(*) AS interleavings FROM e x JOIN e y ON x.user_id = y.user_id AND x.k > y.k AND x.k - y.k <= 10 AND (x.k - y.k) % 2 = 0
-        WHERE ((x.a > least(y.a, y.b) AND x.a < greatest(y.a, y.b)) <> (x.b > least(y.a, y.b) AND x.b < greatest(y.a, y.b))) GROUP BY 1""",
+        WHERE ((y.a > least(x.a, x.b) AND y.a < greatest(x.a, x.b)) <> (y.b > least(x.a, x.b) AND y.b < greatest(x.a, x.b))) GROUP BY 1""",
 }

@@ -24,9 +24,13 @@ def order_arc_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crossing pairs of arcs by side, as a theta join of arcs of the same order and side (long form)."""
     lines = ranked_lines(spark, sf_dir)
     w = Window.partitionBy("l_orderkey")
-    points = lines.select("l_orderkey", (F.col("pos") + 1).alias("k"), "bridge", F.count("*").over(w).alias("n"))
-    ends = points.where("k = 1").select("l_orderkey", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("k"), (F.col("n") + 1).alias("p")), F.struct((F.col("n") + 1).alias("k"), F.col("n").alias("p")))).alias("e")).select("l_orderkey", "e.k", "e.p")
-    path = points.select("l_orderkey", F.col("k").cast("long").alias("k"), F.col("bridge").cast("long").alias("p")).unionByName(ends)
+    n = F.count("*").over(w)
+    point = lambda k, p: F.struct(k.cast("long").alias("k"), p.cast("long").alias("p"))
+    own = point(F.col("pos") + 1, F.col("bridge"))
+    # The first line brings the path's first point, the last line its last.
+    points = F.when(F.col("pos") == 0, F.array(point(F.lit(0), F.col("n") + 1), own)).otherwise(F.array(own))
+    points = F.when(F.col("pos") == F.col("n") - 1, F.concat(points, F.array(point(F.col("n") + 1, F.col("n"))))).otherwise(points)
+    path = lines.withColumn("n", n).select("l_orderkey", F.inline(points))
     arcs = path.withColumn("q", F.lead("p").over(w.orderBy("k"))).where("q IS NOT NULL").withColumn("side", F.col("k") % 2)
     a, b = arcs.alias("a"), arcs.alias("b")
     clash = chords.interleave(F.col("a.p"), F.col("a.q"), F.col("b.p"), F.col("b.q"))
@@ -36,8 +40,8 @@ def order_arc_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def closed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of odd length closed up to loops: crossings of the loop; it is a closed meander exactly if the order is an open one."""
-    o = crossing_orders(spark, sf_dir).where("n % 2 = 1").withColumn("closed", chords.close_up(F.col("perm")))
-    return o.select("l_orderkey", text(F.col("closed")).alias("closed"), chords.crossings(chords.loop(F.col("closed"))).cast("long").alias("crossings"), chords.is_closed_meander(F.col("closed")).alias("is_closed"))
+    o = crossing_orders(spark, sf_dir).where("n % 2 = 1").withColumn("loop", chords.close_up(F.col("perm")))
+    return o.select("l_orderkey", text(F.col("loop")).alias("closed"), chords.crossings(chords.loop(F.col("loop"))).cast("long").alias("crossings"), chords.is_closed_meander(F.col("loop")).alias("is_closed"))
 
 
 def order_search_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
