@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.session import materialise
+from lamina.session import read_table as read
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Separators of words: blank, tab, line feed, vertical tab, form feed, carriage return.
@@ -16,10 +16,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; null counts as the empty text.
 
@@ -29,30 +25,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a temporary one only in local mode."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("lamina.scratch.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="lamina-")
-        spark.conf.set("lamina.scratch.dir", root)
-    return root.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared scratch folder and reads it again.
-
-    The lineage ends there, a lost executor costs nothing that is on it, and joins on the result
-    have plain exchanges on both sides, so that adaptive execution can split hot keys.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(links: DataFrame, name: str = "links", rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph of (a, b) long pairs; rows (node, component).
 
@@ -83,3 +55,6 @@ def components(links: DataFrame, name: str = "links", rounds: int = 60) -> DataF
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     own = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(own)
+
+
+__all__ = ["ascii_lower", "components", "materialise", "read"]

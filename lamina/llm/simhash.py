@@ -20,7 +20,8 @@ make one shingle. Repeated rows stay, each with its group. A null doc_id counts
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +47,24 @@ def digests(text: str | None, words: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, s, itertools.repeat(SEED)), dtype=np.uint64, count=len(s))
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    h = digests(text, words)
+def _majority(h: np.ndarray) -> int:
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0]) if len(h) else 0
 
 
+def fingerprint(text: str | None, words: int) -> int:
+    return _majority(digests(text, words))
+
+
+def second_fingerprint(h: np.ndarray) -> int:
+    """Another 64 bits from the same digests, mixed."""
+    x = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return _majority(x ^ (x >> np.uint64(31)))
+
+
 def fingerprint_column(text: Column, words: int) -> Column:
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
@@ -62,6 +73,15 @@ def fingerprint_column(text: Column, words: int) -> Column:
     return of(text)
 
 
+def fingerprint_pair(text: Column, words: int) -> Column:
+    @F.arrow_udf("struct<fp: long, more: long>")
+    def of(texts: pa.Array) -> pa.Array:
+        h = [digests(t, words) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([f(x) for x in h], pa.int64()) for f in (_majority, second_fingerprint)], names=["fp", "more"])
+
+    return of(text)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -145,70 +165,81 @@ def _clusters(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndar
     return label
 
 
-def _join(bucket: np.ndarray, ids: np.ndarray, fp: np.ndarray, radius: int, run: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Links (id, id) of whole buckets."""
-    new = np.concatenate(([True], bucket[1:] != bucket[:-1]))
-    number = np.cumsum(new) - 1
-    keep = np.bincount(number)[number] > 1
-    number, ids, fp = number[keep], ids[keep], fp[keep]
-    order = np.lexsort((ids, gray_rank(fp), number))
-    number, ids, fp = number[order], ids[order], fp[order]
+def _spans(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    return start, np.diff(np.append(start, len(bucket)))
+
+
+def _sorted(bucket: np.ndarray, ids: np.ndarray, fp: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
+    """Rows of buckets with more than one row, each bucket in Gray order."""
+    number = np.cumsum(np.concatenate(([False], bucket[1:] != bucket[:-1])))
+    keep = np.flatnonzero(np.bincount(number)[number] > 1)
+    keep = keep[np.lexsort((ids[keep], gray_rank(fp[keep]), number[keep]))]
+    return [x[keep] for x in (number, ids, fp, *more)]
+
+
+def _spanning(bucket: np.ndarray, ids: np.ndarray, fp: np.ndarray, more: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (id, id) that join exactly what lies within the radius, over whole buckets."""
+    number, ids, fp = _sorted(bucket, ids, fp)
     if not len(fp):
         return ids, ids
-    new = np.concatenate(([True], number[1:] != number[:-1]))
-    if run:
-        start = np.flatnonzero(new)
-        place = np.arange(len(fp)) - start[np.cumsum(new) - 1]
-        new |= place % run == 0
-    start = np.flatnonzero(new)
-    size = np.diff(np.append(start, len(fp)))
-    label = _clusters(len(fp), near_pairs(fp, start, size, radius))
-    own = np.arange(len(fp))
-    a, b = own[label != own], label[label != own]
-    if run:  # neighbours too, also where a run ends
-        near = np.flatnonzero((number[1:] == number[:-1]) & (np.bitwise_count(fp[1:] ^ fp[:-1]) <= radius))
-        a, b = np.concatenate((a, near + 1)), np.concatenate((b, near))
-    return ids[a], ids[b]
-
-
-def links(nodes: DataFrame, masks: list[int], radius: int, run: int | None = None) -> DataFrame:
-    """Links (a, b) between ids of nodes (id long, fp long) that join what shares a bucket and lies within the radius.
-
-    Without ``run`` they span exactly the clusters of each bucket. With it, a bucket is compared in
-    runs of so many rows in Gray order, and each row is also linked to its neighbour in that order.
-    """
+    label = _clusters(len(fp), near_pairs(fp, *_spans(number), radius))
+    a = np.flatnonzero(label != np.arange(len(fp)))
+    return ids[a], ids[label[a]]
+
+
+def _nearest(bucket: np.ndarray, ids: np.ndarray, fp: np.ndarray, more: np.ndarray, radius: int, run: int, both: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each row to the row nearest to it in its bucket, in runs of ``run`` rows, and to its neighbour in Gray order."""
+    number, ids, fp, more = _sorted(bucket, ids, fp, more)
+    if not len(fp):
+        return ids, ids
+    start, size = _spans(number)
+    place = np.arange(len(fp)) - np.repeat(start, size)
+    best = np.full(len(fp), 255 << 40, dtype=np.int64)
+    for i, j in near_pairs(fp, *_spans(number * (len(fp) // run + 1) + place // run), radius):
+        d = (np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) + np.bitwise_count(more[i] ^ more[j])) << 40
+        np.minimum.at(best, i, d | j)
+        np.minimum.at(best, j, d | i)
+    a = np.flatnonzero(best >> 40 <= both)
+    b = best[a] & ((1 << 40) - 1)
+    near = np.flatnonzero((number[1:] == number[:-1]) & (np.bitwise_count(fp[1:] ^ fp[:-1]).astype(np.int64) + np.bitwise_count(more[1:] ^ more[:-1]) <= both))
+    return ids[np.concatenate((a, near + 1))], ids[np.concatenate((b, near))]
+
+
+def links(nodes: DataFrame, masks: list[int], join: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Links (a, b) between ids of nodes (id long, fp long, more long), found by ``join`` among those that share a mask's bits."""
 
     def search(batches):
         held: list[tuple] = []
 
         def flush():
-            n, key, ids, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            n, key, ids, fp, more = (np.concatenate(x) for x in zip(*held, strict=True))
             bucket = np.cumsum(np.concatenate(([0], (n[1:] != n[:-1]) | (key[1:] != key[:-1]))))
-            a, b = _join(bucket, ids, fp, radius, run)
+            a, b = join(bucket, ids, fp, more)
             for i in range(0, len(a), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 16)]), pa.array(b[i : i + (1 << 16)])], names=["a", "b"])
 
         for batch in batches:
-            n, key, ids, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            n, key, ids, fp, more = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             if not len(n):
                 continue
-            fp = fp.view(np.uint64)
+            fp, more = fp.view(np.uint64), more.view(np.uint64)
             change = np.flatnonzero((n[1:] != n[:-1]) | (key[1:] != key[:-1]))
             whole = change[-1] + 1 if len(change) else 0  # the last bucket may go on
             if held and not whole and (n[0], key[0]) != (held[-1][0][-1], held[-1][1][-1]):
                 yield from flush()
                 held = []
             if whole:
-                held.append((n[:whole], key[:whole], ids[:whole], fp[:whole]))
+                held.append((n[:whole], key[:whole], ids[:whole], fp[:whole], more[:whole]))
                 if sum(len(x[0]) for x in held) >= 1 << 15:
                     yield from flush()
                     held = []
-            held.append((n[whole:], key[whole:], ids[whole:], fp[whole:]))
+            held.append((n[whole:], key[whole:], ids[whole:], fp[whole:], more[whole:]))
         if held:
             yield from flush()
 
-    keyed = nodes.select("id", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("n"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("k"))
-    sorted_ = keyed.select("k.n", "k.key", "id", "fp").repartition("n", "key").sortWithinPartitions("n", "key")
+    keyed = nodes.select("id", "fp", "more", F.explode(F.array(*[F.struct(F.lit(i).alias("n"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("k"))
+    sorted_ = keyed.select("k.n", "k.key", "id", "fp", "more").repartition("n", "key").sortWithinPartitions("n", "key")
     return sorted_.mapInArrow(search, "a long, b long").distinct()
 
 
@@ -219,7 +250,7 @@ def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 2, block
     """
     own = materialise(documents.select("doc_id", fingerprint_column(F.col("text"), words).alias("fp")), "fingerprints")
     nodes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = links(nodes.select(F.col("fp").alias("id"), "fp"), covering_masks(radius, blocks), radius)
+    found = links(nodes.select(F.col("fp").alias("id"), "fp", F.lit(0).cast("long").alias("more")), covering_masks(radius, blocks), partial(_spanning, radius=radius))
     member = materialise(components(found, "simhash"), "members").withColumnRenamed("node", "fp")
     linked = materialise(nodes.join(member, "fp"), "linked")
     least = materialise(linked.groupBy("component").agg(F.min("least").alias("component_id")), "least")
@@ -228,18 +259,20 @@ def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 2, block
     return own.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 16, tables: int = 64, bits: int = 16, run: int = 4096) -> DataFrame:
+def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 18, both: int = 34, tables: int = 128, bits: int = 15, run: int = 4096) -> DataFrame:
     """Groups of documents whose word shingles have a Jaccard similarity of ``similarity`` or more: rows (doc_id, component_id) of the linked ones.
 
-    Candidates are fingerprints within ``radius`` bits that share one of ``tables`` sampled masks;
-    every link is then verified on the two documents' shingle digests. A similarity of 0.8 differs
-    in about 10 of 64 bits, which 64 tables of 16 bits find with 98 % probability; from 0.9 up it
-    is over 99.9 %. A pair need not be linked directly: its group suffices. Rows without doc_id are in
-    no group; if a doc_id has several texts, one of them (that with the largest digests) is compared.
+    Candidates share one of ``tables`` sampled masks of ``bits`` bits, lie within ``radius`` bits and,
+    with a second fingerprint, within ``both`` bits, and are nearest to each other in a bucket (in
+    runs of ``run`` rows in Gray order); every link is then verified on the two documents' shingle
+    digests. A similarity of 0.8 differs in about 10 of 64 bits, and 128 masks of 15 bits find such
+    a pair with more than 99.9 % probability, 14 bits with 96 %. A pair need not be linked directly:
+    its group suffices. Rows without doc_id are in no group; if a doc_id has several texts, one of
+    them (that with the largest digests) is compared.
     """
-    own = materialise(documents.where("doc_id IS NOT NULL").select("doc_id", fingerprint_column(F.col("text"), words).alias("fp")), "fingerprints")
-    nodes = own.select(F.col("doc_id").alias("id"), "fp").distinct()
-    pairs = links(nodes, sampled_masks(tables, bits), radius, run)
+    own = materialise(documents.where("doc_id IS NOT NULL").select("doc_id", fingerprint_pair(F.col("text"), words).alias("f")), "fingerprints")
+    nodes = own.select(F.col("doc_id").alias("id"), "f.fp", "f.more").distinct()
+    pairs = links(nodes, sampled_masks(tables, bits), partial(_nearest, radius=radius, run=run, both=both))
     pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
     @F.arrow_udf("array<long>")
