@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +35,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors' Python, once for an application, so that they need no copy of their own."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="lamina-")) / "lamina.zip"  # read by the driver's file server only
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    context.addPyFile(str(target))
+
+
+def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
