@@ -78,9 +78,11 @@ def exact_duplicates(documents: DataFrame, bits: int = 64) -> DataFrame:
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """The documents that stay, with their columns as they were; of repeated rows one stays."""
-    keys = materialise(members(documents).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "times"), "kept")
-    own = documents.withColumn("_text_sha", F.sha2(ascii_lower(F.col("text")), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha"))
+    keys = members(documents).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    keys = materialise(keys.select(F.col("doc_id").alias("key_id"), F.col("text_sha256").alias("key_sha"), "times"), "kept")
+    # Each document goes along as one value, so that its columns clash with none of these.
+    own = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.sha2(ascii_lower(F.col("text")), 256).alias("own_sha"))
+    same = F.col("own_id").eqNullSafe(F.col("key_id")) & (F.col("own_sha") == F.col("key_sha"))
     once = own.join(keys.where("times = 1"), same, "left_semi")
-    again = own.join(keys.where("times > 1"), same, "left_semi").dropDuplicates(["doc_id", "_text_sha"])
-    return once.unionAll(again).select(documents.columns)
+    again = own.join(keys.where("times > 1"), same, "left_semi").dropDuplicates(["own_id", "own_sha"])
+    return once.unionAll(again).select("row.*")

@@ -39,12 +39,12 @@ EVIDENCE, ODDS, PREFIXES = 18.0, 1.5, range(4, 9)
 #: What a character may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c", "<": "c", "£": "l", "¡": "i", "§": "s"}
 _MERGED = {"l": "i"} | {k: ("i" if "i" in v or v == "l" else v) for k, v in LOOKS.items()}
-SUBSTITUTE, NOISE, NOISE_LOOK, REPEAT = -0.6, -0.3, -1.5, -0.7
+SUBSTITUTE, NOISE, NOISE_LOOK, REPEAT = -0.6, -0.3, -4.0, -0.7
 LETTERS, EDGE, OTHER, SIZE = 26, 26, 27, 28
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _ODD = re.compile(r"[\W\d_]|(.)\1")
-_SPACED = re.compile(r"(?<!\S)(?:\S[\s._*-]{1,3}){3,}\S(?!\S)")
+_SPACED = re.compile(r"(?<!\w)(?:\S[\s._*-]{1,3}){3,}\S(?!\w)")
 
 
 def symbol(c: str) -> int:
