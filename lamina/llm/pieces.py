@@ -12,8 +12,9 @@ place. The state at a cut is the piece that covers it or ends there; each chunk
 matrix (weight of the best path from each state at its left to each at its right), matrices are
 combined associatively, first in blocks of BLOCK chunks, then the blocks of a text, and once the
 states at all cuts are known, every chunk is traced back on its own. Inside a chunk no piece crosses
-the start of a word (no piece holds a blank after another character) or a character that the
-vocabulary lacks, so whole words are segmented once and remembered.
+the start of a word (no piece holds a blank after another character) or a line feed, so whole words
+are segmented on their own, by merging if they are short (the path of stable neighbours is what
+merging leaves), and remembered for a while.
 
 A blank is U+2581 in pieces and one stands before each text, as in the model. Characters without a
 piece become byte pieces. A U+2581 in a text also becomes bytes, so that decoding gives every text
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from lamina.llm.common import materialise
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, BLOCK, REMEMBERED = 1 << 14, 64, 400_000
+CHUNK, BLOCK, REMEMBERED = 1 << 16, 64, 120_000
 #: Stands for a U+2581 of the text itself; no decoded text holds it.
 OWN_BLANK = "\udc00"
 NEVER = -math.inf
@@ -61,6 +62,16 @@ class Vocabulary:
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == "n"}
         self.longest = max(map(len, self.ids), default=1)
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == "b"}
+        self.reach: dict[str, int] = {}  # length of the longest piece by its first character
+        for p in self.ids:
+            self.reach[p[0]] = max(len(p), self.reach.get(p[0], 0))
+        self.letters = {p: i for p, i in self.ids.items() if len(p) == 1}
+        #: What two neighbouring pieces merge into: (rank, piece).
+        self.merges: dict[tuple[int, int], tuple[float, int]] = {}
+        for p, i in self.ids.items() if self.bpe else ():
+            for k in range(1, len(p)):
+                if (a := self.ids.get(p[:k])) is not None and (b := self.ids.get(p[k:])) is not None:
+                    self.merges[a, b] = (-self.scores[i], i)
         self.whole: dict[int, bool] = {}
         self.stable: dict[tuple[int, int], bool] = {}
         self.units: dict[str, tuple[int, ...]] = {}
@@ -81,7 +92,7 @@ class Vocabulary:
 
     def matches(self, text: str, at: int) -> list[tuple[int, int]]:
         """(length, id) of the pieces that begin there, longest first."""
-        out = [(n, i) for n in range(min(self.longest, len(text) - at), 0, -1) if (i := self.ids.get(text[at : at + n])) is not None]
+        out = [(n, i) for n in range(min(self.reach.get(text[at], 0), len(text) - at), 0, -1) if (i := self.ids.get(text[at : at + n])) is not None]
         return out if text[at] in self.ids else [*out, (1, len(self.pieces) + ord(text[at]))]
 
     def length(self, piece: int) -> int:
@@ -104,21 +115,29 @@ class Vocabulary:
         if not ok or before is None or before >= len(self.pieces):
             return 0.0 if ok else NEVER
         if (ok := self.stable.get((before, piece))) is None:
-            if len(self.stable) > 4 * REMEMBERED:
+            if len(self.stable) > REMEMBERED:
                 self.stable.clear()
             ok = self.stable[before, piece] = self.merge(self.pieces[before] + self.pieces[piece]) == [before, piece]
         return 0.0 if ok else NEVER
 
     def merge(self, text: str) -> list[int]:
         """Pieces of a short text by merging, best score first and leftmost among equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.scores[i], -k) for k in range(len(parts) - 1) if (i := self.ids.get(parts[k] + parts[k + 1])) is not None), default=None)
+        n, letters, get = len(self.pieces), self.letters, self.merges.get
+        ids = [letters[c] if c in letters else n + ord(c) for c in text]
+        pairs = [get(p) for p in zip(ids, ids[1:], strict=False)]
+        while True:
+            best, at = None, -1
+            for k, p in enumerate(pairs):
+                if p is not None and (best is None or p[0] < best[0]):
+                    best, at = p, k
             if best is None:
-                break
-            k = -best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return [self.ids.get(p, -1) for p in parts]
+                return ids
+            ids[at : at + 2] = [best[1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = get((ids[at - 1], best[1]))
+            if at < len(pairs):
+                pairs[at] = get((best[1], ids[at + 1]))
 
     # Whole words.
 
@@ -128,7 +147,9 @@ class Vocabulary:
         if out is None:
             if len(self.units) > REMEMBERED:
                 self.units.clear()
-            out = tuple(x for p in (self._search(text) if self.bpe else self.trace(text, None, 0, len(text), None)) for x in self.emit(p))
+            path = self.trace(text, None, 0, len(text), None) if not self.bpe else self.merge(text) if len(text) < 64 else self._search(text)
+            n = len(self.pieces)
+            out = tuple(path) if max(path) < n else tuple(x for p in path for x in self.emit(p))
             if len(text) < 64:
                 self.units[text] = out
         return out
