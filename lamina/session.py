@@ -38,11 +38,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the executors' Python, once for an application, so that they need no copy of their own."""
+    """Gives this package to the executors' Python, once for an application, so that they need no copy of their own.
+
+    Rows here are texts, so Arrow batches are made smaller than Spark's default, unless the session has set their size.
+    """
     context = spark.sparkContext
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
     if context.applicationId in _SHIPPED:
         return
     _SHIPPED.add(context.applicationId)
