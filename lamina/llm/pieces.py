@@ -12,7 +12,8 @@ place. The state at a cut is the piece that covers it or ends there; each chunk
 matrix (weight of the best path from each state at its left to each at its right), matrices are
 combined associatively, first in blocks of BLOCK chunks, then the blocks of a text, and once the
 states at all cuts are known, every chunk is traced back on its own. Inside a chunk no piece crosses
-the start of a word (no piece holds a blank after another character) or a line feed, so whole words
+the start of a word (no piece holds a blank after another character), a line feed, or the end of
+a run of letters (if no piece goes on from a letter with anything but letters), so whole words
 are segmented on their own, by merging if they are short (the path of stable neighbours is what
 merging leaves), and remembered for a while.
 
@@ -29,6 +30,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ CHUNK, BLOCK, REMEMBERED = 1 << 16, 64, 120_000
 #: Stands for a U+2581 of the text itself; no decoded text holds it.
 OWN_BLANK = "\udc00"
 NEVER = -math.inf
-_UNIT = re.compile("\n|▁*[^▁\n]+|▁+")
+LAST = 1 << 60
 
 
 def normalise(text: str) -> str:
@@ -62,19 +64,25 @@ class Vocabulary:
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == "n"}
         self.longest = max(map(len, self.ids), default=1)
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == "b"}
+        # Where no piece goes on from a letter with anything but letters, a text can be cut there.
+        if any(x.isalpha() and not c.isalpha() for p in self.ids for x, c in zip(p, p[1:], strict=False)):
+            self.word = re.compile("\n|▁*[^▁\n]+|▁+")
+        else:
+            own = "".join(sorted({c for p in self.ids for c in p if not c.isalpha() and re.match(r"[^\W\d_]", c)}))  # such as superscripts
+            letter = rf"[^\W\d_{own}]"
+            self.word = re.compile(rf"▁*{letter}+|\n|▁*(?:[^\w▁\n]|[\d_{own}])+{letter}*|▁+")
         self.reach: dict[str, int] = {}  # length of the longest piece by its first character
         for p in self.ids:
             self.reach[p[0]] = max(len(p), self.reach.get(p[0], 0))
         self.letters = {p: i for p, i in self.ids.items() if len(p) == 1}
-        #: What two neighbouring pieces merge into: (rank, piece).
-        self.merges: dict[tuple[int, int], tuple[float, int]] = {}
-        for p, i in self.ids.items() if self.bpe else ():
-            for k in range(1, len(p)):
-                if (a := self.ids.get(p[:k])) is not None and (b := self.ids.get(p[k:])) is not None:
-                    self.merges[a, b] = (-self.scores[i], i)
+        #: What two neighbouring pieces merge into, and the place of that among all merges (the same for equal scores).
+        self.joined = {(a, b): i for p, i in self.ids.items() if self.bpe for k in range(1, len(p)) if (a := self.ids.get(p[:k])) is not None and (b := self.ids.get(p[k:])) is not None}
+        order = {x: r for r, x in enumerate(sorted({-self.scores[i] for i in self.joined.values()}))}
+        self.rank = {pair: order[-self.scores[i]] for pair, i in self.joined.items()}
         self.whole: dict[int, bool] = {}
         self.stable: dict[tuple[int, int], bool] = {}
         self.units: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.raw = [bytes([int(p[3:5], 16)]) if k == "b" else p.replace("▁", " ").encode() if k == "n" else b"" for p, k in zip(self.pieces, self.kinds, strict=True)]
         if len(self.byte) != 256 or any("▁" in p.lstrip("▁") for p in self.ids) or any("\n" in p and p != "\n" for p in self.ids):
             raise ValueError("the vocabulary must have all bytes, and no piece may go on after a word or line")
@@ -122,22 +130,20 @@ class Vocabulary:
 
     def merge(self, text: str) -> list[int]:
         """Pieces of a short text by merging, best score first and leftmost among equals."""
-        n, letters, get = len(self.pieces), self.letters, self.merges.get
-        ids = [letters[c] if c in letters else n + ord(c) for c in text]
-        pairs = [get(p) for p in zip(ids, ids[1:], strict=False)]
-        while True:
-            best, at = None, -1
-            for k, p in enumerate(pairs):
-                if p is not None and (best is None or p[0] < best[0]):
-                    best, at = p, k
-            if best is None:
-                return ids
-            ids[at : at + 2] = [best[1]]
-            del pairs[at]
+        rank = self.rank.get
+        ids = list(map(self.letters.get, text))
+        if None in ids:
+            ids = [len(self.pieces) + ord(c) if i is None else i for c, i in zip(text, ids, strict=True)]
+        places = list(map(rank, zip(ids, ids[1:], strict=False), repeat(LAST)))
+        while places and (best := min(places)) != LAST:
+            at = places.index(best)
+            piece = ids[at] = self.joined[ids[at], ids.pop(at + 1)]
+            del places[at]
             if at:
-                pairs[at - 1] = get((ids[at - 1], best[1]))
-            if at < len(pairs):
-                pairs[at] = get((best[1], ids[at + 1]))
+                places[at - 1] = rank((ids[at - 1], piece), LAST)
+            if at < len(places):
+                places[at] = rank((piece, ids[at + 1]), LAST)
+        return ids
 
     # Whole words.
 
@@ -145,12 +151,14 @@ class Vocabulary:
         """Ids of a word, which no piece enters or leaves."""
         out = self.units.get(text)
         if out is None:
-            if len(self.units) > REMEMBERED:
-                self.units.clear()
-            path = self.trace(text, None, 0, len(text), None) if not self.bpe else self.merge(text) if len(text) < 64 else self._search(text)
-            n = len(self.pieces)
-            out = tuple(path) if max(path) < n else tuple(x for p in path for x in self.emit(p))
+            out = self.older.get(text)
+            if out is None:
+                path = self.trace(text, None, 0, len(text), None) if not self.bpe else self.merge(text) if len(text) < 64 else self._search(text)
+                n = len(self.pieces)
+                out = tuple(path) if max(path) < n else tuple(x for p in path for x in self.emit(p))
             if len(text) < 64:
+                if len(self.units) >= REMEMBERED:  # what the last so many words had stays
+                    self.older, self.units = self.units, {}
                 self.units[text] = out
         return out
 
@@ -178,8 +186,13 @@ class Vocabulary:
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
-        for u in _UNIT.findall(normalise(text or "")):
-            out += self.unit(u)
+        get = self.units.get
+        for u in self.word.findall(normalise(text or "")):
+            ids = get(u)
+            if ids is None:
+                ids = self.unit(u)
+                get = self.units.get
+            out += ids
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -237,33 +250,33 @@ class Vocabulary:
         return out[::-1]
 
 
-def cuts(text: str, a: int, z: int) -> list[int]:
-    """Places in (a, z) where a word must begin."""
-    return [m.start() for m in _UNIT.finditer(text, a, z) if m.start() > a and (text[m.start()] == "\n" or text[m.start() - 1] == "\n" or (text[m.start()] == "▁" and text[m.start() - 1] != "▁"))]
+def cuts(v: Vocabulary, text: str, a: int, z: int) -> list[int]:
+    """Places in (a, z) that no piece crosses, whatever stands before a."""
+    return [m.start() for m in v.word.finditer(text, a, z) if m.start() > a]
 
 
 def chunk_matrix(v: Vocabulary, text: str, a: int, z: int, first: bool) -> list:
     """Transfer matrix of text[a:z], whose margins show the pieces over its cuts: rows (entry, exit, weight)."""
     entries = [None] if first else v.states(text, a)
-    inner = cuts(text, a, z)
+    inner = cuts(v, text, a, z)
     if not inner:
         return [(entries[k], e, w) for (k, e), w in v.transfer(text, entries, a, z).items()]
     into = {}
     for (piece, _), reached in v._walk(text, entries, a, inner[0]).get(inner[0], {}).items():
         for k, (w, _) in reached.items():
             into[k] = max(w, into.get(k, NEVER))
-    middle = 0.0 if v.bpe else sum(v.scores[i] for u in _UNIT.findall(text, inner[0], inner[-1]) for i in v.unit(u))
+    middle = 0.0 if v.bpe else sum(v.scores[i] for u in v.word.findall(text, inner[0], inner[-1]) for i in v.unit(u))
     out_of = v.transfer(text, [None], inner[-1], z)
     return [(entries[k], e, w + middle + x) for k, w in into.items() for (_, e), x in out_of.items()]
 
 
 def chunk_ids(v: Vocabulary, text: str, a: int, z: int, entry, leave) -> list[int]:
     """Ids of the pieces that begin in text[a:z], between known states."""
-    inner = cuts(text, a, z)
+    inner = cuts(v, text, a, z)
     if not inner:
         return [x for p in v.trace(text, entry, a, z, leave) for x in v.emit(p)]
     out = [x for p in v.trace(text, entry, a, inner[0], None) for x in v.emit(p)]
-    for u in _UNIT.findall(text, inner[0], inner[-1]):
+    for u in v.word.findall(text, inner[0], inner[-1]):
         out += v.unit(u)
     return out + [x for p in v.trace(text, None, inner[-1], z, leave) for x in v.emit(p)]
 
