@@ -35,22 +35,27 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(text), r"[ \t-\r]+"), lambda w: w != "")
 
 
-def shingles(words: Column, length: int, of: Callable[[Column], Column]) -> Column:
-    """``of`` each run of so many words, repeats included; none if there are fewer words."""
+def shingles(words: Column, length: int, of: Callable[..., Column]) -> Column:
+    """``of`` the words of each run of so many, repeats included; none if there are fewer words.
+
+    Words are got one by one: slice() copies the whole array each time.
+    """
     last = F.size(words) - length
     starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: of(F.slice(words, i + 1, length)))
+    return F.transform(starts, lambda i: of(*[F.get(words, i + j) for j in range(length)]))
 
 
-def joined(run: Column) -> Column:
-    return F.array_join(run, " ")
+def joined(*run: Column) -> Column:
+    return F.concat_ws(" ", *run)
 
 
 def item_shingles(benchmark: DataFrame, words: int = WORDS, containment: float = CONTAINMENT) -> DataFrame:
     """(item_id, item, length, n, needed, t, k, rank, digest, shingle): rank <= k is the item's signature. item_id and text together make an item."""
-    both = lambda run: F.struct(F.xxhash64(run).alias("digest"), joined(run).alias("shingle"))
+    both = lambda *run: F.struct(F.xxhash64(*run).alias("digest"), joined(*run).alias("shingle"))
     w = benchmark.select("item_id", word_array(F.col("text")).alias("w")).where("size(w) > 0").distinct()
-    each = F.when(F.size("w") >= words, shingles(F.col("w"), words, both)).otherwise(F.array(both(F.col("w"))))
+    each = shingles(F.col("w"), words, both)
+    for n in range(1, words):
+        each = F.when(F.size("w") == n, shingles(F.col("w"), n, both)).otherwise(each)
     w = w.select("item_id", F.xxhash64("w").alias("item"), F.least(F.size("w"), F.lit(words)).alias("length"), F.array_sort(F.array_distinct(each)).alias("s"))
     w = w.withColumn("n", F.size("s")).withColumn("needed", F.ceil(F.col("n") * F.lit(containment).cast("decimal(9,6)")).cast("int"))
     w = w.withColumn("t", F.least("needed", F.lit(HITS))).withColumn("k", F.col("n") - F.col("needed") + F.col("t"))
@@ -63,7 +68,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, words: int = WORDS,
     items = materialise(item_shingles(benchmark, words, containment), "items")
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # ``words`` of them at most
 
-    def exploded(rows: DataFrame, of: Callable[[Column], Column], name: str) -> DataFrame:
+    def exploded(rows: DataFrame, of: Callable[..., Column], name: str) -> DataFrame:
         """A row for each shingle of the lengths that items have."""
         rows = rows.select("doc_id", word_array(F.col("text")).alias("w"))
         every = F.concat(*[shingles(F.col("w"), n, of) for n in lengths]) if lengths else F.array().cast("array<string>")
