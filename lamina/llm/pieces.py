@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from lamina.llm.common import materialise
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, BLOCK, REMEMBERED = 1 << 16, 64, 120_000
+CHUNK, BLOCK, REMEMBERED = 1 << 16, 64, 80_000
 #: Stands for a U+2581 of the text itself; no decoded text holds it.
 OWN_BLANK = "\udc00"
 NEVER = -math.inf
