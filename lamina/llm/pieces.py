@@ -34,6 +34,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,7 +197,7 @@ class Vocabulary:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
     # Chunks. A state is (characters before the cut, piece); None is the start of a text or word.
 
@@ -412,6 +413,8 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFram
 
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
-        return pa.array([shared.value.decode(i) if i is not None else None for i in ids.to_pylist()], pa.string())
+        ends = np.cumsum([0, *(n or 0 for n in pc.list_value_length(ids).to_pylist())])
+        flat = ids.flatten().to_numpy(zero_copy_only=False).tolist()  # all lists at once: far quicker than one by one
+        return pa.array([shared.value.decode(flat[a:z]) if ok else None for a, z, ok in zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False)], pa.string())
 
     return encoded.withColumn("text", text("ids"))
