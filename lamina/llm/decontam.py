@@ -25,14 +25,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import ascii_lower, materialise
+from lamina.llm.common import BLANKS, ascii_lower, materialise
 
 WORDS, CONTAINMENT, HITS = 5, 0.8, 4
 
 
 def word_array(text: Column) -> Column:
-    """Words of a text; a leading or trailing blank makes no empty word."""
-    return F.filter(F.split(ascii_lower(text), r"[ \t-\r]+"), lambda w: w != "")
+    """Words of a text; blanks at its ends are cut off first, so that no word is empty."""
+    trimmed = F.btrim(ascii_lower(text), F.lit(BLANKS))
+    return F.when(trimmed != "", F.split(trimmed, r"[ \t-\r]+")).otherwise(F.array().cast("array<string>"))
 
 
 def shingles(words: Column, length: int, of: Callable[..., Column]) -> Column:
@@ -69,10 +70,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, words: int = WORDS,
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # ``words`` of them at most
 
     def exploded(rows: DataFrame, of: Callable[..., Column], name: str) -> DataFrame:
-        """A row for each shingle of the lengths that items have."""
+        """A row for each shingle of the lengths that items have. What is exploded stands beside the text's hash, so that rows don't carry all words along."""
         rows = rows.select("doc_id", word_array(F.col("text")).alias("w"))
         every = F.concat(*[shingles(F.col("w"), n, of) for n in lengths]) if lengths else F.array().cast("array<string>")
-        return rows.select("doc_id", F.xxhash64("w").alias("text_hash"), F.explode(every).alias(name))
+        rows = rows.select("doc_id", F.xxhash64("w").alias("text_hash"), every.alias("every"))
+        return rows.select("doc_id", "text_hash", F.explode("every").alias(name))
 
     signature = items.where("rank <= k").select("digest", "item_id", "item", "t")
     hits = exploded(documents, F.xxhash64, "digest").join(signature.select("digest").distinct(), "digest", "left_semi").distinct()
