@@ -123,17 +123,30 @@ def _levels(fp: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[tuple]:
             return levels
 
 
-def near_pairs(fp: np.ndarray, start: np.ndarray, size: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows, i < j, of one bucket whose fingerprints differ in ``radius`` bits at most. Rows of a bucket lie together in Gray order."""
+def near_pairs(fp: np.ndarray, start: np.ndarray, size: np.ndarray, radius: int, group: np.ndarray | None = None, number: np.ndarray | None = None, live: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, i < j, of one bucket whose fingerprints differ in ``radius`` bits at most. Rows of a bucket lie together in Gray order.
+
+    With ``group`` nodes whose rows are all of one group are not paired with each other, and buckets
+    (``number`` of a row) that ``live``, which the caller may change meanwhile, has not are left out.
+    """
     levels = _levels(fp, start, size)
+    chunk = 1 << 17 if group is None else 1 << 14  # each pair of nodes makes FAN ** 2 at most
+    if group is not None:
+        own = [(group, group, number)]
+        for _, _, child, _ in levels[1:]:
+            least, most, of = own[-1]
+            own.append((np.minimum.reduceat(least, child), np.maximum.reduceat(most, child), of[child]))
     roots = np.arange(len(start))
     stack = [(len(levels) - 1, roots, roots)]
     while stack:
         level, a, b = stack.pop()
-        if len(a) > 1 << 17:
+        if len(a) > chunk:
             half = len(a) // 2
             stack += [(level, a[:half], b[:half]), (level, a[half:], b[half:])]
             continue
+        if group is not None:
+            on = live[own[level][2][a]]
+            a, b = a[on], b[on]
         ones, any_, child, children = levels[level]
         if level == 0:
             keep = a < b
@@ -147,6 +160,9 @@ def near_pairs(fp: np.ndarray, start: np.ndarray, size: np.ndarray, radius: int)
         ones, any_ = levels[level - 1][:2]
         fixed = ~(ones[x] ^ any_[x]) & ~(ones[y] ^ any_[y])
         keep = (x <= y) & (np.bitwise_count((ones[x] ^ ones[y]) & fixed) <= radius)
+        if group is not None:
+            least, most, _ = own[level - 1]
+            keep &= (least[x] != most[x]) | (least[y] != most[y]) | (least[x] != least[y])
         if keep.any():
             stack.append((level - 1, x[keep], y[keep]))
 
@@ -188,22 +204,102 @@ def _spanning(bucket: np.ndarray, ids: np.ndarray, fp: np.ndarray, more: np.ndar
     return ids[a], ids[label[a]]
 
 
-def _nearest(bucket: np.ndarray, ids: np.ndarray, fp: np.ndarray, more: np.ndarray, radius: int, run: int, both: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links from each row to the row nearest to it in its bucket, in runs of ``run`` rows, and to its neighbour in Gray order."""
-    number, ids, fp, more = _sorted(bucket, ids, fp, more)
-    if not len(fp):
-        return ids, ids
+def _proposals(bucket: np.ndarray, ids: np.ndarray, fp: np.ndarray, more: np.ndarray, group: np.ndarray, done: np.ndarray, radius: int, both: int, allowed: int, first: bool) -> Iterator[tuple]:
+    """Pairs of rows to verify: ("link", ids, ids), and what is left for later: ("rest", rows, distance done).
+
+    A bucket proposes its pairs of different groups in order of distance, those up to ``done`` having
+    been proposed before, and as many whole distances as make ``allowed`` pairs a row, one at least.
+    In the first round, where nothing is in groups yet, a bucket of more pairs proposes its Gray
+    neighbours instead, so that copies become a group before their pairs are looked at.
+    """
+    number = np.cumsum(np.concatenate(([False], bucket[1:] != bucket[:-1])))
+    by_group = np.lexsort((group, number))
+    new = np.concatenate(([True], (np.diff(number[by_group]) != 0) | (np.diff(group[by_group]) != 0)))
+    run = np.cumsum(new) - 1
+    members, one_group = np.empty(len(ids), dtype=np.int64), np.empty(len(ids), dtype=np.int64)
+    members[by_group], one_group[by_group] = np.bincount(run)[run], run + 1
+    keep = np.flatnonzero((np.bincount(number)[number] > 1) & (members < np.bincount(number)[number]))
+    # Groups lie together so that the index passes over them; what is alone lies in Gray order.
+    keep = keep[np.lexsort((ids[keep], gray_rank(fp[keep]), np.where(members > 1, one_group, 0)[keep], number[keep]))]
+    if not len(keep):
+        return
+    number, fp, more, group, done = np.unique(number[keep], return_inverse=True)[1], fp[keep], more[keep], group[keep], done[keep]
     start, size = _spans(number)
-    place = np.arange(len(fp)) - np.repeat(start, size)
-    best = np.full(len(fp), 255 << 40, dtype=np.int64)
-    for i, j in near_pairs(fp, *_spans(number * (len(fp) // run + 1) + place // run), radius):
-        d = (np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) + np.bitwise_count(more[i] ^ more[j])) << 40
-        np.minimum.at(best, i, d | j)
-        np.minimum.at(best, j, d | i)
-    a = np.flatnonzero(best >> 40 <= both)
-    b = best[a] & ((1 << 40) - 1)
-    near = np.flatnonzero((number[1:] == number[:-1]) & (np.bitwise_count(fp[1:] ^ fp[:-1]).astype(np.int64) + np.bitwise_count(more[1:] ^ more[:-1]) <= both))
-    return ids[np.concatenate((a, near + 1))], ids[np.concatenate((b, near))]
+    done = done[start]
+    apart = lambda i, j: np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) + np.bitwise_count(more[i] ^ more[j])
+
+    def candidates(live):
+        for i, j in near_pairs(fp, start, size, radius, group, number, live):
+            d = apart(i, j)
+            fit = (d <= both) & (d > done[number[i]]) & (group[i] != group[j])
+            yield i[fit], j[fit], d[fit]
+
+    limit, live = allowed * size, np.ones(len(start), dtype=bool)
+    count = np.zeros((len(start), both + 1), dtype=np.int64)
+    for i, _, d in candidates(live):
+        count += np.bincount(number[i] * (both + 1) + d, minlength=count.size).reshape(count.shape)
+        if first:
+            live &= count.sum(1) <= limit
+    total = count.cumsum(1)
+    if first:
+        upto = np.where(live, both, done)
+        i = np.flatnonzero((number[1:] == number[:-1]) & ~live[number[1:]])
+        i = i[apart(i, i + 1) <= both]
+        yield "link", ids[keep[i]], ids[keep[i + 1]]
+    else:
+        upto = np.where(total[:, -1] == 0, both, np.maximum((total <= limit[:, None]).sum(1) - 1, (total > 0).argmax(1)))
+    for i, j, d in candidates((upto > done) & (total[:, -1] > 0)):
+        fit = d <= upto[number[i]]
+        yield "link", ids[keep[i[fit]]], ids[keep[j[fit]]]
+    rest = np.flatnonzero((upto < both)[number])
+    yield "rest", keep[rest], upto[number[rest]]
+
+
+def _whole_buckets(batches) -> Iterator[list[np.ndarray]]:
+    """Columns of whole buckets, sorted by the first two columns, some 2 ** 15 rows at a time."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        c = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        if not len(c[0]):
+            continue
+        change = np.flatnonzero((c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])) + 1
+        cut = change[-1] if len(change) else 0  # the last bucket may go on
+        if sum(len(x[0]) for x in held) >= 1 << 15 and (c[0][0], c[1][0]) != (held[-1][0][-1], held[-1][1][-1]):
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+        if cut:
+            held.append([x[:cut] for x in c])
+            if sum(len(x[0]) for x in held) >= 1 << 15:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held = []
+        held.append([x[cut:] for x in c])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _keyed(nodes: DataFrame, masks: list[int]) -> DataFrame:
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("n"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)]))
+    return nodes.select("id", "fp", "more", keys.alias("k")).select("k.n", "k.key", "id", "fp", "more")
+
+
+def _proposed(rows: DataFrame, **rules) -> DataFrame:
+    """Pairs (a, b) of one round, and with a null: rows of buckets that have more to propose."""
+    names = ["a", "b", "n", "key", "id", "fp", "more", "done"]
+
+    def search(batches):
+        for n, key, ids, fp, more, group, done in _whole_buckets(batches):
+            bucket = np.cumsum(np.concatenate(([0], (n[1:] != n[:-1]) | (key[1:] != key[:-1]))))
+            for kind, x, y in _proposals(bucket, ids, fp.view(np.uint64), more.view(np.uint64), group, done, **rules):
+                for i in range(0, len(x), 1 << 16):
+                    u, v = x[i : i + (1 << 16)], y[i : i + (1 << 16)]
+                    if kind == "link":
+                        c = [pa.array(u), pa.array(v), pa.nulls(len(u), pa.int32()), *[pa.nulls(len(u), pa.int64())] * 5]
+                    else:
+                        c = [*[pa.nulls(len(u), pa.int64())] * 2, pa.array(n[u], pa.int32()), *[pa.array(z[u]) for z in (key, ids, fp, more)], pa.array(v.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(c, names=names)
+
+    sorted_ = rows.select("n", "key", "id", "fp", "more", "group", "done").repartition("n", "key").sortWithinPartitions("n", "key")
+    return sorted_.mapInArrow(search, "a long, b long, n int, key long, id long, fp long, more long, done long")
 
 
 def links(nodes: DataFrame, masks: list[int], join: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -259,34 +355,46 @@ def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 2, block
     return own.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 18, both: int = 34, tables: int = 128, bits: int = 15, run: int = 4096) -> DataFrame:
+def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 18, both: int = 34, tables: int = 128, bits: int = 15) -> DataFrame:
     """Groups of documents whose word shingles have a Jaccard similarity of ``similarity`` or more: rows (doc_id, component_id) of the linked ones.
 
     Candidates share one of ``tables`` sampled masks of ``bits`` bits, lie within ``radius`` bits and,
-    with a second fingerprint, within ``both`` bits, and are nearest to each other in a bucket (in
-    runs of ``run`` rows in Gray order); every link is then verified on the two documents' shingle
-    digests. A similarity of 0.8 differs in about 10 of 64 bits, and 128 masks of 15 bits find such
-    a pair with more than 99.9 % probability, 14 bits with 96 %. A pair need not be linked directly:
-    its group suffices. Rows without doc_id are in no group; if a doc_id has several texts, one of
-    them (that with the largest digests) is compared.
+    with a second fingerprint, within ``both`` bits; every link is verified on the two documents'
+    shingle digests. All candidates are verified unless they are in one group already: buckets
+    propose pairs in rounds, the nearest first, and what a round verifies is contracted before the
+    next. A similarity of 0.8 differs in about 10 of 64 bits, and 128 masks of 15 bits find such
+    a pair with more than 99.9 % probability, 14 bits with 96 %. Rows without doc_id are in no
+    group; if a doc_id has several texts, one of them (that with the largest digests) is compared.
     """
     own = materialise(documents.where("doc_id IS NOT NULL").select("doc_id", fingerprint_pair(F.col("text"), words).alias("f")), "fingerprints")
     nodes = own.select(F.col("doc_id").alias("id"), "f.fp", "f.more").distinct()
-    pairs = links(nodes, sampled_masks(tables, bits), partial(_nearest, radius=radius, run=run, both=both))
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
     @F.arrow_udf("array<long>")
     def shingle_set(texts: pa.Array) -> pa.Array:
         return pa.array([np.unique(digests(t, words)).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = documents.join(wanted, "doc_id", "left_semi").select("doc_id", shingle_set(F.col("text")).alias("s"))
-    sets = materialise(sets.groupBy("doc_id").agg(F.max("s").alias("s")), "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - shared
-    good = both.where((union == 0) | (shared >= similarity * union)).select("a", "b")
-    return components(good, "similar").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    def verified(pairs):
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sets = documents.join(wanted, "doc_id", "left_semi").select("doc_id", shingle_set(F.col("text")).alias("s"))
+        sets = materialise(sets.groupBy("doc_id").agg(F.max("s").alias("s")), "sets")
+        two = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        union = F.size("sa") + F.size("sb") - shared
+        return two.where((union == 0) | (shared >= similarity * union)).select("a", "b")
+
+    rows = _keyed(nodes, sampled_masks(tables, bits)).select("*", F.col("id").alias("group"), F.lit(-1).cast("long").alias("done"))
+    tried = good = None
+    for round_ in itertools.count():
+        found = materialise(_proposed(rows, radius=radius, both=both, allowed=4 ** (round_ + 2), first=not round_), "proposed")
+        pairs = found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti") if round_ else pairs, "pairs")
+        more = materialise(verified(pairs), "verified")
+        tried, good = (tried.unionAll(pairs), good.unionAll(more)) if round_ else (pairs, more)
+        groups = materialise(components(good, "similar"), "groups")
+        rest = found.where("a IS NULL")
+        if rest.isEmpty():
+            return groups.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+        rows = rest.join(groups.withColumnRenamed("node", "id"), "id", "left").select("n", "key", "id", "fp", "more", F.coalesce("component", "id").alias("group"), "done")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
