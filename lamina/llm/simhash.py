@@ -74,9 +74,11 @@ def fingerprint_column(text: Column, words: int) -> Column:
 
 
 def fingerprint_pair(text: Column, words: int) -> Column:
+    """Of the different shingles, as the similarity that decides on links is theirs."""
+
     @F.arrow_udf("struct<fp: long, more: long>")
     def of(texts: pa.Array) -> pa.Array:
-        h = [digests(t, words) for t in texts.to_pylist()]
+        h = [np.unique(digests(t, words)) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([f(x) for x in h], pa.int64()) for f in (_majority, second_fingerprint)], names=["fp", "more"])
 
     return of(text)

@@ -172,6 +172,18 @@ def test_similar_groups_in_a_dense_family(spark):
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == want
 
 
+def test_similar_groups_of_repeated_lines(spark):
+    rng = random.Random(17)
+    rows = []
+    for i in range(12):
+        body, line = ([f"{c}{rng.randrange(10**6)}" for _ in range(n)] for c, n in (("b", 190), ("l", 10)))
+        rows += [(i, body + line), (100 + i, body + line * (10 if i % 2 else 60))]
+    near = similar(rows)
+    assert sorted(near) == [(i, 100 + i) for i in range(12)]
+    got = simhash.similar_groups(frame(spark, [(i, " ".join(w)) for i, w in rows]))
+    assert {r.doc_id: r.component_id for r in got.collect()} == groups(near, {x for p in near for x in p})
+
+
 def test_exact_duplicates_of_awkward_rows(spark, awkward):
     rows = [*awkward, (None, "lonely"), (None, awkward[0][1])]
     for bits in (64, 3):  # with three bits nearly all chunks collide
