@@ -4,7 +4,8 @@ Suffixes are kept only at positions that the content selects: of every WINDOW co
 GRAM words the one with the least hash (its minimiser). GRAM + WINDOW - 1 = MIN_WORDS, so a passage
 of MIN_WORDS words or more holds at least one selected run, and all its copies select the same ones.
 Suffixes are sorted by run, text to the right and text to the left; sorted neighbours of different
-texts are compared and the match is extended right and left. The next selected run is at most
+texts are compared and the match is extended right and left; of runs with more than two suffixes all
+windows of MIN_WORDS words that hold the run are grouped too. The next selected run is at most
 WINDOW words away, so comparing WINDOW - 1 words to the left and MIN_WORDS to the right is enough:
 matches of MIN_WORDS words or more are reported, and what is longer is reported by several runs and
 merged. All comparisons are of the words themselves, with A-Z lower-cased.
@@ -192,7 +193,16 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
                 yield _rows(out)
 
     more = edges.select("h", "t", "p", "l", "r", "t0", "p0", "l0", "r0").mapInArrow(meet, schema)
-    spans = found.where("kind = 2").unionAll(more).select("t", "s", "e").distinct()
+    # The order favours what goes on to the right, so of more than two suffixes neighbours may not be those that match longest: their windows are grouped.
+    many = materialise(suffixes.groupBy("h").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1")).where("n > 2 AND t0 <> t1").select("h"), "many")
+    crowd = materialise(suffixes.join(many, "h").select("t", "p", "l", "r"), "crowd")
+    hashed = crowd.mapInArrow(_window_hashes, "t binary, p long, a int, w long")
+    shared = materialise(hashed.groupBy("w").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 <> t1").select("w"), "windows")
+    starts = hashed.join(shared, "w").groupBy("t", "p").agg(F.collect_list("a").alias("a"))
+    equal = materialise(crowd.join(starts, ["t", "p"]).mapInArrow(_windows, "t binary, s long, w binary"), "candidates")
+    sure = materialise(equal.groupBy("w").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 <> t1").select("w"), "sure")
+    covered = equal.join(sure, "w").select("t", "s", (F.col("s") + MIN_WORDS).alias("e"))
+    spans = found.where("kind = 2").unionAll(more).select("t", "s", "e").unionAll(covered).distinct()
     # A text that several rows have is a passage as a whole.
     whole = groups.where("n > 1").select("t").join(seeds.where("h IS NULL"), "t").select("t", F.lit(0).cast("long").alias("s"), F.col("p").alias("e"))
     spans = spans.unionAll(whole)
@@ -203,6 +213,34 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     return own.join(merged, "t").select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
 
 
+def _around(left: bytes, right: bytes) -> tuple[list[bytes], int]:
+    """The words around a suffix and how many of them are before it."""
+    before = left.split()
+    return before[::-1] + right.split(), len(before)
+
+
+def _window_hashes(batches):
+    """A hash of each window of MIN_WORDS words that holds the suffix's run; ``a`` words of it are before the run."""
+    for b in batches:
+        out = []
+        for t, p, left, right in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            w, n = _around(left, right)
+            out += [(t, p, a, xxhash.xxh64_intdigest(b" ".join(w[n - a : n - a + MIN_WORDS])) - (1 << 63)) for a in range(max(0, n + MIN_WORDS - len(w)), n + 1)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["t", "p", "a", "w"])
+
+
+def _windows(batches):
+    """The words of the windows that begin ``a`` words before the run."""
+    for b in batches:
+        out = []
+        for t, p, left, right, starts in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("t", "p", "l", "r", "a")), strict=True):
+            w, n = _around(left, right)
+            out += [(t, p - a, b" ".join(w[n - a : n - a + MIN_WORDS])) for a in set(starts)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["t", "s", "w"])
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["part", "kind", "h", "t", "p", "l", "r", "s", "e"])

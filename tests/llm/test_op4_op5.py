@@ -47,6 +47,19 @@ def test_passages_match_all_windows(spark):
     assert covered(repeated_passages(frame)) == brute(rows)
 
 
+def test_passages_that_end_in_a_frequent_line(spark):
+    """Two texts share ten words before a line that many texts have, each going on in its own way."""
+    rng = random.Random(11)
+    text = lambda n: ["w" + str(rng.randrange(10**6)) for _ in range(n)]
+    line = text(45)
+    rows = [(i, " ".join(text(20) + line + text(20))) for i in range(60)]
+    for i in range(10):
+        before = text(10)
+        rows += [(100 + 2 * i + k, " ".join(text(20) + before + line + text(20))) for k in (0, 1)]
+    assert len({d for d, _ in brute(rows)}) == 20
+    assert covered(repeated_passages(spark.createDataFrame(rows, DDL).repartition(3))) == brute(rows)
+
+
 def test_passages_of_empty_table(spark):
     assert repeated_passages(spark.createDataFrame([], DDL)).count() == 0
 
