@@ -46,6 +46,9 @@ CHUNK, BLOCK, REMEMBERED = 1 << 16, 64, 80_000
 OWN_BLANK = "\udc00"
 NEVER = -math.inf
 LAST = 1 << 60
+NO_RANK = np.iinfo(np.int32).max
+#: Words of up to so many characters are merged together.
+WIDTHS = (0, 4, 8, 12, 16, 24, 32, 63)
 
 
 def normalise(text: str) -> str:
@@ -186,9 +189,12 @@ class Vocabulary:
         raise ValueError(f"no path of stable pieces: {text!r}")
 
     def encode(self, text: str | None) -> list[int]:
+        return self._encode(normalise(text or ""))
+
+    def _encode(self, text: str) -> list[int]:
         out: list[int] = []
         get = self.units.get
-        for u in self.word.findall(normalise(text or "")):
+        for u in self.word.findall(text):
             ids = get(u)
             if ids is None:
                 ids = self.unit(u)
@@ -251,6 +257,199 @@ class Vocabulary:
         return out[::-1]
 
 
+class Pairs:
+    """What neighbouring pieces merge into, as a hash table for whole arrays of pairs."""
+
+    def __init__(self, v: Vocabulary):
+        a, b = np.array(list(v.joined), dtype=np.int64).reshape(-1, 2).T
+        keys, piece, rank = (a << 32) | b, np.array(list(v.joined.values()), dtype=np.int32), np.array([v.rank[k] for k in v.joined], dtype=np.int32)
+        self.bits = max(8, (4 * len(keys)).bit_length())
+        self.key = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.piece, self.rank = np.zeros(1 << self.bits, dtype=np.int32), np.full(1 << self.bits, NO_RANK, dtype=np.int32)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = np.flatnonzero(self.key[at] == -1)
+            slots, first = np.unique(at[free], return_index=True)
+            own = left[free[first]]
+            self.key[slots], self.piece[slots], self.rank[slots] = keys[own], piece[own], rank[own]
+            stay = np.ones(len(left), dtype=bool)
+            stay[free[first]] = False
+            left, at = left[stay], self._next(at[stay])
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, at: np.ndarray) -> np.ndarray:
+        return (at + 1) & ((1 << self.bits) - 1)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The slot of each pair; that of a pair which does not merge has rank NO_RANK."""
+        keys = (a.astype(np.int64) << 32) | b.astype(np.int64)
+        at = self._slot(keys)
+        left = np.flatnonzero((self.key[at] != keys) & (self.key[at] != -1))
+        while len(left):
+            at[left] = self._next(at[left])
+            left = left[(self.key[at[left]] != keys[left]) & (self.key[at[left]] != -1)]
+        return at
+
+
+class Segmenter:
+    """Segments the different words of a batch together; those of the last REMEMBERED words are looked up."""
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.pairs = v, Pairs(v) if v.bpe else None
+        self.first = len(v.pieces) + np.arange(0x110000, dtype=np.int32)
+        self.first[[ord(c) for c in v.letters]] = list(v.letters.values())
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.store = {}, pa.array([], pa.list_(pa.int32()))
+
+    def words(self, words: list[str]) -> pa.ListArray:
+        """Ids of each of some different words."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        at = list(map(self.known.get, words))
+        new = [w for w, i in zip(words, at, strict=True) if i is None]
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.store = pa.concat_arrays([self.store, self._segment(new)])
+            at = list(map(self.known.get, words))
+        return pc.take(self.store, pa.array(at, pa.int32()))
+
+    def _segment(self, words: list[str]) -> pa.ListArray:
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        if self.pairs is None:
+            return pa.array([self.v.unit(w) for w in words], pa.list_(pa.int32()))
+        codes = self.first[np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)]
+        begin = np.cumsum(sizes) - sizes
+        parts, order = [], []
+        for least, most in zip(WIDTHS, WIDTHS[1:], strict=False):
+            own = np.flatnonzero((sizes > least) & (sizes <= most))
+            if len(own):
+                parts.append(self._merge(codes, begin[own], sizes[own], most))
+                order.append(own)
+        far = np.flatnonzero(sizes > WIDTHS[-1])
+        if len(far):
+            parts.append(pa.array([self.v.unit(words[i]) for i in far], pa.list_(pa.int32())))
+            order.append(far)
+        place = np.empty(len(words), dtype=np.int64)
+        place[np.concatenate(order)] = np.arange(len(words))
+        return pc.take(pa.concat_arrays(parts), pa.array(place))
+
+    def _merge(self, codes: np.ndarray, begin: np.ndarray, sizes: np.ndarray, width: int) -> pa.ListArray:
+        """Merges all words' best pairs (leftmost among equals), one pair a word at a time."""
+        pairs, column = self.pairs, np.arange(width)
+        inside = column < sizes[:, None]
+        ids = np.full((len(sizes), width), -1, dtype=np.int32)
+        ids[inside] = codes[np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        out = np.full_like(ids, -1)
+        ranks = np.full((len(sizes), width), NO_RANK, dtype=np.int32)
+        both = np.flatnonzero(inside[:, 1:].ravel())
+        both = both // (width - 1) * width + both % (width - 1)
+        ranks.ravel()[both] = pairs.rank[pairs.find(ids.ravel()[both], ids.ravel()[both + 1])]
+        row = np.arange(len(sizes))
+        while len(row):
+            best = ranks.argmin(1)
+            on = np.arange(len(row))
+            going = ranks[on, best] != NO_RANK
+            if not going.all():
+                out[row[~going]] = ids[~going]
+                ids, ranks, row, best = ids[going], ranks[going], row[going], best[going]
+                on = np.arange(len(row))
+                if not len(row):
+                    break
+            piece = pairs.piece[pairs.find(ids[on, best], ids[on, best + 1])]
+            past = column > best[:, None]
+            ids[:, :-1] = np.where(past[:, :-1], ids[:, 1:], ids[:, :-1])
+            ranks[:, :-1] = np.where(past[:, :-1], ranks[:, 1:], ranks[:, :-1])
+            ids[:, -1], ranks[:, -1] = -1, NO_RANK
+            ids[on, best] = piece
+            for side in (best - 1, best):
+                ok = (side >= 0) & (side + 1 < width)
+                ok[ok] = ids[on[ok], side[ok] + 1] >= 0
+                now = np.full(len(row), NO_RANK, dtype=np.int32)
+                now[ok] = pairs.rank[pairs.find(ids[on[ok], side[ok]], ids[on[ok], side[ok] + 1])]
+                ranks[on[side >= 0], side[side >= 0]] = now[side >= 0]
+        lengths, flat = (out >= 0).sum(1), out[out >= 0]
+        bare = np.flatnonzero(flat >= len(self.v.pieces))  # characters without a piece become bytes
+        if len(bare):
+            emitted = [self.v.emit(int(x)) for x in flat[bare]]
+            times = np.ones(len(flat), dtype=np.int64)
+            times[bare] = list(map(len, emitted))
+            word = np.repeat(np.arange(len(lengths)), lengths)
+            lengths = np.bincount(word, weights=times, minlength=len(lengths)).astype(np.int64)
+            at = np.cumsum(times) - times
+            flat = np.repeat(flat, times)
+            for i, e in zip(at[bare], emitted, strict=True):
+                flat[i : i + len(e)] = e
+        return _lists(lengths, flat)
+
+
+def _lists(lengths: np.ndarray, values: pa.Array | np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), values)
+
+
+def _gathered(lists: pa.ListArray, number: pa.Array, group_sizes: np.ndarray) -> pa.ListArray:
+    """The lists of those numbers, one after the other, joined in groups of so many."""
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)[number.to_numpy()]
+    until = np.concatenate(([0], np.cumsum(lengths)))
+    ends = until[np.concatenate(([0], np.cumsum(group_sizes)))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pc.take(lists, number).flatten())
+
+
+def encode_batch(s: Segmenter, texts: pa.Array) -> pa.ListArray:
+    """Ids of each text. Arrow cuts a batch at blanks and line feeds and numbers its different parts; their words are segmented once.
+
+    A part is a whole number of words, as a piece has blanks at its beginning only. Texts in which
+    blanks stand together or at the beginning, or that hold the marks used here, are taken one by one.
+    """
+    v, texts = s.v, texts.cast(pa.string()).fill_null("")
+    odd = pc.match_substring_regex(texts, "^ |  |\x00|\u2581").to_numpy(zero_copy_only=False)
+    plain = pc.if_else(pa.array(odd), "", texts)
+    marked = pc.replace_substring(pc.replace_substring(plain, " ", "\x00▁"), "\n", "\x00\n\x00")
+    parts = pc.split_pattern(pc.if_else(pc.equal(plain, ""), "", pc.binary_join_element_wise("▁", marked, "")), "\x00")
+    number = parts.flatten().dictionary_encode()
+    different = number.dictionary.to_numpy(zero_copy_only=False).tolist()
+    # Line feeds are words of their own, so that they can stand between the parts.
+    words = v.word.findall("\n".join("" if p == "\n" else p for p in different))
+    code = pa.array(words, pa.string()).dictionary_encode()
+    names = code.dictionary.to_numpy(zero_copy_only=False).tolist()
+    if "\n" not in names:
+        names.append("\n")
+    feed = names.index("\n")
+    at = code.indices.to_numpy()
+    own = at != feed
+    per_part = np.bincount(np.cumsum(~own)[own], minlength=len(different))
+    if "\n" in different:
+        k = different.index("\n")
+        per_part[k] = 1
+        at = np.insert(at[own], per_part[:k].sum(), feed)
+    else:
+        at = at[own]
+    by_part = _gathered(s.words(names), pa.array(at, pa.int32()), per_part)
+    ids = _gathered(by_part, number.indices, pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    if not odd.any():
+        return ids
+    alone = pa.array([v.encode(t) for t in pc.filter(texts, pa.array(odd)).to_pylist()], pa.list_(pa.int32()))
+    place = np.where(odd, len(texts) + np.cumsum(odd) - 1, np.arange(len(texts)))
+    return pc.take(pa.concat_arrays([ids, alone]), pa.array(place))
+
+
+def decode_batch(v: Vocabulary, raw: pa.Array, ids: pa.ListArray) -> pa.Array:
+    """Texts of lists of ids: the bytes of all pieces of a batch are laid out at once and cut where the lists end."""
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    laid = pc.take(raw, ids.flatten())
+    offsets = np.frombuffer(laid.buffers()[1], dtype=np.int64, count=len(laid) + 1 + laid.offset)[laid.offset :]
+    ends = offsets[np.concatenate(([0], np.cumsum(sizes)))]
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.tobytes()), laid.buffers()[2]])
+    try:
+        text = pc.utf8_slice_codeunits(whole.cast(pa.large_string()), 1).cast(pa.string())  # the blank before each text
+    except pa.ArrowInvalid:  # ids that no text has
+        text = pa.array([b.decode("utf-8", "replace")[1:] for b in whole.to_pylist()], pa.string())
+    return text if not ids.null_count else pc.if_else(ids.is_valid(), text, pa.scalar(None, pa.string()))
+
+
 def cuts(v: Vocabulary, text: str, a: int, z: int) -> list[int]:
     """Places in (a, z) that no piece crosses, whatever stands before a."""
     return [m.start() for m in v.word.finditer(text, a, z) if m.start() > a]
@@ -394,10 +593,9 @@ def encode(documents: DataFrame, vocabulary: Vocabulary | None = None, chunk: in
 
     @F.arrow_udf("array<int>")
     def short(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        segmenter = Segmenter(shared.value)
         for texts in batches:
-            ids = [np.array(shared.value.encode(t), dtype=np.int32) for t in texts.to_pylist()]
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            yield pa.ListArray.from_arrays(ends, np.concatenate([*ids, np.empty(0, dtype=np.int32)]))
+            yield encode_batch(segmenter, texts)
 
     is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
     rows = documents.select("doc_id", "text")
@@ -412,9 +610,9 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFram
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary.load())
 
     @F.arrow_udf("string")
-    def text(ids: pa.Array) -> pa.Array:
-        ends = np.cumsum([0, *(n or 0 for n in pc.list_value_length(ids).to_pylist())])
-        flat = ids.flatten().to_numpy(zero_copy_only=False).tolist()  # all lists at once: far quicker than one by one
-        return pa.array([shared.value.decode(flat[a:z]) if ok else None for a, z, ok in zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False)], pa.string())
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        raw = pa.array(shared.value.raw, pa.large_binary())
+        for ids in batches:
+            yield decode_batch(shared.value, raw, ids)
 
     return encoded.withColumn("text", text("ids"))

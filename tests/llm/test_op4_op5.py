@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -82,6 +83,11 @@ def vocabulary():
     return pieces.Vocabulary.load()
 
 
+@pytest.fixture(scope="module")
+def segmenter(vocabulary):
+    return pieces.Segmenter(vocabulary)
+
+
 @pytest.fixture(scope="module")
 def library():
     sp = pytest.importorskip("sentencepiece")
@@ -108,6 +114,32 @@ def test_same_pieces_as_the_library(vocabulary, library, text):
     assert vocabulary.encode(text) == library.encode(text)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(TEXTS, st.text(max_size=30), st.none(), st.sampled_from([" a", "a  b", "a ▁b", "a\x00b", "x" * 100, "\n", " ", "a\n b \nc", "€ uro ∆"])), max_size=8))
+def test_batches_equal_texts_one_by_one(vocabulary, segmenter, library, texts):
+    texts = [None if t is None else "".join(c for c in t if not 0xD800 <= ord(c) <= 0xDFFF) for t in texts]
+    got = pieces.encode_batch(segmenter, pa.array([*texts, "begin"], pa.string()).slice(0, len(texts)))
+    assert got.to_pylist() == [vocabulary.encode(t) for t in texts]
+    assert [g for g, t in zip(got.to_pylist(), texts, strict=True) if "▁" not in (t or "")] == [library.encode(t or "") for t in texts if "▁" not in (t or "")]
+    back = pieces.decode_batch(vocabulary, pa.array(vocabulary.raw, pa.large_binary()), got)
+    assert back.to_pylist() == [t or "" for t in texts]
+
+
+def test_words_that_are_forgotten_are_segmented_again(vocabulary, monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 5)
+    few = pieces.Segmenter(vocabulary)
+    for k in range(6):
+        texts = [f"word{i} tion{i * k} schbe" for i in range(k, k + 9)]
+        assert pieces.encode_batch(few, pa.array(texts)).to_pylist() == [vocabulary.encode(t) for t in texts]
+
+
+def test_decoding_of_lists_that_no_text_has(vocabulary):
+    raw = pa.array(vocabulary.raw, pa.large_binary())
+    ids = pa.array([[vocabulary.byte[200], vocabulary.byte[65]], None, [], vocabulary.encode("né")], pa.list_(pa.int32()))
+    assert pieces.decode_batch(vocabulary, raw, ids).to_pylist() == ["A", None, "", "né"]
+    assert pieces.decode_batch(vocabulary, raw, ids.slice(2)).to_pylist() == ["", "né"]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_round_trip(vocabulary, text):
