@@ -25,6 +25,21 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+#: Rows of a few numbers that may be broadcast: some tens of MB.
+FEW = 1 << 20
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """For the side of a join: broadcast if it is a table of FEW rows at most, which is counted; else Spark decides, and shuffles."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
+def whole_row(documents: DataFrame) -> Column:
+    """All columns as one value named row, whatever their names."""
+    quoted = (c.replace("`", "``") for c in documents.columns)
+    return F.struct(*[F.col(f"`{c}`") for c in quoted]).alias("row")
+
+
 def components(links: DataFrame, name: str = "links", rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph of (a, b) long pairs; rows (node, component).
 
@@ -57,4 +72,4 @@ def components(links: DataFrame, name: str = "links", rounds: int = 60) -> DataF
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(own)
 
 
-__all__ = ["ascii_lower", "components", "materialise", "read"]
+__all__ = ["ascii_lower", "components", "materialise", "read", "small", "whole_row"]

@@ -15,12 +15,17 @@ bucket hands on only its clusters' spanning links, not their pairs.
 
 Null and empty texts have fingerprint zero and link like any other; fewer words than a shingle has
 make one shingle. Repeated rows stay, each with its group. A null doc_id counts for no minimum.
+
+similar_groups() links texts by the Jaccard similarity of their shingles instead. There fingerprints
+can only propose: the index finds nearly all links and joins what is alike into groups, and what it
+may have missed is found by an exact search over few shingles of each text (module ``overlap``).
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 from functools import partial
 
 import numpy as np
@@ -29,7 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import components, materialise
+from lamina.llm import overlap
+from lamina.llm.common import components, materialise, small, whole_row
 
 SEED, BITS, FAN = 42, 64, 8
 
@@ -73,13 +79,22 @@ def fingerprint_column(text: Column, words: int) -> Column:
     return of(text)
 
 
-def fingerprint_pair(text: Column, words: int) -> Column:
-    """Of the different shingles, as the similarity that decides on links is theirs."""
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The digests of the different shingles in ascending order; a text without words has one digest, 0."""
+    h = np.unique(digests(text, words))
+    return h if len(h) else np.zeros(1, dtype=np.uint64)
+
+
+def sketch(text: Column, words: int, similarity: Fraction) -> Column:
+    """Both fingerprints, of the different shingles as the similarity that decides on links is theirs, their number, their parity bits, and the first of them."""
 
-    @F.arrow_udf("struct<fp: long, more: long>")
+    @F.arrow_udf("struct<fp: long, more: long, n: int, parity: array<long>, tokens: array<long>>")
     def of(texts: pa.Array) -> pa.Array:
-        h = [np.unique(digests(t, words)) for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([f(x) for x in h], pa.int64()) for f in (_majority, second_fingerprint)], names=["fp", "more"])
+        h = [shingle_set(t, words) for t in texts.to_pylist()]
+        first = [x[: overlap.prefix_length(len(x), similarity)].view(np.int64) for x in h]
+        ends = np.cumsum([0, *map(len, first)])
+        tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*first, np.empty(0, dtype=np.int64)])))
+        return pa.StructArray.from_arrays([pa.array([_majority(x) for x in h], pa.int64()), pa.array([second_fingerprint(x) for x in h], pa.int64()), pa.array([len(x) for x in h], pa.int32()), overlap.parity(h), tokens], names=["fp", "more", "n", "parity", "tokens"])
 
     return of(text)
 
@@ -125,19 +140,17 @@ def _levels(fp: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[tuple]:
             return levels
 
 
-def near_pairs(fp: np.ndarray, start: np.ndarray, size: np.ndarray, radius: int, group: np.ndarray | None = None, number: np.ndarray | None = None, live: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_pairs(fp: np.ndarray, start: np.ndarray, size: np.ndarray, radius: int, number: np.ndarray | None = None, live: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows, i < j, of one bucket whose fingerprints differ in ``radius`` bits at most. Rows of a bucket lie together in Gray order.
 
-    With ``group`` nodes whose rows are all of one group are not paired with each other, and buckets
-    (``number`` of a row) that ``live``, which the caller may change meanwhile, has not are left out.
+    Buckets (``number`` of a row) that ``live``, which the caller may change meanwhile, has not are left.
     """
     levels = _levels(fp, start, size)
-    chunk = 1 << 17 if group is None else 1 << 14  # each pair of nodes makes FAN ** 2 at most
-    if group is not None:
-        own = [(group, group, number)]
+    chunk = 1 << 17 if live is None else 1 << 14  # each pair of nodes makes FAN ** 2 at most
+    if live is not None:
+        own = [number]
         for _, _, child, _ in levels[1:]:
-            least, most, of = own[-1]
-            own.append((np.minimum.reduceat(least, child), np.maximum.reduceat(most, child), of[child]))
+            own.append(own[-1][child])
     roots = np.arange(len(start))
     stack = [(len(levels) - 1, roots, roots)]
     while stack:
@@ -146,14 +159,14 @@ def near_pairs(fp: np.ndarray, start: np.ndarray, size: np.ndarray, radius: int,
             half = len(a) // 2
             stack += [(level, a[:half], b[:half]), (level, a[half:], b[half:])]
             continue
-        if group is not None:
-            on = live[own[level][2][a]]
+        if live is not None:
+            on = live[own[level][a]]
             a, b = a[on], b[on]
-        ones, any_, child, children = levels[level]
         if level == 0:
             keep = a < b
             yield a[keep], b[keep]
             continue
+        _, _, child, children = levels[level]
         na, nb = children[a], children[b]
         total = na * nb
         pair = np.repeat(np.arange(len(a)), total)
@@ -162,9 +175,6 @@ def near_pairs(fp: np.ndarray, start: np.ndarray, size: np.ndarray, radius: int,
         ones, any_ = levels[level - 1][:2]
         fixed = ~(ones[x] ^ any_[x]) & ~(ones[y] ^ any_[y])
         keep = (x <= y) & (np.bitwise_count((ones[x] ^ ones[y]) & fixed) <= radius)
-        if group is not None:
-            least, most, _ = own[level - 1]
-            keep &= (least[x] != most[x]) | (least[y] != most[y]) | (least[x] != least[y])
         if keep.any():
             stack.append((level - 1, x[keep], y[keep]))
 
@@ -196,115 +206,40 @@ def _sorted(bucket: np.ndarray, ids: np.ndarray, fp: np.ndarray, *more: np.ndarr
     return [x[keep] for x in (number, ids, fp, *more)]
 
 
-def _spanning(bucket: np.ndarray, ids: np.ndarray, fp: np.ndarray, more: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _spanning(bucket: np.ndarray, ids: np.ndarray, fp: np.ndarray, more: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links (id, id) that join exactly what lies within the radius, over whole buckets."""
     number, ids, fp = _sorted(bucket, ids, fp)
-    if not len(fp):
-        return ids, ids
-    label = _clusters(len(fp), near_pairs(fp, *_spans(number), radius))
-    a = np.flatnonzero(label != np.arange(len(fp)))
-    return ids[a], ids[label[a]]
-
+    if len(fp):
+        label = _clusters(len(fp), near_pairs(fp, *_spans(number), radius))
+        a = np.flatnonzero(label != np.arange(len(fp)))
+        yield ids[a], ids[label[a]]
 
-def _proposals(bucket: np.ndarray, ids: np.ndarray, fp: np.ndarray, more: np.ndarray, group: np.ndarray, done: np.ndarray, radius: int, both: int, allowed: int, first: bool) -> Iterator[tuple]:
-    """Pairs of rows to verify: ("link", ids, ids), and what is left for later: ("rest", rows, distance done).
 
-    A bucket proposes its pairs of different groups in order of distance, those up to ``done`` having
-    been proposed before, and as many whole distances as make ``allowed`` pairs a row, one at least.
-    In the first round, where nothing is in groups yet, a bucket of more pairs proposes its Gray
-    neighbours instead, so that copies become a group before their pairs are looked at.
-    """
-    number = np.cumsum(np.concatenate(([False], bucket[1:] != bucket[:-1])))
-    by_group = np.lexsort((group, number))
-    new = np.concatenate(([True], (np.diff(number[by_group]) != 0) | (np.diff(group[by_group]) != 0)))
-    run = np.cumsum(new) - 1
-    members, one_group = np.empty(len(ids), dtype=np.int64), np.empty(len(ids), dtype=np.int64)
-    members[by_group], one_group[by_group] = np.bincount(run)[run], run + 1
-    keep = np.flatnonzero((np.bincount(number)[number] > 1) & (members < np.bincount(number)[number]))
-    # Groups lie together so that the index passes over them; what is alone lies in Gray order.
-    keep = keep[np.lexsort((ids[keep], gray_rank(fp[keep]), np.where(members > 1, one_group, 0)[keep], number[keep]))]
-    if not len(keep):
+def _proposals(bucket: np.ndarray, ids: np.ndarray, fp: np.ndarray, more: np.ndarray, radius: int, both: int, allowed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (id, id) to verify: the pairs of each bucket within both radii, or, where these are more than ``allowed`` a row, its Gray neighbours."""
+    number, ids, fp, more = _sorted(bucket, ids, fp, more)
+    if not len(fp):
         return
-    number, fp, more, group, done = np.unique(number[keep], return_inverse=True)[1], fp[keep], more[keep], group[keep], done[keep]
+    number = np.unique(number, return_inverse=True)[1]
     start, size = _spans(number)
-    done = done[start]
+    limit, live, count = allowed * size, np.ones(len(start), dtype=bool), np.zeros(len(start), dtype=np.int64)
     apart = lambda i, j: np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) + np.bitwise_count(more[i] ^ more[j])
-
-    def candidates(live):
-        for i, j in near_pairs(fp, start, size, radius, group, number, live):
-            d = apart(i, j)
-            fit = (d <= both) & (d > done[number[i]]) & (group[i] != group[j])
-            yield i[fit], j[fit], d[fit]
-
-    limit, live = allowed * size, np.ones(len(start), dtype=bool)
-    count = np.zeros((len(start), both + 1), dtype=np.int64)
-    for i, _, d in candidates(live):
-        count += np.bincount(number[i] * (both + 1) + d, minlength=count.size).reshape(count.shape)
-        if first:
-            live &= count.sum(1) <= limit
-    total = count.cumsum(1)
-    if first:
-        upto = np.where(live, both, done)
-        i = np.flatnonzero((number[1:] == number[:-1]) & ~live[number[1:]])
-        i = i[apart(i, i + 1) <= both]
-        yield "link", ids[keep[i]], ids[keep[i + 1]]
-    else:
-        upto = np.where(total[:, -1] == 0, both, np.maximum((total <= limit[:, None]).sum(1) - 1, (total > 0).argmax(1)))
-    for i, j, d in candidates((upto > done) & (total[:, -1] > 0)):
-        fit = d <= upto[number[i]]
-        yield "link", ids[keep[i[fit]]], ids[keep[j[fit]]]
-    rest = np.flatnonzero((upto < both)[number])
-    yield "rest", keep[rest], upto[number[rest]]
-
-
-def _whole_buckets(batches) -> Iterator[list[np.ndarray]]:
-    """Columns of whole buckets, sorted by the first two columns, some 2 ** 15 rows at a time."""
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        c = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-        if not len(c[0]):
-            continue
-        change = np.flatnonzero((c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])) + 1
-        cut = change[-1] if len(change) else 0  # the last bucket may go on
-        if sum(len(x[0]) for x in held) >= 1 << 15 and (c[0][0], c[1][0]) != (held[-1][0][-1], held[-1][1][-1]):
-            yield [np.concatenate(x) for x in zip(*held, strict=True)]
-            held = []
-        if cut:
-            held.append([x[:cut] for x in c])
-            if sum(len(x[0]) for x in held) >= 1 << 15:
-                yield [np.concatenate(x) for x in zip(*held, strict=True)]
-                held = []
-        held.append([x[cut:] for x in c])
-    if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
-
-
-def _keyed(nodes: DataFrame, masks: list[int]) -> DataFrame:
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("n"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)]))
-    return nodes.select("id", "fp", "more", keys.alias("k")).select("k.n", "k.key", "id", "fp", "more")
-
-
-def _proposed(rows: DataFrame, **rules) -> DataFrame:
-    """Pairs (a, b) of one round, and with a null: rows of buckets that have more to propose."""
-    names = ["a", "b", "n", "key", "id", "fp", "more", "done"]
-
-    def search(batches):
-        for n, key, ids, fp, more, group, done in _whole_buckets(batches):
-            bucket = np.cumsum(np.concatenate(([0], (n[1:] != n[:-1]) | (key[1:] != key[:-1]))))
-            for kind, x, y in _proposals(bucket, ids, fp.view(np.uint64), more.view(np.uint64), group, done, **rules):
-                for i in range(0, len(x), 1 << 16):
-                    u, v = x[i : i + (1 << 16)], y[i : i + (1 << 16)]
-                    if kind == "link":
-                        c = [pa.array(u), pa.array(v), pa.nulls(len(u), pa.int32()), *[pa.nulls(len(u), pa.int64())] * 5]
-                    else:
-                        c = [*[pa.nulls(len(u), pa.int64())] * 2, pa.array(n[u], pa.int32()), *[pa.array(z[u]) for z in (key, ids, fp, more)], pa.array(v.astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(c, names=names)
-
-    sorted_ = rows.select("n", "key", "id", "fp", "more", "group", "done").repartition("n", "key").sortWithinPartitions("n", "key")
-    return sorted_.mapInArrow(search, "a long, b long, n int, key long, id long, fp long, more long, done long")
-
-
-def links(nodes: DataFrame, masks: list[int], join: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    held: list[tuple] = []
+    for i, j in near_pairs(fp, start, size, radius, number, live):
+        fit = apart(i, j) <= both
+        i, j = i[fit], j[fit]
+        count += np.bincount(number[i], minlength=len(start))
+        live &= count <= limit  # near_pairs() leaves such a bucket
+        held.append((i, j))
+    for i, j in held:
+        on = live[number[i]]
+        yield ids[i[on]], ids[j[on]]
+    i = np.flatnonzero((number[1:] == number[:-1]) & ~live[number[1:]])
+    i = i[apart(i, i + 1) <= both]
+    yield ids[i], ids[i + 1]
+
+
+def links(nodes: DataFrame, masks: list[int], join: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
     """Links (a, b) between ids of nodes (id long, fp long, more long), found by ``join`` among those that share a mask's bits."""
 
     def search(batches):
@@ -313,9 +248,9 @@ def links(nodes: DataFrame, masks: list[int], join: Callable[..., tuple[np.ndarr
         def flush():
             n, key, ids, fp, more = (np.concatenate(x) for x in zip(*held, strict=True))
             bucket = np.cumsum(np.concatenate(([0], (n[1:] != n[:-1]) | (key[1:] != key[:-1]))))
-            a, b = join(bucket, ids, fp, more)
-            for i in range(0, len(a), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 16)]), pa.array(b[i : i + (1 << 16)])], names=["a", "b"])
+            for a, b in join(bucket, ids, fp, more):
+                for i in range(0, len(a), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 16)]), pa.array(b[i : i + (1 << 16)])], names=["a", "b"])
 
         for batch in batches:
             n, key, ids, fp, more = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
@@ -357,49 +292,61 @@ def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 2, block
     return own.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 18, both: int = 34, tables: int = 128, bits: int = 15) -> DataFrame:
-    """Groups of documents whose word shingles have a Jaccard similarity of ``similarity`` or more: rows (doc_id, component_id) of the linked ones.
+#: Tables of the index over similar texts; bits of a table's mask so that a bucket holds about 2 ** SHARING of unrelated texts.
+TABLES, SHARING = 48, 3
 
-    Candidates share one of ``tables`` sampled masks of ``bits`` bits, lie within ``radius`` bits and,
-    with a second fingerprint, within ``both`` bits; every link is verified on the two documents'
-    shingle digests. All candidates are verified unless they are in one group already: buckets
-    propose pairs in rounds, the nearest first, and what a round verifies is contracted before the
-    next. A similarity of 0.8 differs in about 10 of 64 bits, and 128 masks of 15 bits find such
-    a pair with more than 99.9 % probability, 14 bits with 96 %. Rows without doc_id are in no
-    group; if a doc_id has several texts, one of them (that with the largest digests) is compared.
+
+def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 18, both: int = 34, tables: int = TABLES) -> DataFrame:
+    """Groups of texts whose word shingles have a Jaccard similarity of ``similarity`` or more: rows (doc_id, text_hash, component_id) of the linked ones.
+
+    Groups are exactly those of all such links. The index proposes texts that share one of
+    ``tables`` sampled masks, lie within ``radius`` bits and, with a second fingerprint, within
+    ``both`` bits (a similarity of 0.8 differs in about 10 and 19 bits); every link is verified on
+    the two texts' shingle digests, and verified links are contracted. Then overlap.candidates()
+    proposes all pairs of different groups that can be as similar. A text is known by doc_id and
+    the hash of the text; component_id is the smallest doc_id. Rows without doc_id are in no group.
     """
-    own = materialise(documents.where("doc_id IS NOT NULL").select("doc_id", fingerprint_pair(F.col("text"), words).alias("f")), "fingerprints")
-    nodes = own.select(F.col("doc_id").alias("id"), "f.fp", "f.more").distinct()
+    share = Fraction(str(similarity))
+    key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+    own = documents.where("doc_id IS NOT NULL").select("doc_id", key, sketch(F.col("text"), words, share).alias("f"))
+    own = materialise(own.select(F.monotonically_increasing_id().alias("id"), "doc_id", "text_hash", "f.*"), "sketches")
 
     @F.arrow_udf("array<long>")
-    def shingle_set(texts: pa.Array) -> pa.Array:
-        return pa.array([np.unique(digests(t, words)).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
-
-    def verified(pairs):
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = documents.join(wanted, "doc_id", "left_semi").select("doc_id", shingle_set(F.col("text")).alias("s"))
-        sets = materialise(sets.groupBy("doc_id").agg(F.max("s").alias("s")), "sets")
-        two = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    def whole(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t, words).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        """(id, s) of the texts with these ids."""
+        named = materialise(own.select("id", "doc_id", "text_hash").join(small(wanted), "id", "left_semi"), "named")
+        texts = documents.select("doc_id", key, "text").join(small(named), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+        return texts.select("doc_id", "text_hash", whole("text").alias("s")).join(named, ["doc_id", "text_hash"]).select("id", "s")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(overlap.possible(pairs, own, share), "possible")
+        wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+        s = materialise(sets(wanted), "sets")
+        two = pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
-        union = F.size("sa") + F.size("sb") - shared
-        return two.where((union == 0) | (shared >= similarity * union)).select("a", "b")
-
-    rows = _keyed(nodes, sampled_masks(tables, bits)).select("*", F.col("id").alias("group"), F.lit(-1).cast("long").alias("done"))
-    tried = good = None
-    for round_ in itertools.count():
-        found = materialise(_proposed(rows, radius=radius, both=both, allowed=4 ** (round_ + 2), first=not round_), "proposed")
-        pairs = found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti") if round_ else pairs, "pairs")
-        more = materialise(verified(pairs), "verified")
-        tried, good = (tried.unionAll(pairs), good.unionAll(more)) if round_ else (pairs, more)
-        groups = materialise(components(good, "similar"), "groups")
-        rest = found.where("a IS NULL")
-        if rest.isEmpty():
-            return groups.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
-        rows = rest.join(groups.withColumnRenamed("node", "id"), "id", "left").select("n", "key", "id", "fp", "more", F.coalesce("component", "id").alias("group"), "done")
+        return two.where(share.denominator * shared >= share.numerator * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+    bits = min(48, max(8, own.count().bit_length() - SHARING))
+    proposed = links(own.select("id", "fp", "more"), sampled_masks(tables, bits), partial(_proposals, radius=radius, both=both, allowed=16))
+    pairs = materialise(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
+    good = materialise(verified(pairs), "verified")
+    groups = materialise(components(good, "similar"), "groups")
+    rest = materialise(overlap.candidates(own, groups, sets, share), "rest")
+    more = materialise(verified(rest), "verified")
+    groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "similar")
+    named = materialise(groups.withColumnRenamed("node", "id").join(own.select("id", "doc_id", "text_hash"), "id"), "groups")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "component").select("doc_id", "text_hash", "component_id").distinct()
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The smallest doc_id of each group of similar documents and all documents outside groups, with their columns."""
-    gone = materialise(similar_groups(documents), "groups").where("doc_id <> component_id").select("doc_id")
-    return documents.join(gone, "doc_id", "left_anti").select(documents.columns)
+    """The smallest doc_id of each group of similar documents and all documents outside groups, with their columns; of several texts of that doc_id in one group all stay."""
+    gone = similar_groups(documents).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    gone = small(materialise(gone, "gone"))
+    # Each document goes along as one value, so that its columns clash with none of these.
+    own = documents.select(whole_row(documents), F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_hash"))
+    stay = own.join(gone, (F.col("own_id") == F.col("gone_id")) & (F.col("own_hash") == F.col("gone_hash")), "left_anti")
+    return stay.select("row.*")

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from functools import partial
 from zlib import crc32
 
 import numpy as np
@@ -12,11 +13,11 @@ import xxhash
 
 from pyspark.sql import functions as F
 
-from lamina.llm import decontam, exact, sharding, simhash
+from lamina.llm import decontam, exact, overlap, sharding, simhash
 from lamina.llm.common import components, read
 
 DDL = "doc_id long, text string"
-CLASH = "'x' AS fp, 1 AS t, 2 AS recipe, 3 AS n, 'y' AS digest, 4 AS _id, 'z' AS lang"
+CLASH = "'x' AS fp, 1 AS t, 2 AS recipe, 3 AS n, 'y' AS digest, 4 AS _id, 'z' AS lang, 5 AS `a.b`, 6 AS `text_hash`, 7 AS id, 8 AS `row`, 9 AS `gone_id`"
 
 
 def normal(text):
@@ -108,8 +109,6 @@ def test_links_span_all_pairs_within_two_bits(spark, share):
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     nodes = spark.createDataFrame([(s, s, 0) for s in signed], "id long, fp long, more long")
-    from functools import partial
-
     found = simhash.links(nodes, simhash.covering_masks(2, 6), partial(simhash._spanning, radius=2))
     got = {r.node: r.component for r in components(found).collect()}
     a = np.array(fps, dtype=np.uint64)
@@ -117,59 +116,105 @@ def test_links_span_all_pairs_within_two_bits(spark, share):
     assert got == groups(pairs, {x for p in pairs for x in p})
 
 
-def test_similar_groups(spark):
-    rng = random.Random(6)
-    base = [[rng.choice("abcdefgh") + str(rng.randrange(2000)) for _ in range(rng.choice((40, 120, 300)))] for _ in range(60)]
-    rows = [(i, w) for i, w in enumerate(base)]
-    for i in range(60, 140):
-        w = list(rng.choice(base))
-        for _ in range(rng.choice((1, 1, 2, 4, 30))):
-            w[rng.randrange(len(w))] = "changed"
-        rows.append((i, w))
-    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in rows}
+def similar(rows, k=5):
+    """Brute force: links (a, b) of similarity 0.8 or more."""
+    sets = {i: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or {tuple(w)} for i, w in rows}
     ids = sorted(sets)
-    near = [(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+def linked(groups_):
+    return {(r.doc_id): r.component_id for r in groups_.collect()}
+
+
+def check_similar(spark, rows):
+    """All groups and what stays against all pairs."""
+    near = similar(rows)
     want = groups(near, {x for p in near for x in p})
     docs = frame(spark, [(i, " ".join(w)) for i, w in rows])
-    assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == want
+    assert linked(simhash.similar_groups(docs)) == want
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {i for i in ids if want.get(i, i) == i}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in rows if want.get(i, i) == i)
+    return near
 
 
-def similar(rows, k=5):
-    """Brute force: links (a, b) of similarity 0.8 or more."""
-    sets = {i: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} for i, w in rows}
-    ids = sorted(sets)
-    return [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+def edited(rng, words_, times):
+    w = list(words_)
+    for at in rng.sample(range(len(w)), times):
+        w[at] = f"new{rng.randrange(10**9)}"
+    return w
 
 
-def test_similar_groups_in_a_dense_family(spark):
-    """Pages of one template at 0.71 to 0.79 hide pairs of 0.81 from each other."""
+def test_similar_groups_of_all_sizes(spark):
+    rng = random.Random(6)
+    base = [[rng.choice("abcdefgh") + str(rng.randrange(2000)) for _ in range(rng.choice((3, 5, 6, 9, 15, 40, 120, 300)))] for _ in range(120)]
+    rows = list(enumerate(base))
+    for i in range(120, 320):
+        w = rng.choice(base)
+        rows.append((i, edited(rng, w, min(len(w), rng.choice((0, 1, 1, 2, 4, 30))))))
+    assert len(check_similar(spark, rows)) > 60
+
+
+def test_similar_groups_of_templates(spark):
+    """Forty templates of sixty pages each: nearly all pages are alike, few are similar enough."""
+    rng = random.Random(30)
+    rows = []
+    for k in range(40):
+        template = [f"t{k}-{i}" for i in range(200)]
+        rows += [(60 * k + i, edited(rng, template, rng.randrange(3, 8))) for i in range(60)]
+    sets = {}
+    for i, w in rows:
+        sets.setdefault(i // 60, []).append((i, w))
+    near = [p for family in sets.values() for p in similar(family)]  # pages of two templates share nothing
+    want = groups(near, {x for p in near for x in p})
+    assert 50 < len(near) < 1000
+    assert linked(simhash.similar_groups(frame(spark, [(i, " ".join(w)) for i, w in rows]))) == want
+
+
+@pytest.mark.parametrize(("hot", "tables"), [(64, 48), (3, 48), (3, 1), (1, 1)])
+def test_similar_groups_in_a_dense_family(spark, monkeypatch, hot, tables):
+    """Pages of one template at 0.71 to 0.79 hide pairs of 0.81 from each other; hot tokens and an index that finds next to nothing change no result."""
+    monkeypatch.setattr(overlap, "HOT", hot)
     rng = random.Random(16)
     template = [f"t{i}" for i in range(300)]
     rows = []
-    for i in range(300):
+    for i in range(150):
         w = list(template)
         for at in rng.sample(range(60), 5):
             w[5 * at] = f"own{i}-{at}"
         rows.append((i, w))
-    for i in range(30):
+    for i in range(20):
         w = list(rows[i][1])
         for at in rng.sample(range(60), 6):
             w[5 * at + 1] = f"new{i}-{at}"
         rows.append((1000 + i, w))
+    line = [f"common{i}" for i in range(40)]
+    rows += [(2000 + i, [f"body{i // 2}-{j}" for j in range(30)] + line + [f"end{i}"]) for i in range(30)]
     near = similar(rows)
-    assert {(i, 1000 + i) for i in range(30)} <= set(near)
-    docs = frame(spark, [(i, " ".join(w)) for i, w in rows])
-    fp = {r.doc_id: (r.f.fp, r.f.more) for r in docs.select("doc_id", simhash.fingerprint_pair(docs.text, 5).alias("f")).collect()}
-    bits = lambda a, b, k: ((fp[a][k] ^ fp[b][k]) & (1 << 64) - 1).bit_count()
-    masks = simhash.sampled_masks(128, 15)
-    found = [(a, b) for a, b in near if bits(a, b, 0) <= 18 and bits(a, b, 0) + bits(a, b, 1) <= 34 and any(not (fp[a][0] ^ fp[b][0]) & m for m in masks)]
-    assert len(found) >= 0.95 * len(near)  # the masks are sampled; what they find is all linked
-    want = groups(found, {x for p in found for x in p})
-    assert len(set(want.values())) > 20
-    assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == want
+    assert {(i, 1000 + i) for i in range(20)} | {(2000 + 2 * i, 2001 + 2 * i) for i in range(15)} <= set(near)
+    want = groups(near, {x for p in near for x in p})
+    assert linked(simhash.similar_groups(frame(spark, [(i, " ".join(w)) for i, w in rows]), tables=tables)) == want
+
+
+def test_similar_groups_of_awkward_rows(spark):
+    long = " ".join(f"w{i}" for i in range(30000))
+    rows = [(1, None), (2, ""), (3, " \t"), (4, "one two"), (5, "ONE two"), (6, long), (7, f"{long} end"), (8, "a b c d e f g h i j"), (8, long), (8, long), (9, "a b c d e f g h i j k"), (None, long), (None, "")]
+    docs = frame(spark, rows)
+    got = Counter((r.doc_id, r.component_id) for r in simhash.similar_groups(docs).collect())
+    assert got == Counter([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 6), (8, 6), (8, 8), (9, 8)])
+    kept = Counter((r.doc_id, len(r.text or "")) for r in simhash.keep_one(docs).collect())
+    assert kept == Counter((i, len(t or "")) for i, t in [(1, None), (4, "one two"), (6, long), (8, "a b c d e f g h i j"), (None, long), (None, "")])
+    assert simhash.similar_groups(docs.limit(0)).count() == 0
+
+
+def test_parity_bounds_the_difference():
+    rng = np.random.default_rng(1)
+    for n, d in ((10, 3), (300, 40), (5000, 900)):
+        x = np.unique(rng.integers(0, 1 << 63, n + d).astype(np.uint64))
+        a, b = x[:n], np.concatenate((x[d // 2 : n], x[n:]))
+        p, q = (np.array(v, dtype=np.int64).view(np.uint64) for v in overlap.parity([a, b]).to_pylist())
+        assert np.bitwise_count(p ^ q).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
 def test_similar_groups_of_repeated_lines(spark):
@@ -242,6 +287,7 @@ def test_decontamination(spark):
     docs = frame(spark, rows)
     assert {(r.doc_id, r.item_id): (r.item_shingles, r.shared) for r in decontam.contaminated(docs, benchmark).collect()} == want
     clean = decontam.keep_clean(docs, benchmark)
+    assert clean.columns == docs.columns
     assert sorted(r.doc_id for r in clean.collect()) == sorted(d for d, _ in rows if d not in {x for x, _ in want})
     assert decontam.contaminated(docs.limit(0), benchmark).count() == 0
     assert decontam.keep_clean(docs, benchmark.limit(0)).count() == len(rows)
