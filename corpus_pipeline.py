@@ -20,7 +20,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents whose quality score is QUALITY or more. Scores come from the text alone."""
     model = quality.train(docs, read(spark, sf_dir, "labels"))
     score = "_" + max(docs.columns, key=len)  # a name that no column has
-    return quality.with_quality(docs, model, score).where(F.col(score) >= QUALITY).select(docs.columns)
+    return quality.with_quality(docs, model, score).where(F.col(f"`{score}`") >= QUALITY).drop(score)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more of their five-word shingles, the one with the smallest doc_id."""
+    """Of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles, the one with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
