@@ -7,9 +7,11 @@ what a small set allows.
 
 A token that more than HOT sets have among their first ones is not expanded into pairs. A set with h
 such tokens must share l - h of the others, which is tested in the same way. Only sets in which that
-leaves nothing (h >= l) are compared again, with each other: there hot tokens come last in the
-order, and sets of one group, which copies are by then, are one party of the join. Nothing is
-dropped: a pair is proposed unless it cannot be similar or is in one group already.
+leaves nothing (h >= l) are compared again, with each other: there the order of tokens is that of
+their frequency among these sets, rare ones first, l is AGAIN, and sets of one group, which copies
+are by then, are one party of the join. Nothing is dropped: a pair is proposed unless it cannot be
+similar or is in one group already. What does cost all its pairs is a family of sets that are alike
+but not similar enough.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import materialise
 
-LEAST, HOT = 12, 64
-#: Bits of a set's parity: every token flips the one that its last bits name.
-PARITY = 1024
+LEAST, HOT, AGAIN = 12, 64, 2
+#: (least tokens, longs): a set of at least so many tokens has a parity of so many longs.
+PARITY = ((0, 16), (1_000, 128), (8_000, 1_024))
 
 
 def prefix_length(n: int, share: Fraction) -> int:
@@ -35,27 +37,29 @@ def prefix_length(n: int, share: Fraction) -> int:
 
 
 def parity(sets: list[np.ndarray]) -> pa.ListArray:
-    """For each set PARITY bits as longs. Two sets' parities differ in no more bits than the sets in tokens."""
-    out = np.zeros((len(sets), PARITY), dtype=np.uint8)
-    for row, s in zip(out, sets, strict=True):
-        row[:] = np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
-    longs = np.packbits(out, axis=1, bitorder="little").view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (PARITY // 64), pa.int32()), pa.array(longs.ravel()))
+    """For each set bits, as longs, of which every token flips the one that its last bits name. Two sets' parities of one length differ in no more bits than the sets in tokens."""
+    out = []
+    for s in sets:
+        bits = 64 * max(longs for least, longs in PARITY if len(s) >= least)
+        odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+    ends = np.cumsum([0, *map(len, out)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*out, np.empty(0, dtype=np.int64)])))
 
 
 def possible(pairs: DataFrame, sketches: DataFrame, share: Fraction) -> DataFrame:
-    """The pairs (a, b) whose parities leave it open that they are as similar: sets of n1 and n2 tokens then differ in (1 - s) / (1 + s) * (n1 + n2) at most."""
+    """The pairs (a, b) whose parities leave it open that they are as similar: sets of n1 and n2 tokens then differ in (1 - s) / (1 + s) * (n1 + n2) at most. Parities of two lengths leave all open."""
     side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     fits = apart * (share.denominator + share.numerator) <= (F.col("na") + F.col("nb")) * (share.denominator - share.numerator)
-    return both.where(fits).select("a", "b")
+    return both.where((F.size("pa") != F.size("pb")) | fits).select("a", "b")
 
 
-def _floor(n: Column, share: Fraction) -> Column:
+def _floor(n: Column, share: Fraction, least: int) -> Column:
     """Tokens that a set of n must share among the first ones with any similar set, which has share * n tokens at least and must share that share of them."""
     square = share * share
-    return F.least(F.lit(LEAST), F.ceil(n * square.numerator / F.lit(float(square.denominator)) - F.lit(1e-9)).cast("int"))
+    return F.least(F.lit(least), F.ceil(n * square.numerator / F.lit(float(square.denominator)) - F.lit(1e-9)).cast("int"))
 
 
 def _bucket_pairs(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
@@ -100,7 +104,7 @@ def candidates(sketches: DataFrame, groups: DataFrame, sets: Callable[[DataFrame
     hot = shared.where(F.col("m") > HOT)
     nodes = sketches.select("id", "n").join(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")), "id", "left")
     nodes = nodes.join(hot.groupBy("id").agg(F.count("*").cast("int").alias("h")), "id", "left")
-    need = _floor(F.col("n"), share)
+    need = _floor(F.col("n"), share, LEAST)
     nodes = materialise(nodes.select("id", "n", F.coalesce("grp", "id").alias("grp"), (need - F.coalesce("h", F.lit(0))).alias("t")), "sizes")
 
     cold = shared.where(F.col("m") <= HOT).join(nodes, "id")
@@ -111,10 +115,11 @@ def candidates(sketches: DataFrame, groups: DataFrame, sets: Callable[[DataFrame
     heavy = materialise(nodes.where("t <= 0").select("id", "n", "grp"), "heavy")
     if heavy.isEmpty():
         return found
-    whole = sets(heavy.select("id")).select("id", F.explode("s").alias("tok")).join(hot.select("tok").distinct().withColumn("hot", F.lit(1)), "tok", "left")
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("hot", F.lit(0)), "tok"))
+    whole = materialise(sets(heavy.select("id")).select("id", F.explode("s").alias("tok")), "whole")
+    often = whole.groupBy("tok").agg(F.count("*").alias("m"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("m", "tok"))
     lost = F.floor(F.col("n") * (share.denominator - share.numerator) / F.lit(float(share.denominator)) + F.lit(1e-9)).cast("int")
-    rows = whole.select("id", "tok", place.alias("at")).join(heavy, "id").where(F.col("at") <= lost + LEAST)
+    rows = whole.join(often, "tok").select("id", "tok", "m", place.alias("at")).where("m > 1").join(heavy, "id").where(F.col("at") <= lost + AGAIN)
     rows = materialise(rows.select("id", "tok", "n", "grp"), "again")
     parties = rows.groupBy("tok", "grp").agg(F.count("*").alias("m"))
     several = parties.groupBy("tok").agg(F.count("*").alias("p")).where("p > 1").select("tok")
@@ -122,5 +127,5 @@ def candidates(sketches: DataFrame, groups: DataFrame, sets: Callable[[DataFrame
     x, y = (rows.select("tok", *[F.col(c).alias(f"{c}{k}") for c in ("id", "n", "grp")]) for k in (1, 2))
     met = parties.select("tok", F.col("grp").alias("grp1")).join(parties.select("tok", F.col("grp").alias("grp2")), "tok").where("grp1 < grp2")
     met = met.join(x, ["tok", "grp1"]).join(y, ["tok", "grp2"]).where(F.least("n1", "n2") >= F.greatest("n1", "n2") * float(share) - F.lit(1e-9))
-    met = met.groupBy(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).agg(F.count("*").alias("k"), F.max(F.greatest(_floor(F.col("n1"), share), _floor(F.col("n2"), share))).alias("t"))
+    met = met.groupBy(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).agg(F.count("*").alias("k"), F.max(F.greatest(_floor(F.col("n1"), share, AGAIN), _floor(F.col("n2"), share, AGAIN))).alias("t"))
     return found.unionAll(met.where("k >= t").select("a", "b")).distinct()

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from lamina.llm.common import materialise
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, BLOCK, REMEMBERED = 1 << 16, 64, 80_000
+CHUNK, BLOCK, REMEMBERED, PORTION = 1 << 16, 64, 80_000, 1 << 19
 #: Stands for a U+2581 of the text itself; no decoded text holds it.
 OWN_BLANK = "\udc00"
 NEVER = -math.inf
@@ -398,6 +398,14 @@ def _gathered(lists: pa.ListArray, number: pa.Array, group_sizes: np.ndarray) ->
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pc.take(lists, number).flatten())
 
 
+def portions(rows: pa.Array) -> Iterator[pa.Array]:
+    """A batch in parts of PORTION characters or ids, one row at least, so that what is worked out beside them stays small."""
+    sizes = pc.fill_null(pc.binary_length(rows) if pa.types.is_string(rows.type) else pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes.astype(np.int64)) // PORTION
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(rows)]
+    return (rows.slice(a, z - a) for a, z in zip(cuts, cuts[1:], strict=False))
+
+
 def encode_batch(s: Segmenter, texts: pa.Array) -> pa.ListArray:
     """Ids of each text. Arrow cuts a batch at blanks and line feeds and numbers its different parts; their words are segmented once.
 
@@ -595,7 +603,7 @@ def encode(documents: DataFrame, vocabulary: Vocabulary | None = None, chunk: in
     def short(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         segmenter = Segmenter(shared.value)
         for texts in batches:
-            yield encode_batch(segmenter, texts)
+            yield pa.concat_arrays([encode_batch(segmenter, part) for part in portions(texts)])
 
     is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
     rows = documents.select("doc_id", "text")
@@ -613,6 +621,6 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFram
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         raw = pa.array(shared.value.raw, pa.large_binary())
         for ids in batches:
-            yield decode_batch(shared.value, raw, ids)
+            yield pa.concat_arrays([decode_batch(shared.value, raw, part) for part in portions(ids)])
 
     return encoded.withColumn("text", text("ids"))

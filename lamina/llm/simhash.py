@@ -146,7 +146,7 @@ def near_pairs(fp: np.ndarray, start: np.ndarray, size: np.ndarray, radius: int,
     Buckets (``number`` of a row) that ``live``, which the caller may change meanwhile, has not are left.
     """
     levels = _levels(fp, start, size)
-    chunk = 1 << 17 if live is None else 1 << 14  # each pair of nodes makes FAN ** 2 at most
+    chunk = 1 << 16 if live is None else 1 << 13  # each pair of nodes makes FAN ** 2 at most
     if live is not None:
         own = [number]
         for _, _, child, _ in levels[1:]:
@@ -216,7 +216,7 @@ def _spanning(bucket: np.ndarray, ids: np.ndarray, fp: np.ndarray, more: np.ndar
 
 
 def _proposals(bucket: np.ndarray, ids: np.ndarray, fp: np.ndarray, more: np.ndarray, radius: int, both: int, allowed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (id, id) to verify: the pairs of each bucket within both radii, or, where these are more than ``allowed`` a row, its Gray neighbours."""
+    """Links (id, id) to verify: of each row that to the nearest one of its bucket within both radii, or, in buckets with more than ``allowed`` such pairs a row, to its Gray neighbour."""
     number, ids, fp, more = _sorted(bucket, ids, fp, more)
     if not len(fp):
         return
@@ -224,16 +224,20 @@ def _proposals(bucket: np.ndarray, ids: np.ndarray, fp: np.ndarray, more: np.nda
     start, size = _spans(number)
     limit, live, count = allowed * size, np.ones(len(start), dtype=bool), np.zeros(len(start), dtype=np.int64)
     apart = lambda i, j: np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) + np.bitwise_count(more[i] ^ more[j])
-    held: list[tuple] = []
+    far = np.int64(1) << 62
+    nearest = np.full(len(fp), far)  # distance, then the order of ids, so that all tables choose alike
+    order = np.empty(len(fp), dtype=np.int64)
+    order[np.argsort(ids, kind="stable")] = np.arange(len(fp))
     for i, j in near_pairs(fp, start, size, radius, number, live):
-        fit = apart(i, j) <= both
-        i, j = i[fit], j[fit]
+        d = apart(i, j)
+        i, j, d = i[d <= both], j[d <= both], d[d <= both]
         count += np.bincount(number[i], minlength=len(start))
         live &= count <= limit  # near_pairs() leaves such a bucket
-        held.append((i, j))
-    for i, j in held:
-        on = live[number[i]]
-        yield ids[i[on]], ids[j[on]]
+        np.minimum.at(nearest, i, (d << 40) | order[j])
+        np.minimum.at(nearest, j, (d << 40) | order[i])
+    at = np.argsort(order, kind="stable")
+    i = np.flatnonzero((nearest < far) & live[number])
+    yield ids[i], ids[at[nearest[i] & ((1 << 40) - 1)]]
     i = np.flatnonzero((number[1:] == number[:-1]) & ~live[number[1:]])
     i = i[apart(i, i + 1) <= both]
     yield ids[i], ids[i + 1]
