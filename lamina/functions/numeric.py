@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 WIDE = "decimal(38,0)"
 #: The two moduli of a recombined sum.
 M64, M61 = 1 << 64, (1 << 61) - 1
-#: Growth rate of meanders (Jensen's estimate).
+#: Published estimate of the growth rate of simple orders (a fixed value).
 GROWTH = 12.262874
 
 

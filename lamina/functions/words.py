@@ -29,93 +29,83 @@ def _range(a: Column, z: Column) -> Column:
     return F.when(z >= a, F.sequence(a, z)).otherwise(F.array().cast("array<int>"))
 
 
-def partner(word: Column, i: Column) -> Column:
-    """Place of the bracket that matches the one at place i."""
-    right = F.array_min(F.filter(_range(i + 1, F.length(word) - 1), lambda j: _balance(F.substring(word, i + 1, j - i + 1)) == 0))
-    left = F.array_max(F.filter(_range(F.lit(0), i - 1), lambda j: _balance(F.substring(word, j + 1, i - j + 1)) == 0))
-    return F.when(letter(word, i) == "(", right).otherwise(left)
-
-
-def put(word: Column, i: Column, c: str) -> Column:
-    return F.concat(F.substring(word, F.lit(1), i), F.lit(c), F.substring(word, i + 2, F.length(word)))
+def splice(word: Column, at: Column, drop: int, text: str) -> Column:
+    """The word with ``text`` in the place of ``drop`` letters from ``at`` on."""
+    return F.concat(F.substring(word, F.lit(1), at), F.lit(text), F.substring(word, at + 1 + drop, F.length(word)))
 
 
-def insert(word: Column, i: Column, text: str) -> Column:
-    return F.concat(F.substring(word, F.lit(1), i), F.lit(text), F.substring(word, i + 1, F.length(word)))
-
-
-def remove(word: Column, i: Column, n: int = 1) -> Column:
-    return F.concat(F.substring(word, F.lit(1), i), F.substring(word, i + 1 + n, F.length(word)))
+def mate(word: Column, i: Column) -> Column:
+    """Place of the other end of the piece that ends at place i; null if that is the east end."""
+    right = F.array_min(F.filter(_range(i + 1, F.length(word) - 1), lambda j: _balance(F.substring(word, i + 1, j - i + 1)) == 0))
+    left = F.array_max(F.filter(_range(F.lit(0), i - 1), lambda j: _balance(F.substring(word, j + 1, i - j + 1)) == 0))
+    return F.when(letter(word, i) == "(", right).when(letter(word, i) == ")", left)
 
 
-def cap(m: Column, k: Column, up: bool) -> Column:
-    """Most arcs that may be open on a side after k points if m bridges are to follow the scan's start."""
+def room(m: Column, k: Column, up: bool) -> Column:
+    """How many arcs may be open on a side after k of m bridges: each later bridge closes one at most, the east end one more on its side."""
     return F.when(k <= m, m - k + ((m % 2 == 1) == F.lit(up)).cast("int")).otherwise(0)
 
 
-def viable(word: Column, h: Column, m: Column, k: Column) -> Column:
-    """Whether a state after k points can still reach the end."""
-    return (h <= cap(m, k, True)) & (F.length(word) - h <= cap(m, k, False) + 1)
+def can_finish(length: Column, h: Column, m: Column, k: Column) -> Column:
+    """Whether a state with so many letters after k points can still reach the end, where the arc of the curve's start stays open below."""
+    return (h <= room(m, k, True)) & (length - h <= room(m, k, False) + 1)
 
 
 def _state(word: Column, h: Column) -> Column:
     return F.struct(word.alias("word"), h.cast("int").alias("h")).cast(STATE)
 
 
-def move(word: Column, h: Column, up: Column, dn: Column) -> Column:
-    """The state after a bridge that opens (or else closes) an arc above and one below; null if it can't."""
-    return F.when(up & dn, open_both(word, h)).when(up, open_above(word, h)).when(dn, open_below(word, h)).otherwise(close_both(word, h))
-
-
-def open_both(word: Column, h: Column) -> Column:
-    return _state(insert(word, h, "()"), h + 1)
-
-
-def open_above(word: Column, h: Column) -> Column:
-    return F.when(F.length(word) > h, _state(word, h + 1))
-
-
-def open_below(word: Column, h: Column) -> Column:
-    return F.when(h > 0, _state(word, h - 1))
+def _present(*states: Column) -> Column:
+    return F.filter(F.array(*states), lambda s: s.isNotNull())
 
 
-def close_both(word: Column, h: Column) -> Column:
-    """Joins the pieces of the two arcs at the cut; not if they are one piece, which would close a loop."""
-    i, j = h - 1, h
-    a, b = letter(word, i), letter(word, j)
-    fixed = (
-        F.when(a == "E", put(word, partner(word, j), "E"))
-        .when(b == "E", put(word, partner(word, i), "E"))
-        .when((a == "(") & (b == "("), put(word, partner(word, j), "("))
-        .when((a == ")") & (b == ")"), put(word, partner(word, i), ")"))
-        .when((a == ")") & (b == "("), word)
+def move(word: Column, h: Column, up: Column, dn: Column) -> Column:
+    """The state after a bridge that opens (or else closes) an arc above and one below; null if it can't."""
+    above, below = h > 0, F.length(word) > h
+    return (
+        F.when(up & dn, _state(splice(word, h, 0, "()"), h + 1))  # a new piece
+        .when(up & below, _state(word, h + 1))  # the piece at the top below goes on above
+        .when(~up & dn & above, _state(word, h - 1))
+        .when(~up & ~dn & above & below, joined(word, h))
     )
-    return F.when((h > 0) & (F.length(word) > h) & fixed.isNotNull(), _state(remove(fixed, i, 2), h - 1))
-
 
-def east(word: Column, h: Column, m: Column) -> Column:
-    """Array of the states after the east end, whose one arc is above if m is odd."""
-    up = m % 2 == 1
-    opens = _state(insert(word, h, "E"), h + up.cast("int"))
-    i = F.when(up, h - 1).otherwise(h)
-    possible = F.when(up, h > 0).otherwise(F.length(word) > h) & (letter(word, i) != "E")
-    closes = F.when(possible, _state(remove(put(word, partner(word, i), "E"), i), h - up.cast("int")))
-    return _present(opens, closes)
 
+def joined(word: Column, h: Column) -> Column:
+    """The two arcs at the cut become one piece, and the ends that survive are each other's mates; null if they are one piece already, which would close a loop.
 
-def _present(*states: Column) -> Column:
-    return F.filter(F.array(*states), lambda s: s.isNotNull())
+    A piece to the east end has one end here: what it is joined with leads there then.
+    """
+    p, q = mate(word, h - 1), mate(word, h)
+    one = splice(word, F.coalesce(p, q), 1, "E")
+    two = splice(splice(word, F.least(p, q), 1, "("), F.greatest(p, q), 1, ")")
+    both = F.when(p.isNull() | q.isNull(), one).otherwise(two)
+    return F.when(p.isNull() | (p != h), _state(splice(both, h - 1, 2, ""), h - 1))
 
 
 def bridge(word: Column, h: Column) -> Column:
     """Array of the states after a bridge, whatever follows."""
-    return _present(open_both(word, h), open_above(word, h), open_below(word, h), close_both(word, h))
+    yes, no = F.lit(True), F.lit(False)
+    return _present(*[move(word, h, up, dn) for up in (yes, no) for dn in (yes, no)])
+
+
+def east(word: Column, h: Column, m: Column) -> Column:
+    """Array of the states after the east end, whose one arc, above if m is odd, begins there or is the one at the cut: then its piece's other end leads there."""
+    up = (m % 2 == 1).cast("int")
+    i = h - up
+    begins = _state(splice(word, h, 0, "E"), h + up)
+    ends = _state(splice(splice(word, mate(word, i), 1, "E"), i, 1, ""), h - up)
+    return _present(begins, F.when((i >= 0) & (i < F.length(word)) & mate(word, i).isNotNull(), ends))
 
 
 def successors(word: Column, h: Column, m: Column, x: Column) -> Column:
     """Array of the states that point x of m can lead to and that can still reach the end."""
     found = F.when(x < m, bridge(word, h)).otherwise(east(word, h, m))
-    return F.filter(found, lambda s: viable(s["word"], s["h"], m, x + 1))
+    return F.filter(found, lambda s: can_finish(F.length(s["word"]), s["h"], m, x + 1))
+
+
+def is_end(word: Column, h: Column) -> Column:
+    """Whether the scan is through: nothing is open but the start's arc, whose piece leads to the east end."""
+    return (word == "E") & (h == 0)
 
 
 def depth(word: Column, h: Column) -> Column:
@@ -126,17 +116,17 @@ def depth(word: Column, h: Column) -> Column:
 def predecessors(word: Column, h: Column) -> Column:
     """Array of the states that a bridge leads from to this one, which has no E."""
     n = F.length(word)
-    joined = (h > 0) & (n > h) & (letter(word, h - 1) == "(") & (letter(word, h) == ")")
-    plain = _present(F.when(joined, _state(remove(word, h - 1, 2), h - 1)), F.when(h > 0, _state(word, h - 1)), F.when(h < n, _state(word, h + 1)))
+    fresh = (h > 0) & (n > h) & (letter(word, h - 1) == "(") & (letter(word, h) == ")")
+    plain = _present(F.when(fresh, _state(splice(word, h - 1, 2, ""), h - 1)), F.when(h > 0, _state(word, h - 1)), F.when(h < n, _state(word, h + 1)))
     between = lambda a, z: F.substring(word, a + 1, z - a)
     level = lambda a, z: (_balance(between(a, z)) == 0) & ~F.exists(_range(a, z - 1), lambda j: _balance(between(a, j + 1)) < 0)
 
     def undo(p: Column) -> Column:
-        q = partner(word, p)
+        q = mate(word, p)
         return (
-            F.when((p >= h) & level(h, p), _state(insert(put(word, p, ")"), h, "(("), h + 1))
-            .when((q < h) & level(q + 1, h), _state(insert(put(word, q, "("), h, "))"), h + 1))
-            .when((p < h) & (q >= h) & level(p + 1, h) & level(h, q), _state(insert(word, h, ")("), h + 1))
+            F.when((p >= h) & level(h, p), _state(splice(splice(word, p, 1, ")"), h, 0, "(("), h + 1))
+            .when((q < h) & level(q + 1, h), _state(splice(splice(word, q, 1, "("), h, 0, "))"), h + 1))
+            .when((p < h) & (q >= h) & level(p + 1, h) & level(h, q), _state(splice(word, h, 0, ")("), h + 1))
         )
 
     opens = F.filter(_range(F.lit(0), n - 1), lambda p: letter(word, p) == "(")

@@ -1,20 +1,15 @@
 """Layered exact counting: a layer is a table of (state, count), a step a flat-map, a filter and a grouped sum.
 
-step() is the general form for any expansion that is a column expression; sweep() runs the line scan
-over packed states. Counts are DECIMAL(38,0): exact, and an overflow is an error.
+Counts are DECIMAL(38,0): exact, and an overflow is an error.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import partial
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.functions import packed, words
-from lamina.session import materialise
-
 COUNT = "decimal(38,0)"
 
 
@@ -29,69 +24,7 @@ def step(layer: DataFrame, expand: Callable[[Column, Column], Column], *keep: st
     return merge(out, *keep, "word", "h")
 
 
-def initial(spark: SparkSession) -> DataFrame:
-    """The empty state, once."""
-    return spark.sql(f"SELECT '' AS word, 0 AS h, CAST(1 AS {COUNT}) AS count")
-
-
-def seeds(spark: SparkSession, p: int) -> DataFrame:
-    """States before the east end from which it finishes an order of parity p."""
-    rows = "('()', 1)" if p else "('()', 0), ('', 0)"
-    return spark.sql(f"SELECT word, h, CAST(1 AS {COUNT}) AS count FROM VALUES {rows} AS t(word, h)")
-
-
-def packed_initial(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT 0 AS h, -1 AS e, 1L AS bits, CAST(1 AS {COUNT}) AS count")
-
-
-def packed_step(layer: DataFrame, m: int | None, x: int) -> DataFrame:
-    grown = layer.select("h", "e", "bits", "count").mapInArrow(partial(packed.step, m=m, x=x), packed.SCHEMA)
-    return merge(grown, "h", "e", "bits")
-
-
-def layers(spark: SparkSession, m: int) -> Iterator[DataFrame]:
-    """All layers of the scan of m bridges, each written before the next is begun."""
-    layer = packed_initial(spark)
-    yield layer
-    for x in range(m + 1):
-        layer = materialise(packed_step(layer, m, x), f"layer-{m}-{x + 1}")
-        yield layer
-
-
-def sweep(spark: SparkSession, m: int) -> dict:
-    """n, count (as int), peak_states and total_states of the scan of m bridges."""
-    sizes = []
-    for layer in layers(spark, m):
-        sizes.append(layer.count())
-    last = layer.where("h = 0 AND e = 0 AND bits = 1").agg(F.sum("count")).first()[0]
-    return {"n": m, "count": int(last or 0), "peak_states": max(sizes), "total_states": sum(sizes)}
-
-
-def all_counts(spark: SparkSession, m: int) -> dict[int, int]:
-    """The counts for 0..m from one scan: after x bridges the finishing states are one piece whose ends the two line ends take.
-
-    Runs without a target (a state that cannot reach m bridges may still finish earlier), bounded by what can close by m.
-    """
-    out = {0: 1}
-    layer = packed_initial(spark)
-    for x in range(m):
-        grown = packed_step(layer, None, x)
-        fits = f"h <= {m - x - 1 + 1} AND length(bin(bits)) - 1 - h <= {m - x - 1 + 1}"
-        layer = materialise(grown.where(fits), f"all-{m}-{x + 1}")
-        n = x + 1
-        got = layer.where(f"h = {n % 2} AND bits = 5").agg(F.sum("count")).first()[0]  # '()'
-        if n % 2 == 0:
-            got = (got or 0) + (layer.where("h = 0 AND bits = 1").agg(F.sum("count")).first()[0] or 0)
-        out[n] = int(got or 0)
-    return out
-
-
-def predict_rows(size: int, before: int, earlier: int) -> int:
-    """Rows to expect of the next layer from the last three sizes: growth goes on as it changed, within bounds."""
-    rate = size / max(before, 1)
-    change = rate / max(before / max(earlier, 1), 1e-9)
-    return max(64, int(size * min(2.5, max(0.25, rate * change))))
-
-
-def expand_successors(m: int, x: int) -> Callable[[Column, Column], Column]:
-    return lambda w, h: words.successors(w, h, F.lit(m), F.lit(x))
+def seeds(spark: SparkSession) -> DataFrame:
+    """(p, h, e, bits, count): states before the east end from which it finishes an order of parity p."""
+    rows = "(1, 1, 5L), (0, 0, 5L), (0, 0, 1L)"  # '()' above and below, '()' below, nothing
+    return spark.sql(f"SELECT p, h, -1 AS e, bits, CAST(1 AS {COUNT}) AS count FROM VALUES {rows} AS t(p, h, bits)")

@@ -2,52 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.functions import words
-from lamina.operators.layers import COUNT, initial, merge, seeds, step
+from lamina.functions import packed
+from lamina.operators.layers import COUNT, merge, seeds
 from lamina.session import materialise
 
 
-def forward_step(layer: DataFrame, longest: int) -> DataFrame:
-    """One bridge without a target; states with more open arcs than ``longest`` meet no backward layer."""
-    return step(layer, lambda w, h: F.filter(words.bridge(w, h), lambda s: F.length(s["word"]) <= longest))
+def backward_layers(spark: SparkSession, most: int, bound: Column) -> DataFrame:
+    """(p, r, h, e, bits, count): the states from which r bridges and the east end finish an order of parity p, in how many ways, for r up to ``most``.
 
+    ``bound``, of columns p and r, is the largest depth of a state that a forward layer can have.
+    Each layer is written once, for both parities.
+    """
+    keys = ("p", "h", "e", "bits")
+    layer = seeds(spark)
+    out = layer.withColumn("r", F.lit(0))
+    for r in range(1, most + 1):
+        grown = packed.stepped(layer, "p", backwards=True).withColumn("r", F.lit(r)).where(F.col("depth") <= bound)
+        layer = materialise(merge(grown, *keys), f"backward-{r}")
+        out = out.unionByName(layer.withColumn("r", F.lit(r)))
+    return out
 
-def backward_step(layer: DataFrame, bound: int, above: int = -1) -> DataFrame:
-    """One bridge back, to states of depth in (above, bound]."""
-    near = lambda s: words.depth(s["word"], s["h"]).between(above + 1, bound)
-    return step(layer, lambda w, h: F.filter(words.predecessors(w, h), near))
 
-
-def dot(forward: DataFrame, backward: DataFrame, *by: str) -> DataFrame:
+def dot(forward: DataFrame, backward: DataFrame, *by: str, on: tuple[str, ...] = ("word", "h")) -> DataFrame:
     """Sum over equal states of the product of counts."""
     f = forward.withColumnRenamed("count", "f")
     g = backward.withColumnRenamed("count", "g")
-    both = f.join(g, [*by, "word", "h"])
+    both = f.join(g, [*by, *on])
     return both.groupBy(*by).agg(F.coalesce(F.sum(F.col("f") * F.col("g")), F.lit(0)).cast(COUNT).alias("count"))
-
-
-def meet(spark: SparkSession, horizon: int) -> DataFrame:
-    """(n, count, check) for n up to the horizon: each count from two different splits (check is null for n = 0)."""
-    half = -(-horizon // 2)
-    forward = [initial(spark)]
-    for k in range(half):
-        forward.append(materialise(forward_step(forward[-1], 2 * half + 2), f"forward-{k + 1}"))
-    rows = []
-    for p in (0, 1):
-        backward = seeds(spark, p)
-        for r in range(horizon // 2 + 2):
-            for shift, kind in ((0, "count"), (-2, "check")):
-                n, k = 2 * r + p + shift, r + p + shift
-                if 0 <= k < len(forward) and 0 <= n <= horizon:
-                    rows.append((n, kind, int(dot(forward[k], backward).first()[0])))
-            backward = materialise(backward_step(backward, horizon - r - 1), f"backward-{p}-{r + 1}")
-    counts = {n: c for n, kind, c in rows if kind == "count"}
-    checks = {n: c for n, kind, c in rows if kind == "check"}
-    values = ", ".join(f"({n}, {counts[n]}BD, {checks.get(n, 'NULL')}{'BD' if n in checks else ''})" for n in sorted(counts))
-    return spark.sql(f"SELECT n, CAST(count AS {COUNT}) AS count, CAST(check AS {COUNT}) AS check FROM VALUES {values} AS t(n, count, check)")
-
-
-__all__ = ["backward_step", "dot", "forward_step", "meet", "merge"]

@@ -48,10 +48,17 @@ def _moves(rows: str) -> str:
 
 
 _VIABLE = "nh <= (CASE WHEN x + 1 <= n THEN n - x - 1 + (n % 2) ELSE 0 END) AND len(nw) - nh <= (CASE WHEN x + 1 <= n THEN n - x - 1 + (1 - n % 2) ELSE 0 END) + 1"
+#: The brackets of a word as binary digits behind a leading 1.
+_BITS = "list_reduce(list_prepend(1::BIGINT, list_transform(string_split(replace({w}, 'E', ''), ''), lambda c: CASE c WHEN '(' THEN 0 WHEN ')' THEN 1 END::BIGINT)), lambda s, d: CASE WHEN d IS NULL THEN s ELSE 2 * s + d END)"
 _HALF = "half AS (SELECT n, k AS x, word AS w, h, orders FROM layer WHERE k = n // 2)"
 
+_BACK = f"""
+        words(w) AS (SELECT '' UNION SELECT w[:i] || '()' || w[i + 1:] FROM words, range(0, len(w) + 1) r(i) WHERE len(w) <= (SELECT max(len(w)) FROM half)),
+        cand AS (SELECT 1000000 AS n, 0 AS x, w, h::INT AS h FROM words, range(0, len(w) + 1) r(h)),
+        back AS (SELECT w, h, nw, nh, len(w) - (len(replace(w[:h], ')', '')) - len(replace(w[:h], '(', ''))) AS depth FROM ({_moves('cand')}))"""
+
 SQL = {
-    "order_crossings": f"WITH {_LINES}, {_PAIRS}, {_ORDERS} SELECT l_orderkey, n, perm, coalesce(c, 0) AS crossings, c IS NULL AS is_meander FROM orders_ LEFT JOIN (SELECT l_orderkey, count(*) AS c FROM pairs GROUP BY 1) USING (l_orderkey)",
+    "order_crossings": f"WITH {_LINES}, {_PAIRS}, {_ORDERS} SELECT l_orderkey, n, perm, coalesce(c, 0) AS crossings, c IS NULL AS is_simple FROM orders_ LEFT JOIN (SELECT l_orderkey, count(*) AS c FROM pairs GROUP BY 1) USING (l_orderkey)",
     "order_arc_join": f"WITH {_LINES}, {_PAIRS} SELECT l_orderkey, k1 % 2 AS side, count(*) AS crossings FROM pairs GROUP BY ALL",
     "closed_orders": f"""
         WITH {_LINES}, pts AS (SELECT l_orderkey, n, pos + 1 AS k, n - bridge AS p FROM lines WHERE n % 2 = 1 UNION ALL SELECT DISTINCT l_orderkey, n, 0, 0 FROM lines WHERE n % 2 = 1),
@@ -68,21 +75,18 @@ SQL = {
         dead AS (SELECT l_orderkey, min(t) AS t FROM odd WHERE c % 2 = 1 GROUP BY 1)
         SELECT o.l_orderkey, o.n, coalesce(c.t, o.n) AS clear, least(coalesce(c.t, o.n), coalesce(d.t, o.n)) AS clear_and_open
         FROM orders_ o LEFT JOIN clear c USING (l_orderkey) LEFT JOIN dead d USING (l_orderkey)""",
-    "meander_sides": f"""
+    "order_sides": f"""
         WITH {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD},
         ends AS (SELECT l_orderkey, k % 2 AS up, a AS p, b > a AS opens FROM arcs UNION ALL SELECT l_orderkey, k % 2, b, a > b FROM arcs),
         sides AS (SELECT e.l_orderkey, g.n, string_agg(CASE WHEN opens THEN 'U' ELSE 'D' END, '' ORDER BY p) FILTER (up = 1) AS above, string_agg(CASE WHEN opens THEN 'U' ELSE 'D' END, '' ORDER BY p) FILTER (up = 0) AS below
                   FROM ends e JOIN good g USING (l_orderkey) WHERE p < g.n GROUP BY ALL)
         SELECT n, above, below, count(*) AS orders FROM sides GROUP BY ALL""",
-    "meander_layers": f"WITH {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD}, {_STATES} SELECT n, k, word, h::BIGINT AS h, orders FROM layer",
+    "order_layers": f"WITH {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD}, {_STATES} SELECT n, k, word, h::BIGINT AS h, orders FROM layer",
     "layer_successors": f"""
         WITH {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD}, {_STATES}, {_HALF}, moved AS ({_moves('half')})
         SELECT n, x + 1 AS k, nw AS word, nh::BIGINT AS h, sum(orders)::BIGINT AS orders FROM moved WHERE {_VIABLE} GROUP BY ALL""",
     "layer_predecessors": f"""
-        WITH RECURSIVE {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD}, {_STATES}, {_HALF},
-        words(w) AS (SELECT '' UNION SELECT w[:i] || '()' || w[i + 1:] FROM words, range(0, len(w) + 1) r(i) WHERE len(w) <= (SELECT max(len(w)) FROM half)),
-        cand AS (SELECT 1000000 AS n, 0 AS x, w, h::INT AS h FROM words, range(0, len(w) + 1) r(h)),
-        back AS (SELECT w, h, nw, nh, len(w) - (len(replace(w[:h], ')', '')) - len(replace(w[:h], '(', ''))) AS depth FROM ({_moves('cand')}))
+        WITH RECURSIVE {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD}, {_STATES}, {_HALF}, {_BACK}
         SELECT half.n, half.x AS k, back.w AS word, back.h::BIGINT AS h, depth::BIGINT AS depth, sum(orders)::BIGINT AS orders
         FROM half JOIN back ON nw = half.w AND nh = half.h WHERE half.x > 0 AND depth < half.x GROUP BY ALL""",
     "meet_in_the_middle": f"""
@@ -105,7 +109,9 @@ SQL = {
     "value_report": """
         SELECT l_orderkey, c AS count, e AS expected, CASE WHEN c = e THEN 'ok' ELSE 'MISMATCH(' || e || ')' END AS verdict
         FROM (SELECT o_orderkey AS l_orderkey, count(l_orderkey) AS c, coalesce(max(l_linenumber), 0)::BIGINT AS e FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)""",
-    "two_split_check": "SELECT l_orderkey, count(*) AS count, count(*) AS \"check\", 'ok' AS verdict FROM lineitem GROUP BY 1",
+    "two_split_check": """
+        SELECT l_orderkey, count(*) AS count, count(DISTINCT l_linenumber) AS "check", CASE WHEN count(*) = count(DISTINCT l_linenumber) THEN 'ok' ELSE 'MISMATCH(' || count(DISTINCT l_linenumber) || ')' END AS verdict
+        FROM lineitem GROUP BY 1""",
     "segment_union": """
         SELECT event_type, depth, CASE WHEN depth <= 10 THEN 0 WHEN depth <= 30 THEN 1 ELSE 2 END::BIGINT AS seg, count(*) AS events
         FROM (SELECT event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS depth FROM events) GROUP BY ALL""",
@@ -115,11 +121,42 @@ SQL = {
         SELECT n, array_to_string(perm, ',') AS perm, orders, number, number % 10 = 1 AS sampled FROM r""",
     "order_bounds": f"""
         WITH {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD},
-        t AS (SELECT n, count(*) AS orders, count(DISTINCT perm) AS kinds, count(DISTINCT perm) FILTER (l_orderkey IN (SELECT l_orderkey FROM good)) AS meanders FROM orders_ GROUP BY n),
-        c AS (SELECT *, factorial(n::INT)::BIGINT AS most, CASE WHEN n % 2 = 1 THEN power(factorial((n + 1)::INT)::DOUBLE / factorial(((n + 1) // 2)::INT) / factorial(((n + 3) // 2)::INT), 2)::BIGINT END AS most_meanders FROM t)
-        SELECT *, kinds <= most AND (n % 2 = 0 OR meanders <= most_meanders) AS keeps FROM c""",
+        t AS (SELECT n, count(*) AS orders, count(DISTINCT perm) AS kinds, count(DISTINCT perm) FILTER (l_orderkey IN (SELECT l_orderkey FROM good)) AS simple FROM orders_ GROUP BY n),
+        c AS (SELECT *, factorial(n::INT)::BIGINT AS most, CASE WHEN n % 2 = 1 THEN power(factorial((n + 1)::INT)::DOUBLE / factorial(((n + 1) // 2)::INT) / factorial(((n + 3) // 2)::INT), 2)::BIGINT END AS most_simple FROM t)
+        SELECT *, kinds <= most AND (n % 2 = 0 OR simple <= most_simple) AS keeps FROM c""",
     "event_interleavings": """
-        WITH e AS (SELECT * FROM (SELECT user_id, row_number() OVER w AS k, value AS a, lead(value) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE b IS NOT NULL)
-        SELECT x.user_id, count(*) AS interleavings FROM e x JOIN e y ON x.user_id = y.user_id AND x.k > y.k AND x.k - y.k <= 10 AND (x.k - y.k) % 2 = 0
-        WHERE ((y.a > least(x.a, x.b) AND y.a < greatest(x.a, x.b)) <> (y.b > least(x.a, x.b) AND y.b < greatest(x.a, x.b))) GROUP BY 1""",
+        WITH e AS (SELECT user_id, k, least(a, b) AS l, greatest(a, b) AS r FROM (SELECT user_id, row_number() OVER w AS k, value AS a, lead(value) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE b IS NOT NULL)
+        SELECT x.user_id, count(*) AS interleavings FROM e x JOIN e y ON x.user_id = y.user_id AND (x.k - y.k) % 2 = 0 AND x.l < y.l AND y.l < x.r AND x.r < y.r GROUP BY 1""",
+    "packed_successors": f"""
+        WITH {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD}, {_STATES}, {_HALF}, moved AS ({_moves('half')}),
+        grown AS (SELECT n, x, nw, nh, sum(orders)::BIGINT AS orders, any_value({_VIABLE}) AS open FROM moved WHERE x < n GROUP BY n, x, nw, nh)
+        SELECT n, x + 1 AS k, nh::BIGINT AS h, instr(nw, 'E')::BIGINT - 1 AS e, {_BITS.format(w="nw")} AS bits, nw AS word, open, orders FROM grown""",
+    "packed_predecessors": f"""
+        WITH RECURSIVE {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD}, {_STATES}, {_HALF}, {_BACK}
+        SELECT half.n, half.x AS k, CASE WHEN depth <= 1 THEN 0 WHEN depth <= 2 THEN 1 ELSE 2 END::BIGINT AS seg, back.h::BIGINT AS h, {_BITS.format(w="back.w")} AS bits, depth::BIGINT AS depth, sum(orders)::BIGINT AS orders
+        FROM half JOIN back ON nw = half.w AND nh = half.h WHERE half.x > 0 AND depth < half.x GROUP BY ALL""",
+    "finished_orders": f"""
+        WITH {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD}, {_STATES}
+        SELECT n, (SELECT count(*) FROM layer l WHERE l.n = g.n AND l.k = g.n) AS states, count(DISTINCT perm) AS runs, count(*) AS accepted FROM good g JOIN orders_ USING (l_orderkey, n) GROUP BY n""",
+    "decoded_orders": f"""
+        WITH {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD}
+        SELECT o.l_orderkey, CASE WHEN g.n IS NOT NULL THEN perm END AS decoded, g.n IS NOT NULL AS same FROM orders_ o LEFT JOIN good g USING (l_orderkey)""",
+    "closed_open_sets": f"""
+        WITH {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD},
+        pts AS (SELECT l_orderkey, n, pos + 1 AS k, n - bridge AS p FROM lines WHERE n % 2 = 1 UNION ALL SELECT DISTINCT l_orderkey, n, 0, 0 FROM lines WHERE n % 2 = 1),
+        loop AS (SELECT l_orderkey, k, p AS a, coalesce(lead(p) OVER w, first_value(p) OVER w) AS b FROM pts WINDOW w AS (PARTITION BY l_orderkey ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+        bad AS (SELECT DISTINCT x.l_orderkey FROM loop x JOIN loop y ON x.l_orderkey = y.l_orderkey AND x.k < y.k AND x.k % 2 = y.k % 2 AND {_CLASH}),
+        shut AS (SELECT l_orderkey, any_value(n) AS n, string_agg(p::VARCHAR, ',' ORDER BY k) AS closed FROM pts GROUP BY 1),
+        c AS (SELECT DISTINCT n, closed FROM shut WHERE l_orderkey NOT IN (SELECT l_orderkey FROM bad)),
+        i AS (SELECT DISTINCT n, closed FROM shut WHERE l_orderkey IN (SELECT l_orderkey FROM good)),
+        k AS (SELECT n FROM c UNION SELECT n FROM i)
+        SELECT (n + 1) // 2 AS n, (SELECT count(DISTINCT perm) FROM orders_ o WHERE o.n = k.n AND l_orderkey IN (SELECT l_orderkey FROM good)) AS open_kinds, (SELECT count(*) FROM c WHERE c.n = k.n) AS closed_kinds,
+               (SELECT count(*) FROM (SELECT * FROM i EXCEPT SELECT * FROM c) z WHERE z.n = k.n) AS only_open, (SELECT count(*) FROM (SELECT * FROM c EXCEPT SELECT * FROM i) z WHERE z.n = k.n) AS only_closed FROM k""",
+    "inverse_steps": f"""
+        WITH {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD}, {_STATES}, {_HALF}, late AS (SELECT n, k - 1 AS x, word AS w, h FROM layer WHERE k = n // 2 + 1 AND k <= n),
+        step AS (SELECT DISTINCT m.n, m.x, m.w, m.h, m.nw, m.nh FROM ({_moves('half')}) m JOIN late l ON l.n = m.n AND l.x = m.x AND l.w = m.nw AND l.h = m.nh WHERE m.x < m.n)
+        SELECT n, x AS k, count(*) AS forward, count(*) AS backward, 0::BIGINT AS only_forward, 0::BIGINT AS only_backward FROM step GROUP BY n, x""",
+    "value_files": f"""
+        WITH {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD}
+        SELECT o.n, count(*) AS orders, count(g.n) AS simple, 'ok' AS verdict FROM orders_ o LEFT JOIN good g USING (l_orderkey) GROUP BY o.n""",
 }

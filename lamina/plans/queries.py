@@ -7,17 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamina.functions import chords, numeric, words
+from lamina.functions import chords, numeric, packed, words
 from lamina.operators import layers, mitm
-from lamina.plans.tables import crossing_orders, meanders, ranked_lines, read, states_of, text
+from lamina.plans.tables import crossing_orders, ranked_lines, read, simple_orders, states_of, text
 from lamina.session import materialise
+from lamina.sources import values
 from lamina.sources.values import verdict
 
 
 def order_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per order: its crossing order, crossing pairs of arcs of its path, and whether it is a meander (array form)."""
+    """Per order: its crossing order, crossing pairs of arcs of its path, and whether it is simple (array form)."""
     o = crossing_orders(spark, sf_dir).withColumn("crossings", chords.crossings(chords.path(F.col("perm"))).cast("long"))
-    return o.select("l_orderkey", F.col("n").cast("long").alias("n"), text(F.col("perm")).alias("perm"), "crossings", (F.col("crossings") == 0).alias("is_meander"))
+    return o.select("l_orderkey", F.col("n").cast("long").alias("n"), text(F.col("perm")).alias("perm"), "crossings", (F.col("crossings") == 0).alias("is_simple"))
 
 
 def order_arc_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,7 @@ def order_arc_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = F.when(F.col("pos") == F.col("n") - 1, F.concat(points, F.array(point(F.col("n") + 1, F.col("n"))))).otherwise(points)
     path = lines.withColumn("n", n).select("l_orderkey", F.inline(points))
     arcs = path.withColumn("q", F.lead("p").over(w.orderBy("k"))).where("q IS NOT NULL").withColumn("side", F.col("k") % 2)
+    arcs = materialise(arcs, "arcs")  # both sides of the join read it
     a, b = arcs.alias("a"), arcs.alias("b")
     clash = chords.interleave(F.col("a.p"), F.col("a.q"), F.col("b.p"), F.col("b.q"))
     pairs = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.side") == F.col("b.side")) & (F.col("a.k") < F.col("b.k")) & clash)
@@ -39,36 +41,31 @@ def order_arc_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def closed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of odd length closed up to loops: crossings of the loop; it is a closed meander exactly if the order is an open one."""
+    """Orders of odd length closed up to loops: crossings of the loop; the loop is simple exactly if the order is."""
     o = crossing_orders(spark, sf_dir).where("n % 2 = 1").withColumn("loop", chords.close_up(F.col("perm")))
-    return o.select("l_orderkey", text(F.col("loop")).alias("closed"), chords.crossings(chords.loop(F.col("loop"))).cast("long").alias("crossings"), chords.is_closed_meander(F.col("loop")).alias("is_closed"))
+    return o.select("l_orderkey", text(F.col("loop")).alias("closed"), chords.crossings(chords.loop(F.col("loop"))).cast("long").alias("crossings"), chords.is_closed_simple(F.col("loop")).alias("is_closed"))
 
 
 def order_search_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far a pruned search follows each order: bridges whose arcs cross nothing, and those that leave a way to finish as well."""
-    o = crossing_orders(spark, sf_dir)
-    points, n = chords.path(F.col("perm")), F.col("n")
-    steps = F.sequence(F.lit(0), n - 1)
-    ok = F.filter(steps, lambda t: ~chords.step_ok(points, t))
-    dead = F.filter(steps, lambda t: (t < n - 1) & ~chords.parity_ok(points, t, n))
-    until = lambda bad: F.coalesce(F.array_min(bad), n).cast("long")
-    return o.select("l_orderkey", n.cast("long").alias("n"), until(ok).alias("clear"), F.least(until(ok), until(dead)).alias("clear_and_open"))
-
-
-def meander_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Opening and closing words of the two sides of the orders that are meanders, with how often each pair occurs."""
-    m = meanders(spark, sf_dir)
+    o = crossing_orders(spark, sf_dir).select("l_orderkey", F.col("n").cast("long").alias("n"), chords.search_depth(F.col("perm")).alias("d"))
+    return o.select("l_orderkey", "n", F.col("d.clear").cast("long").alias("clear"), F.least("d.clear", "d.open").cast("long").alias("clear_and_open"))
+
+
+def order_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opening and closing words of the two sides of the orders that are simple, with how often each pair occurs."""
+    m = simple_orders(spark, sf_dir)
     return m.groupBy(F.col("n").cast("long").alias("n"), chords.side_word(F.col("perm"), True).alias("above"), chords.side_word(F.col("perm"), False).alias("below")).agg(F.count("*").alias("orders"))
 
 
-def meander_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """States of the orders that are meanders, after each of their bridges: the scan run on their actions, equal states merged."""
-    s = states_of(meanders(spark, sf_dir))
+def order_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of the orders that are simple, after each of their bridges: the scan run on their actions, equal states merged."""
+    s = states_of(simple_orders(spark, sf_dir))
     return s.select(F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), "word", F.col("h").cast("long").alias("h"), F.col("count").cast("long").alias("orders"))
 
 
 def _half_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return states_of(meanders(spark, sf_dir)).where("k = n div 2")
+    return states_of(simple_orders(spark, sf_dir)).where("k = n div 2")
 
 
 def layer_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,27 +84,102 @@ def layer_predecessors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), "word", F.col("h").cast("long").alias("h"), words.depth(F.col("word"), F.col("h")).cast("long").alias("depth"), F.col("count").cast("long").alias("orders"))
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    return rows.select("n", "k", "h", *packed.narrow(F.col("word")), "count")
+
+
 def meet_in_the_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In how many ways the first halves of the orders that are meanders can be finished: observed states joined with backward layers, products summed."""
-    half = materialise(_half_states(spark, sf_dir), "half")
-    rest = {x["p"]: (x["r"], x["n"]) for x in half.groupBy((F.col("n") % 2).alias("p")).agg(F.max(F.col("n") - F.col("k")).alias("r"), F.max("n").alias("n")).collect()}
-    parts = []
-    for p, (most, longest) in rest.items():
-        back = layers.seeds(spark, p)
-        for r in range(most + 1):
-            parts.append(back.select(F.lit(p).alias("p"), F.lit(r).alias("r"), "word", "h", F.col("count")))
-            if r < most:
-                back = materialise(mitm.backward_step(back, longest - r - 1), "back")
-    if not parts:
-        return half.select(F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), F.col("count").cast("long").alias("orders"), F.col("count").cast("long").alias("ways")).limit(0)
-    all_back = parts[0]
-    for x in parts[1:]:
-        all_back = all_back.unionByName(x)
+    """In how many ways the first halves of the orders that are simple can be finished: observed states joined with backward layers, products summed."""
+    half = materialise(_packed(_half_states(spark, sf_dir)), "half")
+    most, longest = half.agg(F.max(F.col("n") - F.col("k")), F.max("n")).first()
+    back = mitm.backward_layers(spark, most or 0, F.lit(longest or 0) - F.col("r"))
     f = half.withColumn("p", F.col("n") % 2).withColumn("r", (F.col("n") - F.col("k")).cast("int")).withColumnRenamed("count", "f")
-    both = f.join(all_back, ["p", "r", "word", "h"])
+    both = f.join(back, ["p", "r", "h", "e", "bits"])
     return both.groupBy(F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k")).agg(F.sum("f").cast("long").alias("orders"), F.sum(F.col("f") * F.col("count")).cast("long").alias("ways"))
 
 
+def packed_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next layer of the states half-way on packed states, whatever follows: a bridge, no target; ``open`` says which could still finish."""
+    half = _packed(_half_states(spark, sf_dir))
+    out = layers.merge(packed.stepped(half, "n", "k"), "n", "k", "h", "e", "bits")
+    length = packed.brackets(F.col("bits")) + F.when(F.col("e") >= 0, 1).otherwise(0)
+    opens = words.can_finish(length, F.col("h"), F.col("n"), F.col("k") + 1)
+    return out.select(F.col("n").cast("long").alias("n"), (F.col("k") + 1).cast("long").alias("k"), F.col("h").cast("long").alias("h"), F.col("e").cast("long").alias("e"), "bits", packed.widen(F.col("e"), F.col("bits")).alias("word"), opens.alias("open"), F.col("count").cast("long").alias("orders"))
+
+
+def packed_predecessors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states a bridge before those half-way, on packed states, in segments by depth: what a horizon of one bridge reaches, and what a further one newly admits. Segments are written and united."""
+    half = _packed(_half_states(spark, sf_dir).where("k > 0"))
+    back = materialise(layers.merge(packed.stepped(half, "n", "k", backwards=True), "n", "k", "h", "e", "bits", "depth"), "layer")
+    bounds = [(-1, 1), (1, 2), (2, 1 << 30)]
+    parts = [materialise(back.where((F.col("depth") > a) & (F.col("depth") <= z) & (F.col("depth") < F.col("k"))).sortWithinPartitions("h", "bits"), f"segment-{i}").withColumn("seg", F.lit(i).cast("long")) for i, (a, z) in enumerate(bounds)]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select(F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), "seg", F.col("h").cast("long").alias("h"), "bits", F.col("depth").cast("long").alias("depth"), F.col("count").cast("long").alias("orders"))
+
+
+def finished_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The east end: states after all bridges, expanded once more; how many orders reach the accepting state, in how many different runs of actions."""
+    o = simple_orders(spark, sf_dir).select("n", "perm", chords.actions(F.col("perm")).alias("acts"))
+    last = states_of(o).where("k = n")
+    ends = last.select("n", "count", F.explode(words.successors(F.col("word"), F.col("h"), F.col("n"), F.col("n"))).alias("s")).where(words.is_end(F.col("s.word"), F.col("s.h")))
+    runs = o.select("n", F.to_json("acts").alias("acts")).groupBy("n").agg(F.countDistinct("acts").alias("runs"))
+    states = last.groupBy("n").agg(F.count("*").alias("states"))
+    done = ends.groupBy("n").agg(F.sum("count").cast("long").alias("accepted"))
+    return done.join(runs, "n").join(states, "n").select(F.col("n").cast("long").alias("n"), "states", "runs", "accepted")
+
+
+def decoded_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders put together again from their actions alone: exactly the simple ones come back."""
+    o = crossing_orders(spark, sf_dir).select("l_orderkey", "perm", chords.decode(chords.actions(F.col("perm"))).alias("back"))
+    same = F.coalesce(F.col("back") == F.col("perm"), F.lit(False))
+    return o.select("l_orderkey", F.when(same, text(F.col("back"))).alias("decoded"), same.alias("same"))
+
+
+def closed_open_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different simple orders of 2 n - 1 bridges closed up, against the different closed simple orders of 2 n among all closed-up ones: both counts, and what only one of the sets has."""
+    kinds = materialise(crossing_orders(spark, sf_dir).where("n % 2 = 1").select("n", "perm").distinct(), "kinds")
+    image = kinds.where(chords.is_simple(F.col("perm"))).select(chords.close_up(F.col("perm")).alias("perm"))
+    closed = kinds.select(chords.close_up(F.col("perm")).alias("perm")).where(chords.is_closed_simple(F.col("perm")))
+    size = lambda df, name: df.groupBy((F.size("perm") / 2).cast("long").alias("n")).agg(F.count("*").alias(name))
+    opens = kinds.where(chords.is_simple(F.col("perm"))).groupBy(((F.col("n") + 1) / 2).cast("long").alias("n")).agg(F.count("*").alias("open_kinds"))
+    out = opens.join(size(closed, "closed_kinds"), "n", "full")
+    for name, a, b in (("only_open", image, closed), ("only_closed", closed, image)):
+        out = out.join(size(a.exceptAll(b), name), "n", "left")
+    return out.fillna(0, ["open_kinds", "closed_kinds", "only_open", "only_closed"])
+
+
+def inverse_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps from observed states half-way to observed states one bridge later: found forward, found backward, and found in one direction only."""
+    states = states_of(simple_orders(spark, sf_dir))
+    early = states.where("k = n div 2").select("n", "k", "word", "h")
+    late = states.where("k = n div 2 + 1 AND k <= n").select("n", (F.col("k") - 1).alias("k"), F.col("word").alias("word2"), F.col("h").alias("h2"))
+    early, late = materialise(early.distinct(), "early"), materialise(late.distinct(), "late")
+    forth = early.select("n", "k", "word", "h", F.explode(words.bridge(F.col("word"), F.col("h"))).alias("t")).select("n", "k", "word", "h", F.col("t.word").alias("word2"), F.col("t.h").alias("h2"))
+    forth = forth.join(late, ["n", "k", "word2", "h2"], "left_semi")
+    back = late.where("instr(word2, 'E') = 0").select("n", "k", "word2", "h2", F.explode(words.predecessors(F.col("word2"), F.col("h2"))).alias("t")).select("n", "k", F.col("t.word").alias("word"), F.col("t.h").alias("h"), "word2", "h2")
+    back = back.join(early, ["n", "k", "word", "h"], "left_semi")
+    keys = ["n", "k", "word", "h", "word2", "h2"]
+    both = forth.select(*keys, F.lit(1).alias("f")).join(back.select(*keys, F.lit(1).alias("b")), keys, "full")
+    count = lambda c: F.count(F.when(c, 1))
+    f, b = F.col("f").isNotNull(), F.col("b").isNotNull()
+    return both.groupBy(F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k")).agg(count(f).alias("forward"), count(b).alias("backward"), count(f & ~b).alias("only_forward"), count(b & ~f).alias("only_backward"))
+
+
+def value_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of orders by length, written as a value file and as a result table, read again, and looked up for the counts of simple orders: what was read against what is counted."""
+    o = crossing_orders(spark, sf_dir).groupBy("n").agg(F.count("*").cast(layers.COUNT).alias("count"), F.sum(chords.is_simple(F.col("perm")).cast("int")).cast(layers.COUNT).alias("check"))
+    o = materialise(o, "lengths")
+    root = values.fresh(spark, "values")
+    values.write_values(o, f"{root}/values")
+    values.write_results(o.select("n", F.col("check").alias("simple")), f"{root}/results")
+    o.select(F.concat_ws(" ", "n", "count").alias("value")).write.text(f"{root}/b")
+    read_ = values.read_values(spark, f"{root}/values").select("n", F.col("count").alias("stored"))
+    table = values.read_results(spark, f"{root}/results").select(F.col("n").cast("int").alias("n"), F.col("simple").cast("long").alias("simple"))
+    lines = values.read_b_file(spark, f"{root}/b").select("n", F.col("count").alias("listed"))
+    found = o.select("n", "count").join(read_, "n").join(table, "n").join(lines, "n")
+    return found.select(F.col("n").cast("long").alias("n"), F.col("listed").cast("long").alias("orders"), "simple", verdict(F.col("stored"), F.col("count")).alias("verdict"))
+
+
 def part_layer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines merged by part and return flag, with the sizes of the merged layers."""
     rows = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_partkey", F.col("l_quantity").cast("decimal(38,0)").alias("count"))
@@ -152,10 +224,12 @@ def value_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_split_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of each order counted by two splits, by part and by supplier, and compared."""
+    """Lines of each order counted by two splits: as rows, by part, and as different line numbers, by supplier; they agree unless a line number repeats."""
     lines = read(spark, sf_dir, "lineitem")
-    split = lambda c, name: lines.groupBy("l_orderkey", c).count().groupBy("l_orderkey").agg(F.sum("count").alias(name))
-    both = split("l_partkey", "count").join(split("l_suppkey", "check"), "l_orderkey")
+    by_part = lines.groupBy("l_orderkey", "l_partkey").count().groupBy("l_orderkey").agg(F.sum("count").alias("count"))
+    seen = lines.select("l_orderkey", "l_linenumber", "l_suppkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"))
+    by_supplier = seen.groupBy("l_orderkey", "l_suppkey").count().groupBy("l_orderkey").agg(F.sum("count").alias("check"))
+    both = by_part.join(by_supplier, "l_orderkey")
     return both.select("l_orderkey", "count", "check", verdict(F.col("count"), F.col("check")).alias("verdict"))
 
 
@@ -177,28 +251,46 @@ def numbered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per length: orders, different crossing orders, different meanders, and the bounds these must keep: n! and, for odd n, a squared Catalan number."""
-    kinds = crossing_orders(spark, sf_dir).groupBy("n", "perm").agg(F.count("*").alias("orders")).withColumn("m", chords.is_meander(F.col("perm")).cast("int"))
-    out = kinds.groupBy("n").agg(F.sum("orders").alias("orders"), F.count("*").alias("kinds"), F.sum("m").alias("meanders"))
+    """Per length: orders, different crossing orders, different simple ones, and the bounds these must keep: n! and, for odd n, a squared Catalan number."""
+    kinds = crossing_orders(spark, sf_dir).groupBy("n", "perm").agg(F.count("*").alias("orders")).withColumn("m", chords.is_simple(F.col("perm")).cast("int"))
+    out = kinds.groupBy("n").agg(F.sum("orders").alias("orders"), F.count("*").alias("kinds"), F.sum("m").alias("simple"))
     catalan = numeric.catalan(F.floor((F.col("n") - 1) / 2).cast("int") + 1).cast("long")
-    keeps = (F.col("kinds") <= F.factorial("n")) & ((F.col("n") % 2 == 0) | (F.col("meanders") <= catalan * catalan))
-    return out.select(F.col("n").cast("long").alias("n"), "orders", "kinds", "meanders", F.factorial("n").alias("most"), F.when(F.col("n") % 2 == 1, catalan * catalan).alias("most_meanders"), keeps.alias("keeps"))
+    keeps = (F.col("kinds") <= F.factorial("n")) & ((F.col("n") % 2 == 0) | (F.col("simple") <= catalan * catalan))
+    return out.select(F.col("n").cast("long").alias("n"), "orders", "kinds", "simple", F.factorial("n").alias("most"), F.when(F.col("n") % 2 == 1, catalan * catalan).alias("most_simple"), keeps.alias("keeps"))
 
 
 def event_interleavings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per user, pairs of consecutive events as arcs over the line of event values: interleaving arcs of one side, among arcs at most ten apart."""
+    """Per user, pairs of consecutive events as arcs over the line of event values: pairs of arcs of one side that cross, all of them.
+
+    Arcs (l, r) and (l2, r2) cross if l < l2 < r < r2. For an arc (l2, r2) these are the arcs with a
+    smaller l and a smaller r, less those with r <= l2. The first count is one of rising pairs in
+    the order of l, and is taken bit by bit of r's rank: among arcs whose ranks agree above a bit,
+    those without it that come before one with it. So m arcs make m log m rows, and no pairs.
+    """
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = read(spark, sf_dir, "events").select("user_id", (F.row_number().over(w) - 1).alias("k"), F.col("value").alias("a"), F.lead("value").over(w).alias("b")).where("b IS NOT NULL")
+    e = read(spark, sf_dir, "events").select("user_id", (F.row_number().over(w) - 1).alias("k"), F.col("value").alias("a"), F.lead("value").over(w).alias("b")).where("a <> b")
+    e = e.select("user_id", (F.col("k") % 2).alias("side"), F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r"))
+    own = Window.partitionBy("user_id", "side")
+    e = e.withColumn("place", F.row_number().over(own.orderBy("l", F.desc("r")))).withColumn("rank", F.dense_rank().over(own.orderBy("r")))
     e = materialise(e, "arcs")
-    shifted = e.select("user_id", F.col("a").alias("c"), F.col("b").alias("d"), F.explode(F.sequence(F.col("k") + 2, F.col("k") + 10, F.lit(2))).alias("k"))
-    pairs = e.join(shifted, ["user_id", "k"]).where(chords.interleave(F.col("a"), F.col("b"), F.col("c"), F.col("d")))
-    return pairs.groupBy("user_id").agg(F.count("*").alias("interleavings"))
+    bits = e.select("user_id", "side", "place", "rank", F.max("rank").over(own).alias("most"))
+    bits = bits.select("user_id", "side", "place", "rank", F.explode(F.sequence(F.lit(0), F.length(F.bin("most")) - 1)).alias("bit"))
+    bits = bits.select("user_id", "side", "bit", "place", F.expr("shiftright(rank, bit + 1)").alias("above"), F.expr("shiftright(rank, bit) & 1").alias("one"))
+    before = Window.partitionBy("user_id", "side", "bit", "above").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    rising = bits.withColumn("zeros", F.sum(1 - F.col("one")).over(before)).where("one = 1").groupBy("user_id").agg(F.sum("zeros").alias("rising"))
+    # Ends at or before each beginning, by one pass over both in order.
+    marks = e.select("user_id", "side", F.inline(F.array(F.struct(F.col("r").alias("x"), F.lit(0).alias("begins")), F.struct(F.col("l").alias("x"), F.lit(1).alias("begins")))))
+    upto = Window.partitionBy("user_id", "side").orderBy("x", "begins").rowsBetween(Window.unboundedPreceding, 0)
+    apart = marks.withColumn("ended", F.sum(1 - F.col("begins")).over(upto)).where("begins = 1").groupBy("user_id").agg(F.sum("ended").alias("apart"))
+    both = apart.join(rising, "user_id", "left")
+    return both.select("user_id", (F.coalesce("rising", F.lit(0)) - F.col("apart")).alias("interleavings")).where("interleavings > 0")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        order_crossings, order_arc_join, closed_orders, order_search_depth, meander_sides, meander_layers, layer_successors, layer_predecessors, meet_in_the_middle,
+        order_crossings, order_arc_join, closed_orders, order_search_depth, order_sides, order_layers, layer_successors, layer_predecessors, meet_in_the_middle,
         part_layer_merge, layer_dot, modular_totals, growth_ratios, value_report, two_split_check, segment_union, numbered_orders, order_bounds, event_interleavings,
+        packed_successors, packed_predecessors, finished_orders, decoded_orders, closed_open_sets, inverse_steps, value_files,
     )
 }

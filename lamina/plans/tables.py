@@ -30,8 +30,8 @@ def crossing_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", F.size("r").alias("n"), F.col("r.bridge").alias("perm"))
 
 
-def meanders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crossing_orders(spark, sf_dir).where(chords.is_meander(F.col("perm")))
+def simple_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossing_orders(spark, sf_dir).where(chords.is_simple(F.col("perm")))
 
 
 def text(perm: Column) -> Column:

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.session import scratch_root
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared scratch folder. A reader that is given the name of a folder written whole never sees half of a file."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 VALUES = "n int, count decimal(38,0), check decimal(38,0)"
 
 

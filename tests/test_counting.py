@@ -1,84 +1,135 @@
 """The counting operators against published values, each other and brute force."""
 
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.functions import chords, numeric, words
-from lamina.operators import layers, mitm, search
-from lamina.operators.store import Store
+from lamina.functions import chords, numeric, packed, words
+from lamina.operators import layers, mitm
+from lamina.session import materialise
 from lamina.sources import values
 
-#: A(0), A(1), ... as published: fixed values.
-OPEN = [1, 1, 1, 2, 3, 8, 14, 42, 81, 262, 538, 1828, 3926, 13820, 30694, 110954, 252939, 933458, 2172830]
+#: Numbers of simple orders of 0, 1, ... bridges and of closed ones of 2, 4, ..., as published: fixed values.
+OPEN = [1, 1, 1, 2, 3, 8, 14, 42, 81, 262, 538, 1828]
 CLOSED = [1, 2, 8, 42]
+EMPTY = f"SELECT '' AS word, 0 AS h, CAST(1 AS {layers.COUNT}) AS count"
 
 
 def rows(df, *cols):
     return sorted(tuple(r[c] for c in cols) for r in df.select(*cols).collect())
 
 
-def test_layers_of_three(spark):
-    layer, found = layers.initial(spark), []
-    for x in range(4):
-        layer = layers.step(layer, layers.expand_successors(3, x))
-        found.append({(r.word, r.h): int(r["count"]) for r in layer.collect()})
-    assert found == [{("()", 1): 1}, {("(())", 2): 1, ("()", 2): 1, ("()", 0): 1}, {("()", 1): 2}, {("E", 0): 2}]
+def orders(spark, n, closed=False):
+    """All orders of n bridges; closed: those that begin with 0."""
+    every = [(list(p),) for p in itertools.permutations(range(n)) if not closed or p[0] == 0]
+    return spark.createDataFrame(every, "perm array<int>")
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 5, 9, 12])
-def test_sweep(spark, n):
-    assert layers.sweep(spark, n)["count"] == OPEN[n]
+def scan(spark, m):
+    """The layers of the whole scan of m bridges, over words."""
+    layer = spark.sql(EMPTY)
+    for x in range(m + 1):
+        layer = materialise(layers.step(layer, lambda w, h, x=x: words.successors(w, h, F.lit(m), F.lit(x))), "layer")
+        yield layer
 
 
-def test_packed_layers_equal_words(spark):
-    m = 7
-    layer = layers.initial(spark)
-    for x, packed in enumerate(list(layers.layers(spark, m))[1:]):
-        layer = layers.materialise(layers.step(layer, layers.expand_successors(m, x)), "w")
-        bare = F.translate(F.substring(F.expr("bin(bits)"), 2, 100), "01", "()")
-        word = F.when(F.col("e") < 0, bare).otherwise(F.concat(F.substring(bare, F.lit(1), F.col("e")), F.lit("E"), F.substring(bare, F.col("e") + 1, F.lit(100))))
-        assert rows(packed.select(word.alias("word"), "h", "count"), "word", "h", "count") == rows(layer, "word", "h", "count")
+def test_layers_of_three(spark):
+    found = [{(r.word, r.h): int(r["count"]) for r in layer.collect()} for layer in scan(spark, 3)]
+    assert found == [{("()", 1): 1}, {("(())", 2): 1, ("()", 2): 1, ("()", 0): 1}, {("()", 1): 2}, {("E", 0): 2}]
 
 
-def test_all_counts_from_one_scan(spark):
-    assert [layers.all_counts(spark, 11)[n] for n in range(12)] == OPEN[:12]
+@pytest.mark.parametrize("m", [0, 1, 2, 5, 9])
+def test_scan(spark, m):
+    last = list(scan(spark, m))[-1].where(words.is_end(F.col("word"), F.col("h")))
+    assert int(last.first()["count"]) == OPEN[m]
+
+
+def test_packed_steps_equal_words(spark):
+    """Forward and back, from all states that seven bridges can build; a state with E has only steps forward."""
+    layer, known = spark.sql(EMPTY), []
+    for _ in range(4):
+        layer = materialise(layers.step(layer, words.bridge), "layer")
+        known.append(layer)
+    ends = known[-1].select(F.explode(words.east(F.col("word"), F.col("h"), F.lit(3))).alias("s"), "count").select("s.word", "s.h", "count")
+    states = known[-1].unionByName(known[-2]).unionByName(ends)
+    named = materialise(states.select("word", "h", *packed.narrow(F.col("word")), "count"), "packed")
+    assert named.where(packed.widen(F.col("e"), F.col("bits")) != F.col("word")).count() == 0
+    for back in (False, True):
+        some = named.where("e < 0") if back else named
+        want = some.select(F.explode((words.predecessors if back else words.bridge)(F.col("word"), F.col("h"))).alias("s"), "count").select("s.word", "s.h", "count")
+        got = packed.stepped(some, backwards=back)
+        got = got.withColumn("word", packed.widen(F.col("e"), F.col("bits")))
+        assert rows(got, "word", "h", "count") == rows(want, "word", "h", "count")
+        if back:
+            assert got.where(words.depth(F.col("word"), F.col("h")) != F.col("depth")).count() == 0
+
+
+def test_states_that_do_not_fit(spark):
+    long = "(" * 32 + ")" * 32
+    for word in (long, "((", "(E)E"):
+        with pytest.raises(Exception, match="does not fit"):
+            spark.createDataFrame([(word,)], "word string").select(*packed.narrow(F.col("word"))).collect()
+    (r,) = spark.createDataFrame([("(" * 31 + ")" * 31,)], "word string").select(*packed.narrow(F.col("word"))).collect()
+    with pytest.raises(Exception, match="do not fit"):
+        packed.stepped(spark.createDataFrame([(31, r.e, r.bits, 1)], "h int, e int, bits long, count long")).collect()
 
 
 def test_brute_force(spark):
     for n in range(6):
-        assert search.permutations(spark, n).where(chords.is_meander(F.col("perm"))).count() == OPEN[n]
+        assert orders(spark, n).where(chords.is_simple(F.col("perm"))).count() == OPEN[n]
     for k in (1, 2, 3):
-        assert search.permutations(spark, 2 * k, closed=True).where(chords.is_closed_meander(F.col("perm"))).count() == CLOSED[k - 1]
+        assert orders(spark, 2 * k, closed=True).where(chords.is_closed_simple(F.col("perm"))).count() == CLOSED[k - 1]
+
 
+def test_search_depth(spark):
+    """The two prunings keep what can be finished: an order is followed to its end exactly if it is simple."""
+    for n in (1, 4, 5):
+        found = orders(spark, n).select("perm", chords.search_depth(F.col("perm")).alias("d"), chords.is_simple(F.col("perm")).alias("simple")).collect()
+        simple = [tuple(r.perm) for r in found if r.simple]
+        for r in found:
+            assert not r.simple or r.d.clear == r.d.open == n
+            if any(p[: r.d.open] == tuple(r.perm)[: r.d.open] for p in simple) and r.d.open < n:
+                assert not any(p[: r.d.open + 1] == tuple(r.perm)[: r.d.open + 1] for p in simple)
 
-def test_search(spark):
-    assert search.nodes(spark, 8, False) == 6077
-    assert search.nodes(spark, 8, True) == 522
-    got = sorted("".join(map(str, r.perm)) for r in search.meanders(spark, 5).collect())
-    assert got == "01234 01432 03214 21034 23410 41230 43012 43210".split()
+
+def test_decode_inverts_actions(spark):
+    for n in range(7):
+        simple = orders(spark, n).where(chords.is_simple(F.col("perm")))
+        back = simple.select("perm", chords.decode(chords.actions(F.col("perm"))).alias("back"))
+        assert back.where("NOT perm <=> back").count() == 0
+    other = orders(spark, 4).where(~chords.is_simple(F.col("perm")))
+    assert other.where(chords.decode(chords.actions(F.col("perm"))) == F.col("perm")).count() == 0
 
 
 def test_close_up_is_a_bijection(spark):
     for k in (1, 2, 3):
-        image = search.meanders(spark, 2 * k - 1).select(chords.close_up(F.col("perm")).alias("perm"))
-        closed = search.permutations(spark, 2 * k, closed=True).where(chords.is_closed_meander(F.col("perm")))
+        image = orders(spark, 2 * k - 1).where(chords.is_simple(F.col("perm"))).select(chords.close_up(F.col("perm")).alias("perm"))
+        closed = orders(spark, 2 * k, closed=True).where(chords.is_closed_simple(F.col("perm")))
         assert image.exceptAll(closed).count() == closed.exceptAll(image).count() == 0
 
 
 def test_meet_in_the_middle(spark):
-    found = {r["n"]: (int(r["count"]), r["check"]) for r in mitm.meet(spark, 10).collect()}
-    assert [found[n][0] for n in range(11)] == OPEN[:11]
-    assert all(found[n][1] == OPEN[n] for n in range(1, 11)) and found[0][1] is None
+    """Each count from two splits."""
+    horizon = 8
+    layer = spark.sql(EMPTY).select("h", *packed.narrow(F.col("word")), "count")
+    forward = [layer]
+    for _ in range(5):
+        forward.append(materialise(layers.merge(packed.stepped(forward[-1]), "h", "e", "bits"), "forward"))
+    back = materialise(mitm.backward_layers(spark, horizon // 2 + 1, F.lit(horizon) - F.col("r")), "back")
+    for n in range(1, horizon + 1):
+        for k in ((n + 1) // 2, (n + 1) // 2 - 1):
+            own = back.where((F.col("p") == n % 2) & (F.col("r") == n - k)).select("h", "e", "bits", "count")
+            assert int(mitm.dot(forward[k], own, on=("h", "e", "bits")).first()["count"]) == OPEN[n], (n, k)
 
 
 def test_predecessors_invert_successors(spark):
-    layer, first = layers.initial(spark).select("word", "h"), {}
+    layer, first = spark.sql(EMPTY).select("word", "h"), {}
     for k in range(5):
         for r in layer.collect():
             first.setdefault((r.word, r.h), k)
-        layer = layers.materialise(layer.select(F.explode(words.bridge(F.col("word"), F.col("h"))).alias("s")).select("s.*").distinct(), "b")
+        layer = materialise(layer.select(F.explode(words.bridge(F.col("word"), F.col("h"))).alias("s")).select("s.*").distinct(), "b")
     states = spark.createDataFrame(list(first), "word string, h int")
     forth = states.select("word", "h", F.explode(words.bridge(F.col("word"), F.col("h"))).alias("t")).select("word", "h", F.col("t.word").alias("w2"), F.col("t.h").alias("h2"))
     known = states.select(F.col("word").alias("w2"), F.col("h").alias("h2"))
@@ -89,27 +140,6 @@ def test_predecessors_invert_successors(spark):
         assert r.d == first[r.word, r.h]
 
 
-def test_store_extends_like_a_direct_run(spark, tmp_path):
-    direct, grown = Store(spark, f"{tmp_path}/a"), Store(spark, f"{tmp_path}/b")
-    assert direct.extend(8)
-    assert grown.extend(5)
-    stops = iter([False, True])
-    assert grown.extend(8, paused=lambda: next(stops, False)) is False
-    assert grown.extend(8)
-    assert rows(direct.values(), "n", "count") == rows(grown.values(), "n", "count") == [(n, OPEN[n]) for n in range(9)]
-    for r in range(4):
-        assert rows(direct.layer("G", 1, r), "word", "h", "count") == rows(grown.layer("G", 1, r), "word", "h", "count")
-    assert grown.horizons() == [5, 8]
-
-
-def test_store_discards(spark, tmp_path):
-    s = Store(spark, f"{tmp_path}/c")
-    assert s.extend(6, discard=True)
-    assert rows(s.values(), "n", "count") == [(n, OPEN[n]) for n in range(7)]
-    with pytest.raises(ValueError):
-        s.extend(8)
-
-
 def test_chinese_remainders(spark):
     numbers = [0, 1, 2**63, 2**63 - 1, 2**64, 18276178714484582264, 193909492888406631692, 10**37 + 12345, 2**61 - 1]
     frame = spark.createDataFrame([(str(x % numeric.M64), str(x % numeric.M61), str(x)) for x in numbers], "a string, b string, x string")
@@ -135,7 +165,7 @@ def test_values_files(spark, tmp_path):
     assert [r.v for r in frame.orderBy("n").select(values.verdict(F.col("count"), F.lit(1)).alias("v")).collect()] == ["ok", "MISMATCH(1)"]
 
 
-def test_partners_of_random_words(spark):
+def test_mates_of_random_words(spark):
     rng = random.Random(3)
 
     def word(pairs):
@@ -143,7 +173,7 @@ def test_partners_of_random_words(spark):
 
     made = [word(rng.randrange(1, 12)) for _ in range(60)]
     frame = spark.createDataFrame([(w, i) for w in made for i in range(len(w))], "w string, i int")
-    for r in frame.select("w", "i", words.partner(F.col("w"), F.col("i")).alias("p")).collect():
+    for r in frame.select("w", "i", words.mate(F.col("w"), F.col("i")).alias("p")).collect():
         stack, match = [], {}
         for j, c in enumerate(r.w):
             if c == "(":

@@ -41,6 +41,6 @@ def test_entry(spark):
 def test_imports_without_text_operators(tmp_path):
     shutil.copytree(REPO / "lamina", tmp_path / "lamina", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(REPO / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'meander_layers' in q and not any(k.startswith('op') or k == 'pipeline' for k in q if k[2:3].isdigit() or k == 'pipeline'); assert set(e.oracle_sql()) <= set(q)"
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'order_layers' in q and not any(k.startswith('op') or k == 'pipeline' for k in q if k[2:3].isdigit() or k == 'pipeline'); assert set(e.oracle_sql()) <= set(q)"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
