@@ -8,10 +8,11 @@ what a small set allows.
 A token that more than HOT sets have among their first ones is not expanded into pairs. A set with h
 such tokens must share l - h of the others, which is tested in the same way. Only sets in which that
 leaves nothing (h >= l) are compared again, with each other: there the order of tokens is that of
-their frequency among these sets, rare ones first, l is AGAIN, and sets of one group, which copies
-are by then, are one party of the join. Nothing is dropped: a pair is proposed unless it cannot be
-similar or is in one group already. What does cost all its pairs is a family of sets that are alike
-but not similar enough.
+their frequency among these sets, rare ones first, l is 1, and sets of one group, which copies are
+by then, are one party of the join. At the first token that two similar sets share, what follows it
+in both is still as much as they have to share, so that sets with rare tokens of their own, as in a
+family of sets that are alike but not similar enough, do not meet at the family's. Nothing is
+dropped: a pair is proposed unless it cannot be similar or is in one group already.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import materialise
 
-LEAST, HOT, AGAIN = 12, 64, 2
+LEAST, HOT = 12, 64
 #: (least tokens, longs): a set of at least so many tokens has a parity of so many longs.
 PARITY = ((0, 16), (1_000, 128), (8_000, 1_024))
 
@@ -56,10 +57,10 @@ def possible(pairs: DataFrame, sketches: DataFrame, share: Fraction) -> DataFram
     return both.where((F.size("pa") != F.size("pb")) | fits).select("a", "b")
 
 
-def _floor(n: Column, share: Fraction, least: int) -> Column:
+def _floor(n: Column, share: Fraction) -> Column:
     """Tokens that a set of n must share among the first ones with any similar set, which has share * n tokens at least and must share that share of them."""
     square = share * share
-    return F.least(F.lit(least), F.ceil(n * square.numerator / F.lit(float(square.denominator)) - F.lit(1e-9)).cast("int"))
+    return F.least(F.lit(LEAST), F.ceil(n * square.numerator / F.lit(float(square.denominator)) - F.lit(1e-9)).cast("int"))
 
 
 def _bucket_pairs(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
@@ -104,7 +105,7 @@ def candidates(sketches: DataFrame, groups: DataFrame, sets: Callable[[DataFrame
     hot = shared.where(F.col("m") > HOT)
     nodes = sketches.select("id", "n").join(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")), "id", "left")
     nodes = nodes.join(hot.groupBy("id").agg(F.count("*").cast("int").alias("h")), "id", "left")
-    need = _floor(F.col("n"), share, LEAST)
+    need = _floor(F.col("n"), share)
     nodes = materialise(nodes.select("id", "n", F.coalesce("grp", "id").alias("grp"), (need - F.coalesce("h", F.lit(0))).alias("t")), "sizes")
 
     cold = shared.where(F.col("m") <= HOT).join(nodes, "id")
@@ -119,13 +120,14 @@ def candidates(sketches: DataFrame, groups: DataFrame, sets: Callable[[DataFrame
     often = whole.groupBy("tok").agg(F.count("*").alias("m"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("m", "tok"))
     lost = F.floor(F.col("n") * (share.denominator - share.numerator) / F.lit(float(share.denominator)) + F.lit(1e-9)).cast("int")
-    rows = whole.join(often, "tok").select("id", "tok", "m", place.alias("at")).where("m > 1").join(heavy, "id").where(F.col("at") <= lost + AGAIN)
-    rows = materialise(rows.select("id", "tok", "n", "grp"), "again")
-    parties = rows.groupBy("tok", "grp").agg(F.count("*").alias("m"))
-    several = parties.groupBy("tok").agg(F.count("*").alias("p")).where("p > 1").select("tok")
-    parties = materialise(parties.join(several, "tok").select("tok", "grp"), "parties")
-    x, y = (rows.select("tok", *[F.col(c).alias(f"{c}{k}") for c in ("id", "n", "grp")]) for k in (1, 2))
-    met = parties.select("tok", F.col("grp").alias("grp1")).join(parties.select("tok", F.col("grp").alias("grp2")), "tok").where("grp1 < grp2")
-    met = met.join(x, ["tok", "grp1"]).join(y, ["tok", "grp2"]).where(F.least("n1", "n2") >= F.greatest("n1", "n2") * float(share) - F.lit(1e-9))
-    met = met.groupBy(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).agg(F.count("*").alias("k"), F.max(F.greatest(_floor(F.col("n1"), share, AGAIN), _floor(F.col("n2"), share, AGAIN))).alias("t"))
-    return found.unionAll(met.where("k >= t").select("a", "b")).distinct()
+    rows = whole.join(often, "tok").select("id", "tok", "m", place.alias("at")).where("m > 1").join(heavy, "id").where(F.col("at") <= lost + 1)
+    rows = materialise(rows.select("id", "tok", "n", "grp", (F.col("n") - F.col("at") + 1).alias("left")), "again")
+    enough = lambda left1, left2, n1, n2: F.least(left1, left2) * (share.denominator + share.numerator) >= (n1 + n2) * share.numerator
+    parties = materialise(rows.groupBy("tok", "grp").agg(F.max("left").alias("left"), F.min("n").alias("n")), "parties")
+    x, y = (parties.select("tok", *[F.col(c).alias(f"{c}{k}") for c in ("grp", "left", "n")]) for k in (1, 2))
+    met = x.join(y, "tok").where((F.col("grp1") < F.col("grp2")) & enough(F.col("left1"), F.col("left2"), F.col("n1"), F.col("n2"))).select("tok", "grp1", "grp2")
+    met = materialise(met, "met")
+    x, y = (rows.select("tok", *[F.col(c).alias(f"{c}{k}") for c in ("id", "grp", "left", "n")]) for k in (1, 2))
+    met = met.join(x, ["tok", "grp1"]).join(y, ["tok", "grp2"]).where(enough(F.col("left1"), F.col("left2"), F.col("n1"), F.col("n2")))
+    met = met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
+    return found.unionAll(met).distinct()

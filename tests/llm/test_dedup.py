@@ -304,6 +304,34 @@ def test_sharding_of_awkward_rows(spark, awkward):
     assert sharding.shard_documents(spark.createDataFrame([], DDL)).count() == 0
 
 
+def test_shards_and_slots_equal_a_plain_ring_walk(spark, awkward):
+    rows = [*awkward, *[(7, "again")] * 5, (None, None), *[(1000 + i, f"text {i}") for i in range(500)]]
+    got = Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in sharding.shard_documents(frame(spark, rows)).collect())
+    facts = [(i, len((t or "").encode()) + 1, crc32((t or "").encode())) for i, t in rows]
+    named = spark.createDataFrame(sorted(set(facts), key=str), "doc_id long, size long, text_crc32 long")
+    place = {tuple(r)[:3]: r.place for r in named.withColumn("place", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", "text_crc32")).collect()}
+    points = sharding.ring(8, 64)
+    queues = {}
+    for f in facts:
+        cell = (place[f] % (1 << 64)) >> 50
+        after = [k for k, (p, _) in enumerate(points) if p >= cell]
+        arc = after[0] if after else 0
+        queues.setdefault(arc, []).append((not after, cell, place[f], (f[0] is not None, f[0] or 0), f))
+    room = [len(rows) // 8 + (s < len(rows) % 8) for s in range(8)]
+    waiting = {arc: [x[-1] for x in sorted(q)] for arc, q in queues.items()}
+    shards, out = [0] * 8, Counter()
+    for turn in range(8):  # what is left of each arc walks on to the next shard clockwise
+        for arc in sorted(waiting):
+            seen = list(dict.fromkeys(points[(arc + i) % len(points)][1] for i in range(len(points))))
+            shard = seen[turn]
+            while waiting[arc] and shards[shard] < room[shard]:
+                f = waiting[arc].pop(0)
+                out[*f, shard, shards[shard]] += 1
+                shards[shard] += 1
+    assert sum(out.values()) == len(rows)
+    assert got == out
+
+
 def test_ring_keeps_most_keys_at_their_first_shard_and_overflow_goes_on_clockwise():
     points = sharding.ring(8, 64)
     rng = random.Random(1)
