@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from lamina.llm.common import materialise
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, BLOCK, REMEMBERED, PORTION = 1 << 16, 64, 80_000, 1 << 19
+CHUNK, BLOCK, REMEMBERED, PORTION = 1 << 16, 64, 50_000, 1 << 18
 #: Stands for a U+2581 of the text itself; no decoded text holds it.
 OWN_BLANK = "\udc00"
 NEVER = -math.inf
@@ -604,6 +604,7 @@ def encode(documents: DataFrame, vocabulary: Vocabulary | None = None, chunk: in
         segmenter = Segmenter(shared.value)
         for texts in batches:
             yield pa.concat_arrays([encode_batch(segmenter, part) for part in portions(texts)])
+            pa.default_memory_pool().release_unused()
 
     is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
     rows = documents.select("doc_id", "text")
