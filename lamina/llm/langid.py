@@ -6,9 +6,10 @@ driver gets is one table of languages x BUCKETS counts, whatever the input.
 
 A text is a mixture of languages. Expectation-maximisation estimates its proportions from the
 trigrams' likelihoods: each trigram is shared out among the languages by proportion times
-likelihood, and the shares make the next proportions. It runs for the one, two, ... most likely
-languages, and a set of languages is chosen by likelihood less a penalty for each language. The
-prediction is the language with the largest proportion in the chosen set, the score that proportion.
+likelihood, and the shares make the next proportions, until these settle. It runs for all languages
+first, and then for the one, two, ... of them with the largest proportions, as far as a language has
+any; a set of languages is chosen by likelihood less a penalty for each language. The prediction is
+the language with the largest proportion in the chosen set, the score that proportion.
 
 Null texts and texts without letters are ``und`` with score 0, as are all if nothing was learnt.
 Null languages aren't learnt. Repeated rows get the same answer. Other columns pass through.
@@ -21,7 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, ALPHA, STEPS, MOST_LANGUAGES = 1 << 14, 0.05, 6, 3
+BUCKETS, ALPHA = 1 << 14, 0.05
+#: Proportions have settled when none moves more, and a language has one if it is more.
+SETTLED = 1e-3
+#: Different lang values that the model may have, each a row of BUCKETS numbers on the driver: more is an error.
+LANGUAGES = 2_000
 #: Log-likelihood that a further language must bring, as a share of the trigrams and at least.
 PENALTY_SHARE, PENALTY_LEAST = 0.02, 4.0
 
@@ -74,17 +79,20 @@ def train(documents: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
 
     counts = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").mapInArrow(count, "lang string, bucket long, n long")
-    table = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    langs = sorted(r["lang"] for r in documents.where("lang IS NOT NULL AND text IS NOT NULL").select("lang").distinct().limit(LANGUAGES + 1).collect())
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} different languages: clean lang first")
+    table = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # LANGUAGES x BUCKETS rows at most
     langs = sorted(table["lang"].unique())
     n = np.zeros((len(langs), BUCKETS))
     n[[langs.index(x) for x in table["lang"]], table["bucket"].to_numpy(dtype=np.int64)] = table["n"]
     return langs, np.log((n + ALPHA) / (n.sum(1, keepdims=True) + ALPHA * BUCKETS))
 
 
-def mixture(texts: list[str | None], log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the number of its main language (-1: none) and that language's proportion."""
-    best, share = np.full(len(texts), -1), np.zeros(len(texts))
-    rows, buckets, counts, sizes = [], [], [], []
+def mixture(texts: list[str | None], log_p: np.ndarray) -> np.ndarray:
+    """(text, language): the proportions of each text's chosen languages; all zero if it has none."""
+    share = np.zeros((len(texts), len(log_p)))
+    rows, buckets, counts = [], [], []
     for i, text in enumerate(texts):
         t = trigrams(text)
         if len(t):
@@ -93,61 +101,70 @@ def mixture(texts: list[str | None], log_p: np.ndarray) -> tuple[np.ndarray, np.
             rows.append(i)
             buckets.append(at)
             counts.append(n[at])
-            sizes.append(len(at))
     if not rows or not len(log_p):
-        return best, share
-    rows, sizes = np.array(rows), np.array(sizes)
+        return share
+    sizes = np.array(list(map(len, buckets)))
+    n, logs = np.concatenate(counts).astype(float), log_p[:, np.concatenate(buckets)]
     begin = np.cumsum(sizes) - sizes
-    doc, n, at = np.repeat(np.arange(len(rows)), sizes), np.concatenate(counts).astype(float), np.concatenate(buckets)
-    logs = log_p[:, at]
-    alone = np.add.reduceat(logs * n, begin, axis=1).T  # (text, language)
     total = np.add.reduceat(n, begin)
-    k = len(log_p)
-    score, first = alone.max(1), alone.argmax(1)
-    chosen, portion = first.copy(), np.ones(len(rows))
-    if k == 1:
-        best[rows], share[rows] = chosen, portion
-        return best, share
-    # Full mixture: its proportions rank the languages to try together.
-    p = np.exp(logs - logs.max(0))
-    pi = np.full((len(rows), k), 1.0 / k)
-    pi = _em(pi, p, doc, n, begin, total)
-    rank = np.argsort(-pi, axis=1, kind="stable")
-    base = np.add.reduceat(logs.max(0) * n, begin)
-    for size in range(2, min(k, MOST_LANGUAGES) + 1):
-        allowed = np.zeros((len(rows), k), dtype=bool)
-        np.put_along_axis(allowed, rank[:, :size], True, axis=1)
-        start = np.where(allowed, pi + 1e-3, 0.0)
-        q = _em(start / start.sum(1, keepdims=True), p, doc, n, begin, total)
-        likelihood = base + np.add.reduceat(np.log(np.maximum((q[doc].T * p).sum(0), 1e-300)) * n, begin)
-        penal = likelihood - (size - 1) * np.maximum(PENALTY_SHARE * total, PENALTY_LEAST + 0.5 * np.log(total))
-        better = penal > score
-        score = np.where(better, penal, score)
-        chosen, portion = np.where(better, q.argmax(1), chosen), np.where(better, q.max(1), portion)
-    best[rows], share[rows] = chosen, np.clip(portion, 0.0, 1.0)
-    return best, share
-
-
-def _em(pi, p, doc, n, begin, total):
-    for _ in range(STEPS):
-        r = pi[doc].T * p
+    alone = np.add.reduceat(logs * n, begin, axis=1).T
+    best = alone.max(1)
+    chosen = np.eye(len(log_p))[alone.argmax(1)]
+    if len(log_p) > 1:
+        top = logs.max(0)
+        p, base = np.exp(logs - top), np.add.reduceat(top * n, begin)
+        full = settle(np.full_like(chosen, 1.0 / len(log_p)), p, n, sizes)
+        rank = np.argsort(-full, axis=1, kind="stable")
+        for size in range(2, len(log_p) + 1):
+            on = np.flatnonzero(np.take_along_axis(full, rank[:, size - 1 : size], 1)[:, 0] > SETTLED)
+            if not len(on):
+                break
+            start = np.zeros((len(on), len(log_p)))
+            np.put_along_axis(start, rank[on, :size], np.take_along_axis(full[on], rank[on, :size], 1), 1)
+            own = np.isin(np.repeat(np.arange(len(sizes)), sizes), on)
+            q = settle(start / start.sum(1, keepdims=True), p[:, own], n[own], sizes[on])
+            mixed = (np.repeat(q, sizes[on], axis=0).T * p[:, own]).sum(0)
+            gain = base[on] + np.add.reduceat(np.log(np.maximum(mixed, 1e-300)) * n[own], np.cumsum(sizes[on]) - sizes[on])
+            gain -= (size - 1) * np.maximum(PENALTY_SHARE * total[on], PENALTY_LEAST + 0.5 * np.log(total[on]))
+            better = gain > best[on]
+            best[on[better]], chosen[on[better]] = gain[better], q[better]
+    share[rows] = np.clip(chosen, 0.0, 1.0)
+    return share
+
+
+def settle(pi: np.ndarray, p: np.ndarray, n: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Expectation-maximisation of each text's proportions until they move by SETTLED at most. ``p`` (language, trigram) and ``n`` are of the texts' trigrams, ``sizes`` of them for each text."""
+    out, left = pi.copy(), np.arange(len(pi))
+    while len(left):
+        begin = np.cumsum(sizes) - sizes
+        r = np.repeat(pi, sizes, axis=0).T * p
         r *= n / np.maximum(r.sum(0), 1e-300)
-        pi = np.add.reduceat(r, begin, axis=1).T / total[:, None]
-    return pi
+        now = np.add.reduceat(r, begin, axis=1).T / np.add.reduceat(n, begin)[:, None]
+        moving = np.abs(now - pi).max(1) > SETTLED
+        out[left] = pi = now
+        if not moving.all():
+            own = np.repeat(moving, sizes)
+            left, pi, p, n, sizes = left[moving], pi[moving], p[:, own], n[own], sizes[moving]
+    return out
 
 
 def with_language(documents: DataFrame, langs: list[str], log_p: np.ndarray, column: str = "language") -> DataFrame:
-    """All rows and columns and a struct (lang_pred, score), from the text alone. An older column of that name is replaced."""
-    names = [*langs, "und"]
+    """All rows and columns and a struct (lang_pred, score, languages: those chosen with their proportions), from the text alone. An older column of that name is replaced."""
+    names = np.array([*langs, "und"], dtype=object)
     broadcast = documents.sparkSession.sparkContext.broadcast(log_p)  # languages x BUCKETS
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.map_(pa.string(), pa.float64()))])
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @F.arrow_udf("struct<lang_pred: string, score: double, languages: map<string, double>>")
     def predict(text: pa.Array) -> pa.Array:
         parts = []
         for i in range(0, len(text), 256):
-            best, share = mixture(text[i : i + 256].to_pylist(), broadcast.value)
-            parts.append(pa.StructArray.from_arrays([pa.array([names[b] for b in best], pa.string()), pa.array(share)], names=["lang_pred", "score"]))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))
+            share = mixture(text[i : i + 256].to_pylist(), broadcast.value)
+            main = np.where(share.any(1), share.argmax(1), len(langs)) if len(langs) else np.zeros(len(share), dtype=int)
+            row, lang = np.nonzero(share)
+            ends = np.searchsorted(row, np.arange(len(share) + 1))
+            maps = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names[lang], pa.string()), pa.array(share[row, lang]))
+            parts.append(pa.StructArray.from_arrays([pa.array(names[main], pa.string()), pa.array(share.max(1, initial=0.0)), maps], names=["lang_pred", "score", "languages"]))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return documents.withColumn(column, predict("text"))
 

@@ -1,7 +1,10 @@
 """Chat formatting, quality, language and toxicity: round trips, held-out accuracy, awkward rows."""
 
 import hashlib
+import itertools
+import math
 import random
+from bisect import bisect_right
 
 import numpy as np
 import pytest
@@ -79,6 +82,34 @@ def test_additive_model_finds_effects_and_interactions():
     assert quality.fit(x, np.zeros(4000)).score(x[:2]) == pytest.approx([1 / 4002] * 2)
 
 
+def test_scores_equal_plain_sums_over_the_tables():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 5)).round(1)  # many values on the edges of bins
+    m = quality.fit(x, ((x[:, 0] > 0) ^ (x[:, 1] * x[:, 2] > 0.2)).astype(float))
+    assert m.pairs
+    for row, score in zip(x[:300], m.score(x[:300]), strict=True):
+        z = m.bias
+        for value, edges, table in zip(row, m.edges, m.tables, strict=True):
+            z += table[bisect_right(edges.tolist(), value)]
+        for (a, b), table in zip(m.pairs, m.pair_tables, strict=True):
+            z += table[bisect_right(m.coarse[a].tolist(), row[a])][bisect_right(m.coarse[b].tolist(), row[b])]
+        assert score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-12)
+
+
+def test_query_scores_equal_plain_scores(spark, small):
+    docs, labels = read(spark, small, "documents").select("doc_id", "text"), read(spark, small, "labels")
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r for r in queries.op3_quality_classifier(spark, small).collect()}
+    for r in docs.collect():
+        (want,) = model.score(np.array([quality.features(r.text)]))
+        assert got[r.doc_id].score == pytest.approx(want) and got[r.doc_id].predicted == (want >= 0.7)
+    tox = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in queries.op10_toxicity(spark, small).collect()}
+    for r in docs.collect():
+        (want,) = tox.score([tox.measure(r.text, {})])
+        assert got[r.doc_id].score == pytest.approx(want) and got[r.doc_id].predicted == (want >= 0.5)
+
+
 def accuracy(spark, small, out, column, value):
     rows = out.join(read(spark, small, "labels"), "doc_id").where(f"held_out AND {column} IS NOT NULL")
     return rows.agg(F.avg((F.col(value) == F.col(column)).cast("int"))).first()[0]
@@ -123,15 +154,77 @@ def test_mixtures_are_told_apart():
     text = lambda k, n: " ".join(rng.choice(kinds[k]) for _ in range(n))
     counts = np.stack([np.bincount(langid.trigrams(text(k, 5000)), minlength=langid.BUCKETS) for k in kinds]) + langid.ALPHA
     log_p = np.log(counts / counts.sum(1, keepdims=True))
-    best, share = langid.mixture([text("a", 300), text("b", 200) + " " + text("c", 100), "", None], log_p)
-    assert best.tolist() == [0, 1, -1, -1]
-    assert share[0] > 0.98 and 0.5 < share[1] < 0.85
+    share = langid.mixture([text("a", 300), text("b", 200) + " " + text("c", 100), "", None, text("a", 90) + " " + text("b", 60) + " " + text("c", 150)], log_p)
+    assert share[0, 0] > 0.98 and share[1].argmax() == 1 and 0.5 < share[1, 1] < 0.85 and share[1, 0] == 0
+    assert not share[2:4].any() and (share[4] > 0.1).all() and share[4].argmax() == 2
+
+
+def test_mixtures_equal_plain_expectation_maximisation_over_all_sets():
+    rng = random.Random(5)
+    kinds = [["the", "and", "thing", "with"], ["der", "und", "schon", "nicht"], ["le", "que", "pour", "dans"], ["el", "los", "pero", "donde"], ["och", "inte", "att", "som"]]
+    words = lambda k, n: " ".join(rng.choice(kinds[k]) for _ in range(n))
+    counts = np.stack([np.bincount(langid.trigrams(words(k, 4000)), minlength=langid.BUCKETS) for k in range(5)]) + langid.ALPHA
+    log_p = np.log(counts / counts.sum(1, keepdims=True))
+    texts = [words(0, 50), words(1, 200), *(" ".join(words(k, rng.choice((40, 90))) for k in rng.sample(range(5), size)) for size in (2, 2, 3, 4, 5)), words(3, 1)]
+    got = langid.mixture(texts, log_p)
+    for text, found in zip(texts, got, strict=True):
+        t = langid.trigrams(text)
+        best = (-np.inf, None)
+        for size in range(1, 6):
+            for langs in itertools.combinations(range(5), size):
+                pi = dict.fromkeys(langs, 1 / size)
+                for _ in range(300):
+                    parts = dict.fromkeys(langs, 0.0)
+                    for x in t.tolist():
+                        weight = {k: pi[k] * np.exp(log_p[k, x]) for k in langs}
+                        whole = sum(weight.values())
+                        for k in langs:
+                            parts[k] += weight[k] / whole / len(t)
+                    moved = max(abs(parts[k] - pi[k]) for k in langs)
+                    pi = parts
+                    if moved < 1e-3:
+                        break
+                value = sum(np.log(sum(pi[k] * np.exp(log_p[k, x]) for k in langs)) for x in t.tolist())
+                value -= (size - 1) * max(langid.PENALTY_SHARE * len(t), langid.PENALTY_LEAST + 0.5 * np.log(len(t)))
+                best = max(best, (value, pi), key=lambda b: b[0])
+        assert set(np.flatnonzero(found).tolist()) == set(best[1])
+        assert all(abs(found[k] - v) < 0.02 for k, v in best[1].items())
 
 
 def test_disguised_words_are_restored():
     lexicon = {k: 5.0 for w in ("idiot", "moron", "pathetic", "stupid") for k in toxicity.entries(w)}
     m = toxicity.Model(lexicon, toxicity.char_model(toxicity.trigram_counts("the thing and there is nothing in it " * 50).astype(float), ["idiot", "moron", "pathetic", "stupid"]), np.zeros(4))
-    for text in ("1d10t", "!d!0t", "i.d.i.o.t", "what an i d i o t!", "(i d i o t)", "idiooot", "m0r0n", "p@th3tic", "$tuppid", "s-t-u-p-i-d", "M O R O N"):
+    for text in ("1d10t", "!d!0t", "i.d.i.o.t", "what an i d i o t!", "(i d i o t)", "idiooot", "m0r0n", "p@th3tic", "$tuppid", "s-t-u-p-i-d", "M O R O N", "(1d10t)", "<stup1d>", "!m0r0n", "you/1d10t", "so-stup1d", "[p@th3tic],"):
         assert m.measure(text, {})[1] > 0, text
     for text in ("the thing", "1 2 3 4 5", "a a a a a", "", None, "there!! is!! nothing!!", "x" * 5000):
         assert m.measure(text, {}) == (0.0, 0), text
+
+
+def test_decoding_equals_the_best_of_all_lattice_paths():
+    m = toxicity.Model({}, toxicity.char_model(toxicity.trigram_counts("idiots will sit on still toast " * 30).astype(float), ["idiot"]), np.zeros(4))
+
+    def paths(token, before=""):
+        if not token:
+            yield 0.0, ""
+            return
+        c, rest = token[0], token[1:]
+        options = [(c, 0.0)] if c.isalpha() else []
+        options += [(x, toxicity.SUBSTITUTE) for x in toxicity.LOOKS.get(c, "")]
+        if c == before:
+            options.append(("", toxicity.REPEAT))
+        elif not c.isalpha():
+            options.append(("", toxicity.NOISE_LOOK if c in toxicity.LOOKS else toxicity.NOISE))
+        for x, cost in options:
+            for p, word in paths(rest, c):
+                yield p + cost, x + word
+
+    def spelled(word):
+        s = [toxicity.EDGE, toxicity.EDGE, *map(toxicity.symbol, word), toxicity.EDGE]
+        return sum(m.log_p[a, b, c] for a, b, c in zip(s, s[1:], s[2:], strict=False))
+
+    rng = random.Random(4)
+    for _ in range(300):
+        token = "".join(rng.choice("idots1!0.-$77l|aa") for _ in range(rng.randrange(1, 8)))
+        best = max(p + spelled(word) for p, word in paths(token))
+        word = m.decode(token)
+        assert max(p for p, w in paths(token) if w == word) + spelled(word) == pytest.approx(best), token
