@@ -10,10 +10,11 @@ and the character model, which is the corpus model mixed with one of the lexicon
 spaced out over a line are joined first. The lexicon then sees the restored words, and a logistic
 function of the strongest hit and the number of hits gives the score. Only tokens whose skeleton
 (look-alikes merged, noise dropped, repetitions collapsed) begins like a lexicon entry can restore
-to one, so only they are decoded.
+to one, so only they are decoded; look-alikes before a token may be noise, and what stands between
+slashes, hyphens, brackets and the like is a token of its own as well.
 
 The lexicon and the logistic function are fitted on at most ``sample`` labelled rows, those with
-the smallest hashes of doc_id; the lexicon keeps the ``LEXICON`` entries of most evidence.
+the smallest hashes of doc_id; these bound the lexicon, which keeps all entries of enough evidence.
 
 Null and empty texts have no hits and score low. Labels other than 0 and 1 aren't learnt; without
 both kinds the score is the smoothed share of label 1. Repeated rows get the same score. Other
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, LEXICON = 100_000, 5_000
+SAMPLE = 100_000
 #: An entry's evidence (log-likelihood ratio against independence), log-odds and length.
 EVIDENCE, ODDS, PREFIXES = 18.0, 1.5, range(4, 9)
 #: What a character may stand for.
@@ -44,6 +45,7 @@ LETTERS, EDGE, OTHER, SIZE = 26, 26, 27, 28
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _ODD = re.compile(r"[\W\d_]|(.)\1")
+_CUTS = re.compile(r"[/\\()\[\]{}<>|+,;:\"'–—-]+")
 _SPACED = re.compile(r"(?<!\w)(?:\S[\s._*-]{1,3}){3,}\S(?!\w)")
 
 
@@ -135,9 +137,17 @@ class Model:
 
     def token_hits(self, token: str) -> list[str]:
         found = [k for w in _WORDS.findall(token) for k in self.hits(w)]
-        if not found and _ODD.search(token) and self._maybe(skeleton(token)):
-            found = self.hits(self.decode(token))
-        return found
+        if found or not _ODD.search(token):
+            return found
+        parts = [token]
+        if token[0] in LOOKS and not token[0].isdigit():
+            parts.append(token.lstrip("".join(LOOKS)))
+        if _CUTS.search(token):
+            parts += _CUTS.split(token)
+        for part in dict.fromkeys(parts):
+            if len(part) > 2 and _ODD.search(part) and self._maybe(skeleton(part)) and (found := self.hits(self.decode(part))):
+                return found
+        return []
 
     def _maybe(self, s: str) -> bool:
         return any(s[:n] in self.skeletons for n in self.lengths)
@@ -212,12 +222,19 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     rows = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y")  # ``sample`` short rows are broadcast
 
     def count(batches):
+        n: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def counted():
+            keys = list(n[0].keys() | n[1].keys())
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([n[1][k] for k in keys], pa.int64()), pa.array([n[0][k] for k in keys], pa.int64())], names=["k", "t", "c"])
+
         for b in batches:
-            n: tuple[Counter, Counter] = (Counter(), Counter())
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 n[y].update({k for w in set(_WORDS.findall((text or "").lower())) if 2 < len(w) < 32 for k in entries(w)})
-            keys = list(n[0].keys() | n[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([n[1][k] for k in keys], pa.int64()), pa.array([n[0][k] for k in keys], pa.int64())], names=["k", "t", "c"])
+            if len(n[0]) + len(n[1]) > 1 << 17:
+                yield counted()
+                n = (Counter(), Counter())
+        yield counted()
 
     table = rows.mapInArrow(count, "k string, t long, c long").groupBy("k").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t >= 3")
     base = rows.groupBy("y").count().collect()
@@ -230,7 +247,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     odds = F.log((t + 0.5) / (T + 1.0)) - F.log((c + 0.5) / (C + 1.0))
     evidence = 2 * (t * F.log(t / ((t + c) * p)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - p)))).otherwise(0.0))
     strong = table.select("k", odds.alias("w"), evidence.alias("e")).where((F.col("w") > ODDS) & (F.col("e") > EVIDENCE))
-    lexicon = {r["k"]: r["w"] for r in strong.orderBy(F.desc("e"), "k").limit(LEXICON).collect()}
+    lexicon = {r["k"]: r["w"] for r in strong.collect()}  # entries that stand in three of ``sample`` texts at least
     model = Model(lexicon, char_model(counts, sorted({k.lstrip("=") for k in lexicon})), np.zeros(4))
     broadcast = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -248,7 +265,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
 
 def with_toxicity(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """All rows and columns and the score, from the text alone. An older column of that name is replaced."""
-    broadcast = documents.sparkSession.sparkContext.broadcast(model)  # a lexicon of LEXICON entries and 28 ** 3 numbers at most
+    broadcast = documents.sparkSession.sparkContext.broadcast(model)  # the lexicon and 28 ** 3 numbers
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
