@@ -48,7 +48,7 @@ def ship(spark: SparkSession) -> None:
     """
     context = spark.sparkContext
     if spark.conf.get(BATCH) == "10000":
-        spark.conf.set(BATCH, "1000")
+        spark.conf.set(BATCH, "256")
     if context.applicationId in _SHIPPED:
         return
     _SHIPPED.add(context.applicationId)
