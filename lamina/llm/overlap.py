@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import materialise
+from lamina.llm.common import materialise, small
 
 LEAST, HOT = 12, 64
 #: (least tokens, longs): a set of at least so many tokens has a parity of so many longs.
@@ -51,7 +51,7 @@ def parity(sets: list[np.ndarray]) -> pa.ListArray:
 def possible(pairs: DataFrame, sketches: DataFrame, share: Fraction) -> DataFrame:
     """The pairs (a, b) whose parities leave it open that they are as similar: sets of n1 and n2 tokens then differ in (1 - s) / (1 + s) * (n1 + n2) at most. Parities of two lengths leave all open."""
     side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = small(materialise(pairs, "pairs")).join(side("a"), "a").join(side("b"), "b")
     apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     fits = apart * (share.denominator + share.numerator) <= (F.col("na") + F.col("nb")) * (share.denominator - share.numerator)
     return both.where((F.size("pa") != F.size("pb")) | fits).select("a", "b")
@@ -108,7 +108,7 @@ def candidates(sketches: DataFrame, groups: DataFrame, sets: Callable[[DataFrame
     need = _floor(F.col("n"), share)
     nodes = materialise(nodes.select("id", "n", F.coalesce("grp", "id").alias("grp"), (need - F.coalesce("h", F.lit(0))).alias("t")), "sizes")
 
-    cold = shared.where(F.col("m") <= HOT).join(nodes, "id")
+    cold = shared.where(F.col("m") <= HOT).join(small(nodes), "id")
     cold = cold.select("tok", "id", "n", "grp", F.greatest("t", F.lit(1)).alias("t"))
     pairs = cold.repartition("tok").sortWithinPartitions("tok").mapInArrow(lambda b: _bucket_pairs(b, float(share)), "a long, b long, t int")
     found = pairs.groupBy("a", "b", "t").agg(F.count("*").alias("k")).where("k >= t").select("a", "b")

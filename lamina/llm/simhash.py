@@ -329,7 +329,7 @@ def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8
         pairs = materialise(overlap.possible(pairs, own, share), "possible")
         wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
         s = materialise(sets(wanted), "sets")
-        two = pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        two = small(pairs).join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
         return two.where(share.denominator * shared >= share.numerator * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
