@@ -51,7 +51,9 @@ def parity(sets: list[np.ndarray]) -> pa.ListArray:
 def possible(pairs: DataFrame, sketches: DataFrame, share: Fraction) -> DataFrame:
     """The pairs (a, b) whose parities leave it open that they are as similar: sets of n1 and n2 tokens then differ in (1 - s) / (1 + s) * (n1 + n2) at most. Parities of two lengths leave all open."""
     side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
-    both = small(materialise(pairs, "pairs")).join(side("a"), "a").join(side("b"), "b")
+    pairs = materialise(pairs, "pairs")
+    ends = small(pairs.select("b").distinct())  # so that only the parities that are looked at move
+    both = small(pairs).join(side("a"), "a").join(side("b").join(ends, "b", "left_semi"), "b")
     apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     fits = apart * (share.denominator + share.numerator) <= (F.col("na") + F.col("nb")) * (share.denominator - share.numerator)
     return both.where((F.size("pa") != F.size("pb")) | fits).select("a", "b")
@@ -117,10 +119,12 @@ def candidates(sketches: DataFrame, groups: DataFrame, sets: Callable[[DataFrame
     if heavy.isEmpty():
         return found
     whole = materialise(sets(heavy.select("id")).select("id", F.explode("s").alias("tok")), "whole")
-    often = whole.groupBy("tok").agg(F.count("*").alias("m"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("m", "tok"))
+    often = whole.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1")
+    # A set's tokens that no other one has are its first ones; they need not move to be counted.
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("id"))
+    place = alone + F.row_number().over(Window.partitionBy("id").orderBy("m", "tok"))
     lost = F.floor(F.col("n") * (share.denominator - share.numerator) / F.lit(float(share.denominator)) + F.lit(1e-9)).cast("int")
-    rows = whole.join(often, "tok").select("id", "tok", "m", place.alias("at")).where("m > 1").join(heavy, "id").where(F.col("at") <= lost + 1)
+    rows = whole.join(often, "tok").join(heavy, "id").withColumn("at", place).where(F.col("at") <= lost + 1)
     rows = materialise(rows.select("id", "tok", "n", "grp", (F.col("n") - F.col("at") + 1).alias("left")), "again")
     enough = lambda left1, left2, n1, n2: F.least(left1, left2) * (share.denominator + share.numerator) >= (n1 + n2) * share.numerator
     parties = materialise(rows.groupBy("tok", "grp").agg(F.max("left").alias("left"), F.min("n").alias("n")), "parties")
