@@ -4,16 +4,21 @@ Suffixes are kept only at positions that the content selects: of every WINDOW co
 GRAM words the one with the least hash (its minimiser). GRAM + WINDOW - 1 = MIN_WORDS, so a passage
 of MIN_WORDS words or more holds at least one selected run, and all its copies select the same ones.
 Suffixes are sorted by run, text to the right and text to the left; sorted neighbours of different
-texts are compared and the match is extended right and left; of runs with more than two suffixes all
-windows of MIN_WORDS words that hold the run are grouped too. The next selected run is at most
+texts are compared and the match is extended right and left. The next selected run is at most
 WINDOW words away, so comparing WINDOW - 1 words to the left and MIN_WORDS to the right is enough:
 matches of MIN_WORDS words or more are reported, and what is longer is reported by several runs and
-merged. All comparisons are of the words themselves, with A-Z lower-cased.
+merged. All words have A-Z lower-cased.
+
+The order favours what goes on to the right, so of more than two suffixes neighbours may not be those
+that match longest. The task that compares them therefore looks for the other windows of MIN_WORDS
+words around the run, by hashes that choose whom to compare, and compares the words. Runs with more
+than HOLD suffixes in a task, or with suffixes in several tasks, have their windows grouped by all
+tasks instead, on digests of 128 bits, which also tell equal texts here. Nothing is left out.
 
 Equal texts count once: they are one text in the search, and each of them is a passage as a whole.
 Runs that only one text has never leave the first aggregation. Sorting is by ranges, so a passage
 that very many documents share is spread over tasks; the rows where two ranges meet are compared
-afterwards.
+afterwards too.
 
 A passage is a maximal range of words covered by such matches. Null texts are empty; texts of
 fewer than MIN_WORDS words have no passages. Repeated rows of one doc_id and text are copies too.
@@ -21,6 +26,7 @@ fewer than MIN_WORDS words have no passages. Repeated rows of one doc_id and tex
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import ascii_lower, materialise
+from lamina.llm.common import ascii_lower, materialise, small
 
 GRAM, MIN_WORDS = 16, 50
 WINDOW = MIN_WORDS - GRAM + 1
+HOLD = 1 << 14  # suffixes of one run that a task looks at together
 _BITS = 22  # words of a block; longer texts are taken in overlapping blocks
 
 
@@ -92,7 +99,7 @@ class _Neighbours:
         self.before: tuple | None = None  # the one before the streak
 
     def add(self, row: tuple) -> Iterator[tuple]:
-        """row: (run, text, position, left words reversed, right words). Yields (text, first word, end)."""
+        """row: (run, text, position, left words reversed, right words). Yields (text, position, first word, end)."""
         if self.streak and row[0] != self.streak[-1][0]:
             self.streak, self.before = [], None
         if self.streak and self.streak[-1][1] != row[1]:
@@ -109,7 +116,50 @@ def match(a: tuple, b: tuple) -> Iterator[tuple]:
     right, left = common(a[4], b[4]), common(a[3], b[3])
     if right >= GRAM and left + right >= MIN_WORDS:
         for x in (a, b):
-            yield x[1], x[2] - left, x[2] + right
+            yield x[1], x[2], x[2] - left, x[2] + right
+
+
+def other_windows(rows: list[tuple], known: dict[tuple, list[tuple]]) -> Iterator[tuple]:
+    """Matches among the rows of one run (as in _Neighbours.add) in windows that the known ones do not cover.
+
+    known: (text, position) to [(first word, end)].
+    """
+    n, before = len(rows), WINDOW - 1
+    start = np.arange(WINDOW)  # of a window, counted from the furthest word to the left
+    lefts = np.fromiter((len(r[3]) for r in rows), np.int64, n)[:, None]
+    rights = np.fromiter((len(r[4]) for r in rows), np.int64, n)[:, None]
+    valid = (start >= before - lefts) & (start + MIN_WORDS <= before + rights)
+    open_ = valid.copy()
+    for i, r in enumerate(rows):
+        for s, e in known.get((r[1], r[2]), ()):
+            at = start + (r[2] - before)
+            open_[i] &= (at < s) | (at + MIN_WORDS > e)
+    if not open_.any():
+        return
+    words = np.zeros((n, before + MIN_WORDS), dtype=np.int64)
+    for i, r in enumerate(rows):
+        around = r[3][::-1] + r[4]
+        words[i, before - len(r[3]) : before + len(r[4])] = np.fromiter(map(hash, around), np.int64, len(around))
+    base, whole = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, MIN_WORDS, 1 << 64))
+    prefix = np.zeros((n, before + MIN_WORDS + 1), dtype=np.uint64)
+    for j in range(before + MIN_WORDS):
+        prefix[:, j + 1] = prefix[:, j] * base + words.view(np.uint64)[:, j]
+    hashes = prefix[:, MIN_WORDS:] - prefix[:, :WINDOW] * whole + start.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    codes: dict[bytes, int] = {}
+    text = np.fromiter((codes.setdefault(r[1], len(codes)) for r in rows), np.int64, n)
+    row, col = np.nonzero(valid)
+    key = hashes[row, col]
+    order = np.lexsort((text[row], key))
+    row, col, key = row[order], col[order], key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(key)) - 1
+    own = np.cumsum(new) - 1
+    low, high = row[first[own]], row[last[own]]  # rows of the class whose texts differ most
+    partner = np.where(text[row] != text[low], low, high)
+    pick = open_[row, col] & (text[row] != text[partner])
+    for i, k in np.unique(np.stack([row[pick], partner[pick]], axis=1), axis=0).tolist():
+        yield from match(rows[i], rows[k])
 
 
 def repeated_passages(documents: DataFrame) -> DataFrame:
@@ -130,9 +180,12 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     wanted = seeds.join(twice, "h").groupBy("t").agg(F.collect_list("p").alias("p"))
 
     own = materialise(rows.select("doc_id", "t"), "texts")
-    groups = materialise(own.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "equal")
-    wanted = materialise(wanted.join(groups.select("t", "doc_id"), "t"), "wanted")
-    sources = rows.join(wanted, ["t", "doc_id"]).select("t", "p", "text")
+    each = own.groupBy("t", "doc_id").agg(F.count("*").alias("k"))
+    groups = materialise(each.groupBy("t").agg(F.min(F.struct("doc_id", "k")).alias("one"), F.sum("k").alias("n")).select("t", "one.*", "n"), "equal")
+    wanted = materialise(wanted.join(groups.select("t", "doc_id", "k"), "t"), "wanted")
+    sources = rows.join(wanted, [rows.t == wanted.t, rows.doc_id.eqNullSafe(wanted.doc_id)]).select(rows.t, "p", "text")
+    if not wanted.where("k > 1").isEmpty():  # rows that repeat a doc_id and its text
+        sources = sources.dropDuplicates(["t"])
 
     def contexts(batches):
         for b in batches:
@@ -152,26 +205,42 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
                     names=["h", "t", "p", "l", "r"],
                 )
 
-    suffixes = materialise(sources.mapInArrow(contexts, "h long, t binary, p long, l binary, r binary").dropDuplicates(["t", "p"]), "suffixes")
+    suffixes = materialise(sources.mapInArrow(contexts, "h long, t binary, p long, l binary, r binary"), "suffixes")
     order = ["h", "r", "l", "t", "p"]
 
     def compare(batches):
-        here, last = _Neighbours(), None
+        here, run, last = _Neighbours(), [], None
+        known: dict[tuple, list[tuple]] = {}
         part = TaskContext.get().partitionId()
         none = (None,) * 5
         out: list[tuple] = []
         for b in batches:
             for raw in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                h, t, p, left, right = raw
                 if last is None:
                     out.append((part, 0, *raw, None, None))
+                elif h != last[0]:
+                    if 2 < len(run) <= HOLD:
+                        out += [_span(part, m) for m in other_windows(run, known)]
+                    run, known = [], {}
                 last = raw
-                h, t, p, left, right = raw
-                out += [(part, 2, None, x, None, None, None, s, e) for x, s, e in here.add((h, t, p, left.split(), right.split()))]
+                row = (h, t, p, left.split(), right.split())
+                for m in here.add(row):
+                    out.append(_span(part, m))
+                    if len(run) <= HOLD:
+                        known.setdefault(m[:2], []).append(m[2:])
+                if len(run) < HOLD:
+                    run.append(row)
+                elif len(run) == HOLD:
+                    out.append((part, 3, h, *none[1:], None, None))
+                    run, known = [None] * (HOLD + 1), {}
             if len(out) > 1 << 14:
                 yield _rows(out)
                 out = []
         if last is not None:
-            out.append((part, 1, *last, *none[:2]))
+            if 2 < len(run) <= HOLD:
+                out += [_span(part, m) for m in other_windows(run, known)]
+            out.append((part, 1, *last, None, None))
         if out:
             yield _rows(out)
 
@@ -181,27 +250,25 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
 
     # Where one range ends and the next begins: two rows for each task of the comparison.
     w = Window.partitionBy(F.lit(0)).orderBy("part", "kind")
-    edges = found.where("kind < 2").select("h", "t", "p", "l", "r", "kind", *[F.lag(c).over(w).alias(f"{c}0") for c in ("h", "t", "p", "l", "r")])
+    ends = found.where("kind < 2")
+    edges = ends.select("h", "t", "p", "l", "r", "kind", *[F.lag(c).over(w).alias(f"{c}0") for c in ("h", "t", "p", "l", "r")])
     edges = edges.where("kind = 0 AND h = h0 AND t <> t0")
 
     def meet(batches):
         for b in batches:
             out = []
             for h, t, p, left, right, t0, p0, l0, r0 in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
-                out += [(0, 2, None, x, None, None, None, s, e) for x, s, e in match((h, t, p, left.split(), right.split()), (h, t0, p0, l0.split(), r0.split()))]
+                out += [_span(0, m) for m in match((h, t, p, left.split(), right.split()), (h, t0, p0, l0.split(), r0.split()))]
             if out:
                 yield _rows(out)
 
     more = edges.select("h", "t", "p", "l", "r", "t0", "p0", "l0", "r0").mapInArrow(meet, schema)
-    # The order favours what goes on to the right, so of more than two suffixes neighbours may not be those that match longest: their windows are grouped.
-    many = materialise(suffixes.groupBy("h").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1")).where("n > 2 AND t0 <> t1").select("h"), "many")
-    crowd = materialise(suffixes.join(many, "h").select("t", "p", "l", "r"), "crowd")
-    hashed = crowd.mapInArrow(_window_hashes, "t binary, p long, a int, w long")
-    shared = materialise(hashed.groupBy("w").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 <> t1").select("w"), "windows")
-    starts = hashed.join(shared, "w").groupBy("t", "p").agg(F.collect_list("a").alias("a"))
-    equal = materialise(crowd.join(starts, ["t", "p"]).mapInArrow(_windows, "t binary, s long, w binary"), "candidates")
-    sure = materialise(equal.groupBy("w").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 <> t1").select("w"), "sure")
-    covered = equal.join(sure, "w").select("t", "s", (F.col("s") + MIN_WORDS).alias("e"))
+    # Runs of several tasks, of which there is less than one a task, and those of more than HOLD suffixes.
+    spread = ends.groupBy("h").agg(F.countDistinct("part").alias("n")).where("n > 1").select("h")
+    crowd = suffixes.join(small(spread.unionAll(found.where("kind = 3").select("h")).distinct()), "h")
+    windows = materialise(crowd.select("t", "p", "l", "r").mapInArrow(_windows, "t binary, s long, w binary"), "windows")
+    shared = materialise(windows.groupBy("w").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 <> t1").select("w"), "shared")
+    covered = windows.join(small(shared), "w").select("t", "s", (F.col("s") + MIN_WORDS).alias("e"))
     spans = found.where("kind = 2").unionAll(more).select("t", "s", "e").unionAll(covered).distinct()
     # A text that several rows have is a passage as a whole.
     whole = groups.where("n > 1").select("t").join(seeds.where("h IS NULL"), "t").select("t", F.lit(0).cast("long").alias("s"), F.col("p").alias("e"))
@@ -213,32 +280,21 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     return own.join(merged, "t").select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
 
 
-def _around(left: bytes, right: bytes) -> tuple[list[bytes], int]:
-    """The words around a suffix and how many of them are before it."""
-    before = left.split()
-    return before[::-1] + right.split(), len(before)
-
-
-def _window_hashes(batches):
-    """A hash of each window of MIN_WORDS words that holds the suffix's run; ``a`` words of it are before the run."""
+def _windows(batches):
+    """The first word and a digest of each window of MIN_WORDS words that holds the suffix's run."""
     for b in batches:
         out = []
         for t, p, left, right in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            w, n = _around(left, right)
-            out += [(t, p, a, xxhash.xxh64_intdigest(b" ".join(w[n - a : n - a + MIN_WORDS])) - (1 << 63)) for a in range(max(0, n + MIN_WORDS - len(w)), n + 1)]
+            before = left.split()
+            w, n = before[::-1] + right.split(), len(before)
+            out += [(t, p - n + i, hashlib.blake2b(b" ".join(w[i : i + MIN_WORDS]), digest_size=16).digest()) for i in range(min(n, len(w) - MIN_WORDS) + 1)]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["t", "p", "a", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["t", "s", "w"])
 
 
-def _windows(batches):
-    """The words of the windows that begin ``a`` words before the run."""
-    for b in batches:
-        out = []
-        for t, p, left, right, starts in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("t", "p", "l", "r", "a")), strict=True):
-            w, n = _around(left, right)
-            out += [(t, p - a, b" ".join(w[n - a : n - a + MIN_WORDS])) for a in set(starts)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["t", "s", "w"])
+def _span(part: int, found: tuple) -> tuple:
+    text, _, start, end = found
+    return part, 2, None, text, None, None, None, start, end
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lamina.llm import pieces
+from lamina.llm import pieces, suffixes
 from lamina.llm.common import read
 from lamina.llm.suffixes import MIN_WORDS, minimisers, repeated_passages, words_of
 
@@ -61,6 +61,24 @@ def test_passages_that_end_in_a_frequent_line(spark):
     assert covered(repeated_passages(spark.createDataFrame(rows, DDL).repartition(3))) == brute(rows)
 
 
+def test_passages_of_more_than_two_texts(spark, monkeypatch):
+    """Between two texts that share 54 words may stand a third that shares 30: the pair must be found, by a task or by all."""
+    rng = random.Random(3)
+    text = lambda n: ["w" + str(rng.randrange(10**6)) for _ in range(n)]
+    rows = []
+    for _ in range(80):
+        shared = text(54)
+        a, c = text(20) + shared + text(20), text(20) + shared + text(20)
+        rows += [a, text(30) + shared[12:42] + text(30), c, text(9) + shared[20:] + a[74:90]]
+    rows += [text(5) + ["again"] * 90 + text(n) for n in range(20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)] + [(3, " ".join(rows[3])), (None, " ".join(rows[0]))]
+    expected = brute(rows)
+    frame = spark.createDataFrame(rows, DDL).repartition(3)
+    assert covered(repeated_passages(frame)) == expected
+    monkeypatch.setattr(suffixes, "HOLD", 2)
+    assert covered(repeated_passages(frame)) == expected
+
+
 def test_passages_of_empty_table(spark):
     assert repeated_passages(spark.createDataFrame([], DDL)).count() == 0
 
