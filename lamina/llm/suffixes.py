@@ -12,8 +12,9 @@ merged. All words have A-Z lower-cased.
 The order favours what goes on to the right, so of more than two suffixes neighbours may not be those
 that match longest. The task that compares them therefore looks for the other windows of MIN_WORDS
 words around the run, by hashes that choose whom to compare, and compares the words. Runs with more
-than HOLD suffixes in a task, or with suffixes in several tasks, have their windows grouped by all
-tasks instead, on digests of 128 bits, which also tell equal texts here. Nothing is left out.
+than HOLD suffixes in a task, or with suffixes in several tasks, also have their windows grouped by all
+tasks, on digests of 128 bits, which also tell equal texts here; those that no match covers yet are
+looked up. Nothing is left out.
 
 Equal texts count once: they are one text in the search, and each of them is a passage as a whole.
 Runs that only one text has never leave the first aggregation. Sorting is by ranges, so a passage
@@ -221,12 +222,12 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
                     out.append((part, 0, *raw, None, None))
                 elif h != last[0]:
                     if 2 < len(run) <= HOLD:
-                        out += [_span(part, m) for m in other_windows(run, known)]
+                        out += [_span(part, last[0], m) for m in other_windows(run, known)]
                     run, known = [], {}
                 last = raw
                 row = (h, t, p, left.split(), right.split())
                 for m in here.add(row):
-                    out.append(_span(part, m))
+                    out.append(_span(part, h, m))
                     if len(run) <= HOLD:
                         known.setdefault(m[:2], []).append(m[2:])
                 if len(run) < HOLD:
@@ -239,7 +240,7 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
                 out = []
         if last is not None:
             if 2 < len(run) <= HOLD:
-                out += [_span(part, m) for m in other_windows(run, known)]
+                out += [_span(part, last[0], m) for m in other_windows(run, known)]
             out.append((part, 1, *last, None, None))
         if out:
             yield _rows(out)
@@ -258,17 +259,21 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for h, t, p, left, right, t0, p0, l0, r0 in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
-                out += [_span(0, m) for m in match((h, t, p, left.split(), right.split()), (h, t0, p0, l0.split(), r0.split()))]
+                out += [_span(0, h, m) for m in match((h, t, p, left.split(), right.split()), (h, t0, p0, l0.split(), r0.split()))]
             if out:
                 yield _rows(out)
 
     more = edges.select("h", "t", "p", "l", "r", "t0", "p0", "l0", "r0").mapInArrow(meet, schema)
     # Runs of several tasks, of which there is less than one a task, and those of more than HOLD suffixes.
     spread = ends.groupBy("h").agg(F.countDistinct("part").alias("n")).where("n > 1").select("h")
-    crowd = suffixes.join(small(spread.unionAll(found.where("kind = 3").select("h")).distinct()), "h")
-    windows = materialise(crowd.select("t", "p", "l", "r").mapInArrow(_windows, "t binary, s long, w binary"), "windows")
-    shared = materialise(windows.groupBy("w").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 <> t1").select("w"), "shared")
-    covered = windows.join(small(shared), "w").select("t", "s", (F.col("s") + MIN_WORDS).alias("e"))
+    spread = materialise(spread.unionAll(found.where("kind = 3").select("h")).distinct(), "spread")
+    # Every window is known to all, but only those that no match covers yet are looked up.
+    proven = found.where("kind = 2").join(small(spread), "h").groupBy("t", "p").agg(F.collect_set(F.struct("s", "e")).alias("k"))
+    crowd = suffixes.join(small(spread), "h").join(proven, ["t", "p"], "left").select("t", "p", "l", "r", "k")
+    windows = materialise(crowd.mapInArrow(_windows, "t binary, s long, w binary, open boolean"), "windows")
+    shared = windows.groupBy("w").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("open").alias("open"))
+    shared = materialise(shared.where("t0 <> t1 AND open").select("w"), "shared")
+    covered = windows.where("open").join(small(shared), "w").select("t", "s", (F.col("s") + MIN_WORDS).alias("e"))
     spans = found.where("kind = 2").unionAll(more).select("t", "s", "e").unionAll(covered).distinct()
     # A text that several rows have is a passage as a whole.
     whole = groups.where("n > 1").select("t").join(seeds.where("h IS NULL"), "t").select("t", F.lit(0).cast("long").alias("s"), F.col("p").alias("e"))
@@ -281,20 +286,23 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
 
 
 def _windows(batches):
-    """The first word and a digest of each window of MIN_WORDS words that holds the suffix's run."""
+    """The first word and a digest of each window of MIN_WORDS words that holds the suffix's run, and whether no match covers it."""
     for b in batches:
         out = []
-        for t, p, left, right in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+        for t, p, left, right, known in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
             before = left.split()
             w, n = before[::-1] + right.split(), len(before)
-            out += [(t, p - n + i, hashlib.blake2b(b" ".join(w[i : i + MIN_WORDS]), digest_size=16).digest()) for i in range(min(n, len(w) - MIN_WORDS) + 1)]
+            for i in range(min(n, len(w) - MIN_WORDS) + 1):
+                s = p - n + i
+                covered = any(k["s"] <= s and s + MIN_WORDS <= k["e"] for k in known or ())
+                out.append((t, s, hashlib.blake2b(b" ".join(w[i : i + MIN_WORDS]), digest_size=16).digest(), not covered))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["t", "s", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.binary(), pa.bool_()), strict=True)], names=["t", "s", "w", "open"])
 
 
-def _span(part: int, found: tuple) -> tuple:
-    text, _, start, end = found
-    return part, 2, None, text, None, None, None, start, end
+def _span(part: int, run: int, found: tuple) -> tuple:
+    text, at, start, end = found
+    return part, 2, run, text, at, None, None, start, end
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
