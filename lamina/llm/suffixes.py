@@ -12,9 +12,9 @@ merged. All words have A-Z lower-cased.
 The order favours what goes on to the right, so of more than two suffixes neighbours may not be those
 that match longest. The task that compares them therefore looks for the other windows of MIN_WORDS
 words around the run, by hashes that choose whom to compare, and compares the words. Runs with more
-than HOLD suffixes in a task, or with suffixes in several tasks, also have their windows grouped by all
-tasks, on digests of 128 bits, which also tell equal texts here; those that no match covers yet are
-looked up. Nothing is left out.
+than HOLD suffixes, or with suffixes in several tasks, are looked at in parts; then all their windows are
+grouped on digests of 128 bits, which also tell equal texts here, and those that no match covers yet
+are looked up. Nothing is left out.
 
 Equal texts count once: they are one text in the search, and each of them is a passage as a whole.
 Runs that only one text has never leave the first aggregation. Sorting is by ranges, so a passage
@@ -210,38 +210,12 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     order = ["h", "r", "l", "t", "p"]
 
     def compare(batches):
-        here, run, last = _Neighbours(), [], None
-        known: dict[tuple, list[tuple]] = {}
-        part = TaskContext.get().partitionId()
-        none = (None,) * 5
         out: list[tuple] = []
-        for b in batches:
-            for raw in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                h, t, p, left, right = raw
-                if last is None:
-                    out.append((part, 0, *raw, None, None))
-                elif h != last[0]:
-                    if 2 < len(run) <= HOLD:
-                        out += [_span(part, last[0], m) for m in other_windows(run, known)]
-                    run, known = [], {}
-                last = raw
-                row = (h, t, p, left.split(), right.split())
-                for m in here.add(row):
-                    out.append(_span(part, h, m))
-                    if len(run) <= HOLD:
-                        known.setdefault(m[:2], []).append(m[2:])
-                if len(run) < HOLD:
-                    run.append(row)
-                elif len(run) == HOLD:
-                    out.append((part, 3, h, *none[1:], None, None))
-                    run, known = [None] * (HOLD + 1), {}
-            if len(out) > 1 << 14:
+        for row in _compared(batches, TaskContext.get().partitionId(), HOLD):
+            out.append(row)
+            if len(out) == 1 << 14:
                 yield _rows(out)
                 out = []
-        if last is not None:
-            if 2 < len(run) <= HOLD:
-                out += [_span(part, last[0], m) for m in other_windows(run, known)]
-            out.append((part, 1, *last, None, None))
         if out:
             yield _rows(out)
 
@@ -251,29 +225,23 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
 
     # Where one range ends and the next begins: two rows for each task of the comparison.
     w = Window.partitionBy(F.lit(0)).orderBy("part", "kind")
-    ends = found.where("kind < 2")
-    edges = ends.select("h", "t", "p", "l", "r", "kind", *[F.lag(c).over(w).alias(f"{c}0") for c in ("h", "t", "p", "l", "r")])
+    edges = found.where("kind < 2").select("h", "t", "p", "l", "r", "kind", *[F.lag(c).over(w).alias(f"{c}0") for c in ("h", "t", "p", "l", "r")])
     edges = edges.where("kind = 0 AND h = h0 AND t <> t0")
 
     def meet(batches):
         for b in batches:
             out = []
             for h, t, p, left, right, t0, p0, l0, r0 in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
-                out += [_span(0, h, m) for m in match((h, t, p, left.split(), right.split()), (h, t0, p0, l0.split(), r0.split()))]
+                out += [_span(0, m) for m in match((h, t, p, left.split(), right.split()), (h, t0, p0, l0.split(), r0.split()))]
             if out:
                 yield _rows(out)
 
     more = edges.select("h", "t", "p", "l", "r", "t0", "p0", "l0", "r0").mapInArrow(meet, schema)
-    # Runs of several tasks, of which there is less than one a task, and those of more than HOLD suffixes.
-    spread = ends.groupBy("h").agg(F.countDistinct("part").alias("n")).where("n > 1").select("h")
-    spread = materialise(spread.unionAll(found.where("kind = 3").select("h")).distinct(), "spread")
-    # Every window is known to all, but only those that no match covers yet are looked up.
-    proven = found.where("kind = 2").join(small(spread), "h").groupBy("t", "p").agg(F.collect_set(F.struct("s", "e")).alias("k"))
-    crowd = suffixes.join(small(spread), "h").join(proven, ["t", "p"], "left").select("t", "p", "l", "r", "k")
-    windows = materialise(crowd.mapInArrow(_windows, "t binary, s long, w binary, open boolean"), "windows")
-    shared = windows.groupBy("w").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("open").alias("open"))
-    shared = materialise(shared.where("t0 <> t1 AND open").select("w"), "shared")
-    covered = windows.where("open").join(small(shared), "w").select("t", "s", (F.col("s") + MIN_WORDS).alias("e"))
+    # Of runs that no task has seen as a whole every window is known here, but only those that no match covers yet are looked up.
+    windows = found.where("kind = 3")
+    shared = windows.groupBy("r").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("p").alias("open"))
+    shared = materialise(shared.where("t0 <> t1 AND open = 1").select("r"), "shared")
+    covered = windows.where("p = 1").join(small(shared), "r").select("t", "s", "e")
     spans = found.where("kind = 2").unionAll(more).select("t", "s", "e").unionAll(covered).distinct()
     # A text that several rows have is a passage as a whole.
     whole = groups.where("n > 1").select("t").join(seeds.where("h IS NULL"), "t").select("t", F.lit(0).cast("long").alias("s"), F.col("p").alias("e"))
@@ -285,24 +253,52 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     return own.join(merged, "t").select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
 
 
-def _windows(batches):
-    """The first word and a digest of each window of MIN_WORDS words that holds the suffix's run, and whether no match covers it."""
-    for b in batches:
-        out = []
-        for t, p, left, right, known in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            before = left.split()
-            w, n = before[::-1] + right.split(), len(before)
-            for i in range(min(n, len(w) - MIN_WORDS) + 1):
-                s = p - n + i
-                covered = any(k["s"] <= s and s + MIN_WORDS <= k["e"] for k in known or ())
-                out.append((t, s, hashlib.blake2b(b" ".join(w[i : i + MIN_WORDS]), digest_size=16).digest(), not covered))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.binary(), pa.bool_()), strict=True)], names=["t", "s", "w", "open"])
+def _compared(batches, part: int, hold: int) -> Iterator[tuple]:
+    """Rows of the schema above for a task's suffixes. kind 0: the first suffix, 1: the last, 2: a match (t, s, e), 3: a window.
 
+    Windows (r: digest, p: 1 if no match covers it) are those of runs that this task may not have as a whole.
+    """
+    here, last, whole = _Neighbours(), None, False
+    run: list[tuple] = []
+    known: dict[tuple, list[tuple]] = {}
+
+    def finish():
+        if len(run) > 2:
+            for m in list(other_windows(run, known)):
+                known.setdefault(m[:2], []).append(m[2:])
+                yield _span(part, m)
+        if not whole:
+            for _, t, p, before, after in run:
+                w, n = before[::-1] + after, len(before)
+                for i in range(min(n, len(w) - MIN_WORDS) + 1):
+                    s = p - n + i
+                    covered = any(x <= s and s + MIN_WORDS <= y for x, y in known.get((t, p), ()))
+                    yield part, 3, None, t, int(not covered), None, hashlib.blake2b(b" ".join(w[i : i + MIN_WORDS]), digest_size=16).digest(), s, s + MIN_WORDS
 
-def _span(part: int, run: int, found: tuple) -> tuple:
+    for b in batches:
+        for raw in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            h, t, p, left, right = raw
+            if last is None:
+                yield part, 0, *raw, None, None
+            elif h != last[0] or len(run) == hold:
+                whole = whole and len(run) < hold
+                yield from finish()
+                run, known, whole = [], {}, h != last[0]
+            last = raw
+            row = (h, t, p, left.split(), right.split())
+            for m in here.add(row):
+                known.setdefault(m[:2], []).append(m[2:])
+                yield _span(part, m)
+            run.append(row)
+    if last is not None:
+        whole = False
+        yield from finish()
+        yield part, 1, *last, None, None
+
+
+def _span(part: int, found: tuple) -> tuple:
     text, at, start, end = found
-    return part, 2, run, text, at, None, None, start, end
+    return part, 2, None, text, at, None, None, start, end
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
