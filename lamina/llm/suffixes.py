@@ -75,12 +75,15 @@ def minimisers(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         least = np.minimum(least[:-by], least[by:])
         reach += by
     at = np.unique((least & low).astype(np.int64))
-    # In a stretch of equal runs (one word over and over) every position would be selected: each GRAM-th from either end will do.
-    new = np.concatenate(([True], (h[at[1:]] != h[at[:-1]]) | (at[1:] != at[:-1] + 1)))
+    # In a stretch of equal runs (one word over and over) every position would be selected: each GRAM-th from either end of the
+    # whole stretch will do, as a window that holds an end of it holds the same positions in every text.
+    new = np.concatenate(([True], h[1:] != h[:-1]))
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    stretch, own = np.cumsum(new) - 1, np.arange(len(at))
-    at = at[((own - first[stretch]) % GRAM == 0) | ((last[stretch] - own) % GRAM == 0)]
+    last = np.append(first[1:], m) - 1
+    stretch, own = np.cumsum(new) - 1, np.arange(m)
+    hit = np.zeros(len(first), dtype=bool)
+    hit[stretch[at]] = True
+    at = np.flatnonzero(hit[stretch] & (((own - first[stretch]) % GRAM == 0) | ((last[stretch] - own) % GRAM == 0)))
     return at, h[at].view(np.int64)
 
 
