@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from lamina.llm import langid, pieces, toxicity
 from lamina.llm.chat import digests, format_chats
+from lamina.llm.collocations import collocations
 from lamina.llm.common import WORD, read
 from lamina.llm.decontam import contaminated
 from lamina.llm.exact import exact_duplicates
+from lamina.llm.lines import without_shared_lines
+from lamina.llm.prefixes import conversation_trie
 from lamina.llm.quality import held_out, train, with_quality
 from lamina.llm.sharding import shard_documents
 from lamina.llm.simhash import near_duplicates
@@ -69,6 +72,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(read(spark, sf_dir, "conversations"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_shared_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -81,6 +97,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_sharding": op9_sharding,
         "op10_toxicity": op10_toxicity,
+        "op11_phrase_collocations": op11_phrase_collocations,
+        "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
+        "op13_line_dedup": op13_line_dedup,
     }
 
 
@@ -115,4 +134,40 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
             FROM t WINDOW w AS (PARTITION BY t)""",
+        "op11_phrase_collocations": rf"""
+            WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, 'und') AS lang, regexp_split_to_array({NORMAL}, '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+            p AS (SELECT i, lang, unnest(pieces) AS piece FROM d),
+            w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+            n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+            g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) v(k)),
+            f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+            c AS (SELECT lang, k, phrase, f AS a, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+            s AS (SELECT c.lang, c.k, c.phrase, c.a, c.cut, l.f AS l, r.f AS r, ((1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+                  FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[:cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[cut + 1:], ' ')),
+            b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+            t AS (SELECT lang, f AS longer, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS phrase FROM f WHERE k = 3),
+            o AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.lang = b.lang AND t.phrase = b.phrase AND 100 * t.longer >= 50 * b.a)),
+            x AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM o)
+            SELECT x.lang, rank, phrase, a, l, r, n.n, score FROM x JOIN n USING (lang) WHERE rank <= 2000""",
+        "op12_conversation_prefix_trie": """
+            WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x FROM conversations WHERE conv_id IS NOT NULL),
+            own AS (SELECT conv_id, list(x ORDER BY i) AS p FROM t GROUP BY conv_id),
+            h AS (SELECT conv_id AS c, p, (xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: list_prepend(ascii(s)::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+                      lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384::BIGINT * (a & 1)) END), 4294967295::BIGINT) % 9)::INT AS h FROM own),
+            r AS (SELECT c, list_concat(coalesce(d.p[:h], []), h.p[h + 1:]) AS p FROM h LEFT JOIN own d ON d.conv_id = c - c % 5),
+            m AS (SELECT c, len(p) AS len, unnest(range(0, len(p) + 1)) AS d, p FROM r),
+            node AS (SELECT d AS depth, p[:d] AS path, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len = d), '') AS ends, coalesce(strlen(any_value(p[d].t)), 0) AS bytes FROM m GROUP BY d, p[:d]),
+            kids AS (SELECT depth - 1 AS depth, path[:depth - 1] AS path, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+            full_ AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM node n LEFT JOIN kids k ON k.depth = n.depth AND k.path = n.path),
+            below AS (SELECT a.depth, a.path, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.bytes)::BIGINT AS saved_tokens FROM full_ a JOIN full_ b ON b.depth >= a.depth AND b.path[:a.depth] = a.path GROUP BY a.depth, a.path)
+            SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, b.n_leaves, b.saved_tokens, sha256(f.ends) AS ends_sha256
+            FROM full_ f JOIN below b ON b.depth = f.depth AND b.path = f.path LEFT JOIN full_ u ON u.depth = f.depth - 1 AND u.path = f.path[:f.depth - 1]""",
+        "op13_line_dedup": r"""
+            WITH d AS (SELECT row_number() OVER () AS i, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+            l AS (SELECT i, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM d),
+            k AS (SELECT *, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+            s AS (SELECT key, min(doc_id) AS keeper FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+            m AS (SELECT k.*, s.keeper IS NOT NULL AND k.doc_id <> s.keeper AS gone FROM k LEFT JOIN s USING (key))
+            SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+            FROM m GROUP BY i""",
     }
