@@ -41,14 +41,17 @@ def mate(word: Column, i: Column) -> Column:
     return F.when(letter(word, i) == "(", right).when(letter(word, i) == ")", left)
 
 
-def room(m: Column, k: Column, up: bool) -> Column:
-    """How many arcs may be open on a side after k of m bridges: each later bridge closes one at most, the east end one more on its side."""
-    return F.when(k <= m, m - k + ((m % 2 == 1) == F.lit(up)).cast("int")).otherwise(0)
+def unclosable(length: Column, h: Column, m: Column, k: Column) -> Column:
+    """How many of a state's open arcs must stay open after k of m bridges. What is left, bridges and the east end, are m + 1 - k points with
+    an arc on either side, but for the east end, which has it above if m is odd and else below; the arc of the curve's start, below, is not to be closed."""
+    left, odd = m + 1 - k, m % 2
+    over = lambda arcs, points: F.greatest(arcs - F.greatest(points, F.lit(0)), F.lit(0))
+    return over(h, left - 1 + odd) + over(length - h - 1, left - odd)
 
 
 def can_finish(length: Column, h: Column, m: Column, k: Column) -> Column:
-    """Whether a state with so many letters after k points can still reach the end, where the arc of the curve's start stays open below."""
-    return (h <= room(m, k, True)) & (length - h <= room(m, k, False) + 1)
+    """Whether a state with so many letters after k points can still reach the end."""
+    return unclosable(length, h, m, k) == 0
 
 
 def _state(word: Column, h: Column) -> Column:

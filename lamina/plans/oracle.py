@@ -23,31 +23,36 @@ _STATES = """
     lett AS (SELECT *, CASE WHEN place = min(place) OVER (PARTITION BY l_orderkey, cut, g) THEN '(' ELSE ')' END AS c FROM seen),
     stat AS (SELECT ks.l_orderkey, ks.n, ks.cut AS k, coalesce(string_agg(c, '' ORDER BY place), '') AS word, coalesce(sum(up), 0)::INT AS h FROM ks LEFT JOIN lett USING (l_orderkey, cut) GROUP BY ks.l_orderkey, ks.n, ks.cut),
     layer AS (SELECT n, k, word, h, count(*) AS orders FROM stat GROUP BY ALL)"""
-_MATCH = """(CASE WHEN w[{i} + 1] = '(' THEN list_min(list_filter(range({i} + 1, len(w)), lambda j: len(replace(w[{i} + 1:j + 1], '(', '')) - len(replace(w[{i} + 1:j + 1], ')', '')) = 0))
-             ELSE list_max(list_filter(range(0, {i}), lambda j: len(replace(w[j + 1:{i} + 1], '(', '')) - len(replace(w[j + 1:{i} + 1], ')', '')) = 0)) END)"""
+# The piece that each letter of w ends: brackets of one depth, in order, are its two ends by twos; E has a piece to itself.
+_DEPTH = "(len(replace(w[:{i}], ')', '')) - len(replace(w[:{i}], '(', '')) - (w[{i}] = '(')::INT)"
+_PIECES = f"""list_transform(range(1, len(w) + 1), lambda i: CASE WHEN w[i] = 'E' THEN -1 ELSE 1000 * {_DEPTH.format(i="i")}
+              + len(list_filter(range(1, i + 1), lambda j: w[j] = '(' AND {_DEPTH.format(i="j")} = {_DEPTH.format(i="i")})) END)"""
+#: What a point does above and below: opens an arc there (1), closes the one at the cut (0), or has none (null), as the east end has on one side.
+_DEEDS = "(VALUES (false, 1, 1), (false, 1, 0), (false, 0, 1), (false, 0, 0), (true, 1, 1), (true, 0, 0)) AS deed(last, up, dn)"
 
 
 def _moves(rows: str) -> str:
-    """Bridge moves and the east end of rows (id..., n, x, w, h, cnt): rows with nw, nh."""
-    i, j = _MATCH.format(i="(h - 1)"), _MATCH.format(i="h")
-    put = lambda at, c: f"(w[:{at}] || '{c}' || w[{at} + 2:])"
-    cut = lambda v: f"({v}[:h - 1] || {v}[h + 2:])"
-    a, b = "w[h]", "w[h + 1]"
-    e = "(h - n % 2)"
+    """All moves of point x from rows (n, x, w, h, ...): the rows with up, dn, nw, nh.
+
+    One rule for all points: the letters that stay are listed by their pieces, the point's piece
+    being 0; pieces whose ends the point takes become piece 0 as well. A piece with two ends in the
+    list is a pair of brackets, one with a single end leads east. A point that takes both ends of
+    one piece, or the single end of one when it is the last, would close the curve.
+    """
+    letter = "CASE WHEN len(list_filter(ends, lambda e: e = ends[i])) = 1 THEN 'E' WHEN list_position(ends, ends[i]) = i THEN '(' ELSE ')' END"
     return f"""
-        SELECT *, w[:h] || '()' || w[h + 1:] AS nw, h + 1 AS nh FROM {rows} WHERE x < n
-        UNION ALL SELECT *, w, h + 1 FROM {rows} WHERE x < n AND len(w) > h
-        UNION ALL SELECT *, w, h - 1 FROM {rows} WHERE x < n AND h > 0
-        UNION ALL SELECT *, CASE WHEN {a} = 'E' THEN {cut(put(j, 'E'))} WHEN {b} = 'E' THEN {cut(put(i, 'E'))} WHEN {a} = '(' THEN {cut(put(j, '('))}
-                                 WHEN {b} = ')' THEN {cut(put(i, ')'))} ELSE {cut('w')} END, h - 1
-            FROM {rows} WHERE x < n AND h > 0 AND len(w) > h AND NOT ({a} = '(' AND {b} = ')')
-        UNION ALL SELECT *, w[:h] || 'E' || w[h + 1:], h + n % 2 FROM {rows} WHERE x = n
-        UNION ALL SELECT *, CASE WHEN {e} < {_MATCH.format(i=e)} THEN w[:{e}] || w[{e} + 2:{_MATCH.format(i=e)}] || 'E' || w[{_MATCH.format(i=e)} + 2:]
-                                 ELSE w[:{_MATCH.format(i=e)}] || 'E' || w[{_MATCH.format(i=e)} + 2:{e}] || w[{e} + 2:] END, h - n % 2
-            FROM {rows} WHERE x = n AND (CASE WHEN n % 2 = 1 THEN h > 0 ELSE len(w) > h END) AND w[{e} + 1] <> 'E'"""
+        SELECT * EXCLUDE (q, last, above, below, taken, ends), array_to_string(list_transform(range(1, len(ends) + 1), lambda i: {letter}), '') AS nw, len(above) AS nh FROM (
+        SELECT *, list_transform(list_concat(above, below), lambda e: CASE WHEN list_contains(taken, e) THEN 0 ELSE e END) AS ends FROM (
+        SELECT *, CASE up WHEN 1 THEN list_append(q[:h], 0) WHEN 0 THEN q[:h - 1] ELSE q[:h] END AS above,
+                  CASE dn WHEN 1 THEN list_prepend(0, q[h + 1:]) WHEN 0 THEN q[h + 2:] ELSE q[h + 1:] END AS below,
+                  list_concat(CASE WHEN up = 0 THEN q[h:h] ELSE [] END, CASE WHEN dn = 0 THEN q[h + 1:h + 1] ELSE [] END) AS taken FROM (
+        SELECT r.* EXCLUDE (q), q, deed.last, CASE WHEN deed.last AND n % 2 = 0 THEN NULL ELSE deed.up END AS up, CASE WHEN deed.last AND n % 2 = 1 THEN NULL ELSE deed.dn END AS dn
+            FROM (SELECT *, {_PIECES} AS q FROM {rows}) r JOIN {_DEEDS} ON deed.last = (x = n)))
+        WHERE len(taken) = coalesce((up = 0)::INT, 0) + coalesce((dn = 0)::INT, 0) AND len(list_distinct(taken)) = len(taken) AND NOT (last AND list_contains(taken, -1)))"""
 
 
-_VIABLE = "nh <= (CASE WHEN x + 1 <= n THEN n - x - 1 + (n % 2) ELSE 0 END) AND len(nw) - nh <= (CASE WHEN x + 1 <= n THEN n - x - 1 + (1 - n % 2) ELSE 0 END) + 1"
+# Every open arc has to be closed by a later point with an arc on its side, but the one of the curve's start, below.
+_VIABLE = "nh <= len(list_filter(range(x + 1, n + 1), lambda t: t < n OR n % 2 = 1)) AND len(nw) - nh <= 1 + len(list_filter(range(x + 1, n + 1), lambda t: t < n OR n % 2 = 0))"
 #: The brackets of a word as binary digits behind a leading 1.
 _BITS = "list_reduce(list_prepend(1::BIGINT, list_transform(string_split(replace({w}, 'E', ''), ''), lambda c: CASE c WHEN '(' THEN 0 WHEN ')' THEN 1 END::BIGINT)), lambda s, d: CASE WHEN d IS NULL THEN s ELSE 2 * s + d END)"
 _HALF = "half AS (SELECT n, k AS x, word AS w, h, orders FROM layer WHERE k = n // 2)"
@@ -153,10 +158,13 @@ SQL = {
         SELECT (n + 1) // 2 AS n, (SELECT count(DISTINCT perm) FROM orders_ o WHERE o.n = k.n AND l_orderkey IN (SELECT l_orderkey FROM good)) AS open_kinds, (SELECT count(*) FROM c WHERE c.n = k.n) AS closed_kinds,
                (SELECT count(*) FROM (SELECT * FROM i EXCEPT SELECT * FROM c) z WHERE z.n = k.n) AS only_open, (SELECT count(*) FROM (SELECT * FROM c EXCEPT SELECT * FROM i) z WHERE z.n = k.n) AS only_closed FROM k""",
     "inverse_steps": f"""
-        WITH {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD}, {_STATES}, {_HALF}, late AS (SELECT n, k - 1 AS x, word AS w, h FROM layer WHERE k = n // 2 + 1 AND k <= n),
-        step AS (SELECT DISTINCT m.n, m.x, m.w, m.h, m.nw, m.nh FROM ({_moves('half')}) m JOIN late l ON l.n = m.n AND l.x = m.x AND l.w = m.nw AND l.h = m.nh WHERE m.x < m.n)
-        SELECT n, x AS k, count(*) AS forward, count(*) AS backward, 0::BIGINT AS only_forward, 0::BIGINT AS only_backward FROM step GROUP BY n, x""",
+        WITH RECURSIVE {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD}, {_STATES}, {_HALF}, late AS (SELECT n, k - 1 AS x, word AS w, h FROM layer WHERE k = n // 2 + 1 AND k <= n),
+        forth AS (SELECT DISTINCT m.n, m.x, m.w, m.h, m.nw, m.nh FROM ({_moves('half')}) m JOIN late l ON l.n = m.n AND l.x = m.x AND l.w = m.nw AND l.h = m.nh WHERE m.x < m.n),
+        {_BACK},
+        rear AS (SELECT DISTINCT l.n, l.x, b.w, b.h, b.nw, b.nh FROM late l JOIN back b ON b.nw = l.w AND b.nh = l.h JOIN half e ON e.n = l.n AND e.x = l.x AND e.w = b.w AND e.h = b.h),
+        met AS (SELECT n, x, f.w IS NOT NULL AS f, r.w IS NOT NULL AS r FROM forth f FULL JOIN rear r USING (n, x, w, h, nw, nh))
+        SELECT n, x AS k, count(*) FILTER (f) AS forward, count(*) FILTER (r) AS backward, count(*) FILTER (f AND NOT r) AS only_forward, count(*) FILTER (r AND NOT f) AS only_backward FROM met GROUP BY n, x""",
     "value_files": f"""
         WITH {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD}
-        SELECT o.n, count(*) AS orders, count(g.n) AS simple, 'ok' AS verdict FROM orders_ o LEFT JOIN good g USING (l_orderkey) GROUP BY o.n""",
+        SELECT o.n, count(*) AS orders, count(g.n) AS simple, CASE WHEN count(*) = count(DISTINCT o.l_orderkey) THEN 'ok' ELSE 'MISMATCH(' || count(DISTINCT o.l_orderkey) || ')' END AS verdict FROM orders_ o LEFT JOIN good g USING (l_orderkey) GROUP BY o.n""",
 }
