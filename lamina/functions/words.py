@@ -111,6 +111,11 @@ def is_end(word: Column, h: Column) -> Column:
     return (word == "E") & (h == 0)
 
 
+def could_end(word: Column, h: Column, k: Column) -> Column:
+    """Whether the east end would finish an order of k bridges from here: one piece is left, from the start's arc below to the arc that the end closes, above if k is odd; with no bridge, nothing."""
+    return F.when(k == 0, word == "").otherwise((word == "()") & (h == k % 2))
+
+
 def depth(word: Column, h: Column) -> Column:
     """Fewest bridges that build a state without E: its length less the brackets that are open at the cut."""
     return F.length(word) - _balance(F.substring(word, F.lit(1), h))
@@ -134,3 +139,11 @@ def predecessors(word: Column, h: Column) -> Column:
 
     opens = F.filter(_range(F.lit(0), n - 1), lambda p: letter(word, p) == "(")
     return F.concat(plain, F.filter(F.transform(opens, undo), lambda s: s.isNotNull()))
+
+
+def codes(word: Column, h: Column) -> Column:
+    """What each open arc leads to, as numbers: 0 for the east end, 2 i + 2 for the i-th arc above and 2 i + 1 for the i-th below, counted from the outermost; the arcs above come first, then those below, each from the outermost."""
+    n = F.length(word)
+    number = lambda j: F.when(j.isNull(), 0).when(j < h, 2 * j + 2).otherwise(2 * (n - 1 - j) + 1)
+    places = F.concat(_range(F.lit(0), h - 1), F.reverse(_range(h, n - 1)))
+    return F.transform(places, lambda i: number(mate(word, i)).cast("int"))

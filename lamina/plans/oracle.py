@@ -62,6 +62,23 @@ _BACK = f"""
         cand AS (SELECT 1000000 AS n, 0 AS x, w, h::INT AS h FROM words, range(0, len(w) + 1) r(h)),
         back AS (SELECT w, h, nw, nh, len(w) - (len(replace(w[:h], ')', '')) - len(replace(w[:h], '(', ''))) AS depth FROM ({_moves('cand')}))"""
 
+# All orders' own actions, walked one by one; an order whose action is not among the moves has no further row.
+_RUNS = f"""
+        acts AS (SELECT p.l_orderkey, p.p AS x, max(CASE WHEN s.k % 2 = 1 THEN (s.q > p.p)::INT END) AS up, max(CASE WHEN s.k % 2 = 0 THEN (s.q > p.p)::INT END) AS dn
+                 FROM path p JOIN (SELECT l_orderkey, k, a AS p, b AS q FROM arcs UNION ALL SELECT l_orderkey, k, b, a FROM arcs) s ON s.l_orderkey = p.l_orderkey AND s.p = p.p WHERE p.p < p.n GROUP BY p.l_orderkey, p.p),
+        walk AS (SELECT DISTINCT l_orderkey, n, 0::BIGINT AS x, '' AS w, 0::BIGINT AS h FROM lines
+                 UNION ALL SELECT m.l_orderkey, n, m.x + 1, nw, nh FROM ({_moves('walk')}) m JOIN acts ON acts.l_orderkey = m.l_orderkey AND acts.x = m.x AND acts.up = m.up AND acts.dn = m.dn WHERE m.x < n)"""
+_COULD_END = "CASE WHEN x = 0 THEN w = '' ELSE w = '()' AND h = x % 2 END"
+# A search by whole paths: the arc from the path's last point to b crosses no arc of its side; after it every arc has an even number of ends to come inside.
+_INSIDE = "({x} > least(path[j], path[j + 1]) AND {x} < greatest(path[j], path[j + 1]))"
+_REACH = f"len(list_filter(range(1, len(path)), lambda j: (len(path) - j) % 2 = 0 AND {_INSIDE.format(x='path[len(path)]')} <> {_INSIDE.format(x='{b}')})) = 0"
+_EVEN = f"""len(list_filter(range(1, len(path)), lambda j: (len(list_filter(range(0, n), lambda u: NOT list_contains(path, u) AND {_INSIDE.format(x="u")}))
+            + ((len(path) - j) % 2 = 0 AND {_INSIDE.format(x="path[len(path)]")})::INT + ((n - j) % 2 = 1 AND {_INSIDE.format(x="n")})::INT) % 2 = 1)) = 0"""
+_SEARCH = f"""
+        begun AS (SELECT n, prefix, count(*) AS orders FROM (SELECT g.l_orderkey, g.n, list(bridge ORDER BY pos)[:g.n // 2] AS prefix FROM good g JOIN lines l ON l.l_orderkey = g.l_orderkey GROUP BY g.l_orderkey, g.n) GROUP BY ALL),
+        walk AS (SELECT n, prefix, list_prepend(n + 1, prefix) AS path FROM begun
+                 UNION ALL SELECT * FROM (SELECT n, prefix, list_append(path, b) AS path FROM walk, range(0, 64) r(b) WHERE b < n AND NOT list_contains(path, b) AND {_REACH.format(b="b")}) WHERE {_EVEN})"""
+
 SQL = {
     "order_crossings": f"WITH {_LINES}, {_PAIRS}, {_ORDERS} SELECT l_orderkey, n, perm, coalesce(c, 0) AS crossings, c IS NULL AS is_simple FROM orders_ LEFT JOIN (SELECT l_orderkey, count(*) AS c FROM pairs GROUP BY 1) USING (l_orderkey)",
     "order_arc_join": f"WITH {_LINES}, {_PAIRS} SELECT l_orderkey, k1 % 2 AS side, count(*) AS crossings FROM pairs GROUP BY ALL",
@@ -167,4 +184,39 @@ SQL = {
     "value_files": f"""
         WITH {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD}
         SELECT o.n, count(*) AS orders, count(g.n) AS simple, CASE WHEN count(*) = count(DISTINCT o.l_orderkey) THEN 'ok' ELSE 'MISMATCH(' || count(DISTINCT o.l_orderkey) || ')' END AS verdict FROM orders_ o LEFT JOIN good g USING (l_orderkey) GROUP BY o.n""",
+    "state_split_check": f"""
+        WITH RECURSIVE {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD}, {_STATES}, {_HALF},
+        later AS (SELECT n, x + 1 AS x, nw AS w, nh AS h, sum(orders) AS orders FROM ({_moves('half')}) WHERE x < n GROUP BY n, x, nw, nh),
+        walk AS (SELECT n, 0 AS split, x, w, h, orders::HUGEINT AS orders FROM half UNION ALL SELECT n, 1, x, w, h, orders FROM later
+                 UNION ALL SELECT n, split, x + 1, nw, nh, sum(orders) FROM (SELECT * FROM ({_moves('walk')}) WHERE {_VIABLE}) GROUP BY n, split, x, nw, nh),
+        done AS (SELECT n, split, sum(orders)::BIGINT AS ways FROM walk WHERE x = n + 1 AND w = 'E' AND h = 0 GROUP BY n, split)
+        SELECT n, coalesce(a.ways, 0) AS count, coalesce(b.ways, 0) AS "check", CASE WHEN coalesce(a.ways, 0) = coalesce(b.ways, 0) THEN 'ok' ELSE 'MISMATCH(' || coalesce(b.ways, 0) || ')' END AS verdict
+        FROM (SELECT DISTINCT n FROM half) LEFT JOIN (SELECT * FROM done WHERE split = 0) a USING (n) LEFT JOIN (SELECT * FROM done WHERE split = 1) b USING (n)""",
+    "accepted_runs": f"""
+        WITH RECURSIVE {_LINES}, {_RUNS}
+        SELECT n, event, k, count(*) AS orders FROM (
+            SELECT n, x AS k, CASE WHEN {_COULD_END} THEN 'accepted' ELSE 'unfinished' END AS event FROM walk WHERE x = n
+            UNION ALL SELECT n, x AS k, 'refused' FROM walk w WHERE x < n AND NOT EXISTS (SELECT 1 FROM walk v WHERE v.l_orderkey = w.l_orderkey AND v.x = w.x + 1)) GROUP BY ALL""",
+    "finishing_counts": f"""
+        WITH RECURSIVE {_LINES}, {_RUNS} SELECT x AS k, count(*) AS passed, count(*) FILTER ({_COULD_END}) AS could_end FROM walk GROUP BY x""",
+    "prefix_completions": f"""
+        WITH RECURSIVE {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD}, {_SEARCH}
+        SELECT n, array_to_string(prefix, ',') AS prefix, orders, coalesce(c, 0) AS completions FROM begun LEFT JOIN (SELECT n, prefix, count(*) AS c FROM walk WHERE len(path) = n + 1 AND {_REACH.format(b="n")} GROUP BY n, prefix) USING (n, prefix)""",
+    "search_nodes": f"""
+        WITH RECURSIVE {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD}, {_SEARCH} SELECT n, len(path) - 1 AS used, count(*) AS nodes FROM walk GROUP BY ALL""",
+    "decorated_states": f"""
+        WITH {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD}, {_STATES},
+        part AS (SELECT l_orderkey, cut, g, string_agg(p::VARCHAR, ',' ORDER BY k) AS forth, string_agg(p::VARCHAR, ',' ORDER BY k DESC) AS rear, min(k) AS k0, arg_min(p, k) AS p0 FROM isl GROUP BY ALL),
+        sided AS (SELECT l_orderkey, n, cut, g, p0 AS p, (k0 - 1) % 2 AS up, true AS first FROM runs UNION ALL SELECT l_orderkey, n, cut, g, p1, k1 % 2, false FROM runs),
+        spelt AS (SELECT s.*, CASE WHEN first THEN forth ELSE rear END AS strand FROM sided s JOIN part USING (l_orderkey, cut, g)),
+        text_ AS (SELECT l_orderkey, cut AS k, string_agg(strand, '|' ORDER BY up DESC, CASE WHEN up = 1 THEN p ELSE -p END) AS pieces FROM spelt GROUP BY ALL)
+        SELECT s.n, s.k, word, h::BIGINT AS h, coalesce(pieces, '') AS pieces, CASE WHEN s.k = s.n THEN perm END AS whole, count(*) AS orders
+        FROM stat s JOIN orders_ o USING (l_orderkey) LEFT JOIN text_ t USING (l_orderkey, k) GROUP BY ALL""",
+    "numbered_states": f"""
+        WITH {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD}, {_STATES},
+        mates AS (SELECT a.l_orderkey, a.n, a.cut AS k, a.place, a.up, CASE WHEN b.up = 1 THEN 2 * (b.place - 1) + 2 ELSE 2 * (t.len - b.place) + 1 END AS code
+                  FROM seen a JOIN seen b ON a.l_orderkey = b.l_orderkey AND a.cut = b.cut AND a.g = b.g AND a.place <> b.place JOIN (SELECT l_orderkey, cut, max(place) AS len FROM seen GROUP BY ALL) t ON t.l_orderkey = a.l_orderkey AND t.cut = a.cut),
+        key_ AS (SELECT l_orderkey, k, list(code ORDER BY up DESC, CASE WHEN up = 1 THEN place ELSE -place END) AS code FROM mates GROUP BY ALL),
+        kinds AS (SELECT n, k, word, h, coalesce(code, []) AS code, count(*) AS orders FROM stat LEFT JOIN key_ USING (l_orderkey, k) GROUP BY ALL)
+        SELECT n, k, word, h::BIGINT AS h, array_to_string(code, ',') AS code, row_number() OVER (PARTITION BY n, k ORDER BY h, code) AS number, orders FROM kinds""",
 }

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamina.functions import chords, numeric, packed, words
-from lamina.operators import layers, mitm
+from lamina.functions import chords, numeric, packed, strands, words
+from lamina.operators import layers, mitm, runs, search
+from lamina.operators.ranks import ranked
 from lamina.plans.tables import crossing_orders, ranked_lines, read, simple_orders, states_of, text
 from lamina.session import materialise
 from lamina.sources import values
@@ -244,10 +245,17 @@ def segment_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Different crossing orders of each length in lexicographic order with their numbers and every tenth marked: counted before they are numbered."""
+    """Different crossing orders of each length in lexicographic order with their numbers and every tenth marked: counted before they are numbered, and numbered over ranges."""
     kinds = crossing_orders(spark, sf_dir).groupBy("n", "perm").agg(F.count("*").alias("orders"))
-    number = F.row_number().over(Window.partitionBy("n").orderBy("perm")).cast("long")
-    return kinds.select(F.col("n").cast("long").alias("n"), text(F.col("perm")).alias("perm"), "orders", number.alias("number"), (number % 10 == 1).alias("sampled"))
+    number = F.col("number").cast("long")
+    return ranked(kinds, ("n",), ("perm",)).select(F.col("n").cast("long").alias("n"), text(F.col("perm")).alias("perm"), "orders", number.alias("number"), (number % 10 == 1).alias("sampled"))
+
+
+def numbered_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of the simple orders after each bridge, numbered in the order of their keys: how many arcs are above, then what each arc leads to."""
+    states = states_of(simple_orders(spark, sf_dir)).withColumn("code", words.codes(F.col("word"), F.col("h")))
+    out = ranked(states, ("n", "k"), ("h", "code"))
+    return out.select(F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), "word", F.col("h").cast("long").alias("h"), text(F.col("code")).alias("code"), F.col("number").cast("long").alias("number"), F.col("count").cast("long").alias("orders"))
 
 
 def order_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,11 +294,80 @@ def event_interleavings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("user_id", (F.coalesce("rising", F.lit(0)) - F.col("apart")).alias("interleavings")).where("interleavings > 0")
 
 
+def _as_split(layer: DataFrame) -> DataFrame:
+    return layer.select("n", F.col("n") % 2, (F.col("n") - F.col("k")).cast("int"), "h", "e", "bits", "count").toDF("n", "p", "r", "h", "e", "bits", "count")
+
+
+def state_split_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many ways the observed first halves of each length can be finished, from two splits: the states half-way, and the whole layer that one bridge more makes of them."""
+    half = materialise(_packed(_half_states(spark, sf_dir)), "half")
+    most, longest = half.agg(F.max(F.col("n") - F.col("k")), F.max("n")).first()
+    next_ = layers.merge(packed.stepped(half, "n", "k").withColumn("k", F.col("k") + 1), "n", "k", "h", "e", "bits")
+    back = mitm.backward_layers(spark, most or 0, F.lit(longest or 0) - F.col("r"))
+    found = mitm.two_splits(_as_split(half), _as_split(next_), back, "n")
+    return found.select(F.col("n").cast("long").alias("n"), F.col("count").cast("long").alias("count"), F.col("check").cast("long").alias("check"), "verdict")
+
+
+def _run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    acts = crossing_orders(spark, sf_dir).select("n", chords.actions(F.col("perm")).alias("acts"))
+    return runs.sweep(acts.groupBy("n", "acts").agg(F.count("*").alias("count")))
+
+
+def accepted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the scan makes of the actions of all orders, simple or not: how many it accepts, and at which bridge it refuses the others."""
+    found = _run_events(spark, sf_dir).where("event IN ('accepted', 'refused', 'unfinished')")
+    return found.select(F.col("n").cast("long").alias("n"), "event", F.col("k").cast("long").alias("k"), F.col("count").cast("long").alias("orders"))
+
+
+def finishing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each k, how many orders' runs pass k bridges and how many of them could end right there, from one sweep over all lengths."""
+    found = _run_events(spark, sf_dir).where("event IN ('passed', 'could end')").groupBy("k", "event").agg(F.sum("count").alias("count"))
+    by_event = lambda e: F.coalesce(F.sum(F.when(F.col("event") == e, F.col("count"))), F.lit(0)).cast("long")
+    return found.groupBy(F.col("k").cast("long").alias("k")).agg(by_event("passed").alias("passed"), by_event("could end").alias("could_end"))
+
+
+def _prefix_search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    half = F.floor(F.col("n") / 2).cast("int")
+    some = simple_orders(spark, sf_dir).select("n", F.slice("perm", F.lit(1), half).alias("prefix")).groupBy("n", "prefix").agg(F.count("*").alias("orders"))
+    some = materialise(some, "prefixes")
+    rows = search.start(some.select("n", "prefix", F.lit(1).cast(layers.COUNT).alias("count")), "prefix")
+    longest = some.agg(F.max("n")).first()[0] or 0
+    return some, *search.search(rows, longest, "prefix", path="prefix")
+
+
+def prefix_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first halves of the simple orders, how many orders have them, and all simple orders that complete them."""
+    some, _, done = _prefix_search(spark, sf_dir)
+    out = some.join(done, ["n", "prefix"], "left").fillna(0, ["completions"])
+    return out.select(F.col("n").cast("long").alias("n"), text(F.col("prefix")).alias("prefix"), "orders", F.col("completions").cast("long").alias("completions"))
+
+
+def search_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial orders that the search for these completions visits, by length and bridges used, from the prefixes on."""
+    _, nodes, _ = _prefix_search(spark, sf_dir)
+    out = nodes.where(F.col("at") >= F.size("prefix")).groupBy("n", "at").agg(F.sum("nodes").alias("nodes"))
+    return out.select(F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("used"), F.col("nodes").cast("long").alias("nodes"))
+
+
+def decorated_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of the simple orders with the points of their pieces; after the last bridge, the order that the one piece left spells."""
+    o = simple_orders(spark, sf_dir).select("n", "perm", chords.actions(F.col("perm")).alias("acts"))
+    run = lambda done, a, x: F.concat(done, F.array(strands.move(F.element_at(done, -1), x, a["up"], a["dn"])))
+    indexed = F.transform("acts", lambda a, x: F.struct(a.alias("a"), x.alias("x")))
+    all_ = F.aggregate(indexed, F.array(strands.start()), lambda done, i: run(done, i["a"], i["x"]))
+    rows = o.select("n", F.posexplode(all_).alias("k", "s"))
+    whole = F.when(F.col("k") == F.col("n"), text(strands.east(F.col("s"), F.col("n"))))
+    rows = rows.select("n", "k", strands.forget(F.col("s")).alias("word"), F.col("s.h").alias("h"), strands.shown(F.col("s")).alias("pieces"), whole.alias("whole"))
+    out = rows.groupBy(*[F.col(c).cast("long").alias(c) if c in ("n", "k", "h") else F.col(c) for c in rows.columns]).agg(F.count("*").alias("orders"))
+    return out
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         order_crossings, order_arc_join, closed_orders, order_search_depth, order_sides, order_layers, layer_successors, layer_predecessors, meet_in_the_middle,
         part_layer_merge, layer_dot, modular_totals, growth_ratios, value_report, two_split_check, segment_union, numbered_orders, order_bounds, event_interleavings,
         packed_successors, packed_predecessors, finished_orders, decoded_orders, closed_open_sets, inverse_steps, value_files,
+        state_split_check, accepted_runs, finishing_counts, prefix_completions, search_nodes, decorated_states, numbered_states,
     )
 }

@@ -6,14 +6,17 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.functions import chords, numeric, packed, words
-from lamina.operators import layers, mitm
+from lamina.functions import chords, numeric, packed, strands, words
+from lamina.operators import layers, mitm, runs, search
+from lamina.operators.ranks import ranked
 from lamina.session import materialise
 from lamina.sources import values
 
 #: Numbers of simple orders of 0, 1, ... bridges and of closed ones of 2, 4, ..., as published: fixed values.
 OPEN = [1, 1, 1, 2, 3, 8, 14, 42, 81, 262, 538, 1828]
 CLOSED = [1, 2, 8, 42]
+#: Partial orders that a search with both prunings visits for n bridges, as published: fixed values.
+NODES = {8: 522, 9: 1746}
 EMPTY = f"SELECT '' AS word, 0 AS h, CAST(1 AS {layers.COUNT}) AS count"
 
 
@@ -182,3 +185,109 @@ def test_mates_of_random_words(spark):
                 match[j] = stack.pop()
                 match[match[j]] = j
         assert r.p == match[r.i]
+
+
+def splits(spark, horizon):
+    """Forward layers of every length up to the horizon at their first cut and, a bridge later, at their second, with backward layers for both."""
+    forward = [spark.sql(EMPTY).select("h", *packed.narrow(F.col("word")), "count")]
+    for _ in range(horizon // 2 + 1):
+        forward.append(materialise(layers.merge(packed.stepped(forward[-1]), "h", "e", "bits"), "forward"))
+    at = lambda n, k: forward[k].selectExpr(f"{n} AS n", f"{n % 2} AS p", f"{n - k} AS r", "h", "e", "bits", "count")
+    first, second = at(1, 0), at(1, 1)
+    for n in range(2, horizon + 1):
+        first, second = first.unionByName(at(n, n // 2)), second.unionByName(at(n, n // 2 + 1))
+    return first, second, materialise(mitm.backward_layers(spark, horizon // 2 + 1, F.lit(horizon) - F.col("r")), "back")
+
+
+def test_two_splits(spark):
+    first, second, back = splits(spark, 8)
+    assert rows(mitm.two_splits(first, second, back, "n"), "n", "count", "check", "verdict") == [(n, OPEN[n], OPEN[n], "ok") for n in range(1, 9)]
+    # One count too many in the second layer of seven bridges, in a state from which there are ways to finish.
+    state = second.where("n = 7").join(back, ["p", "r", "h", "e", "bits"], "left_semi").orderBy("h", "bits").first()
+    hit = (F.col("n") == 7) & (F.col("h") == state.h) & (F.col("bits") == state.bits)
+    wrong = second.withColumn("count", F.when(hit, F.col("count") + 1).otherwise(F.col("count")).cast(layers.COUNT))
+    found = {r["n"]: r for r in mitm.two_splits(first, wrong, back, "n").collect()}
+    assert found[7]["count"] == OPEN[7] < found[7]["check"] and found[7]["verdict"] == f"MISMATCH({found[7]['check']})"
+    assert all(found[n]["verdict"] == "ok" for n in range(1, 9) if n != 7)
+    # A backward layer that was lost for one split only.
+    half = mitm.two_splits(first, second, back.where("NOT (p = 0 AND r = 3)"), "n").where("n = 8").first()
+    assert half["check"] == 0 and half["verdict"] == "MISMATCH(0)"
+
+
+def test_runs_of_all_actions(spark):
+    """Of all 4 ** n runs exactly as many are accepted as there are simple orders; each other one is refused at its first impossible bridge, or left unfinished."""
+    deeds = list(itertools.product([True, False], repeat=2))
+    every = [(n, list(acts), 1) for n in range(6) for acts in itertools.product(deeds, repeat=n)]
+    frame = spark.createDataFrame(every, "n int, acts array<struct<up: boolean, dn: boolean>>, count int")
+    events = {(r.n, r.k, r.event): int(r["count"]) for r in runs.sweep(frame).collect()}
+    for n in range(6):
+        own = {(k, e): c for (m, k, e), c in events.items() if m == n}
+        assert own[n, "accepted"] == OPEN[n]
+        assert own[n, "accepted"] + own.get((n, "unfinished"), 0) + sum(c for (k, e), c in own.items() if e == "refused") == 4**n
+        assert [own.get((k, "could end"), 0) for k in range(n + 1)] == [OPEN[k] * 4 ** (n - k) for k in range(n + 1)]
+        for k in range(n):
+            assert own[k, "passed"] == own[k + 1, "passed"] + own.get((k, "refused"), 0)
+
+
+def test_runs_that_are_refused(spark):
+    """Nothing to close above; a loop; and runs of one beginning with different rests and counts."""
+    o, c = (True, True), (False, False)
+    frame = spark.createDataFrame([(1, [(False, True)], 5), (2, [o, c], 3), (2, [o, o], 2), (3, [o, c, o], 1)], "n int, acts array<struct<up: boolean, dn: boolean>>, count long")
+    found = {(r.n, r.k, r.event): int(r["count"]) for r in runs.sweep(frame).where("event NOT IN ('passed', 'could end')").collect()}
+    assert found == {(1, 0, "refused"): 5, (2, 1, "refused"): 3, (2, 2, "unfinished"): 2, (3, 1, "refused"): 1}
+    assert runs.sweep(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 8, 9])
+def test_search_from_nothing(spark, n):
+    """The published numbers of nodes and of simple orders; merged remainders are far fewer than partial orders."""
+    nodes, done = search.search(search.start(spark.sql(f"SELECT {n} AS n, CAST(1 AS {layers.COUNT}) AS count")), n)
+    assert int(done.first()["completions"]) == OPEN[n]
+    if n in NODES:
+        assert sum(int(r.nodes) for r in nodes.collect()) == NODES[n]
+
+
+def test_search_completes_prefixes(spark):
+    """Every prefix of every order of six bridges: as many completions as simple orders begin with it, none where an arc crosses."""
+    simple = [tuple(r.perm) for r in orders(spark, 6).where(chords.is_simple(F.col("perm"))).collect()]
+    prefixes = [list(p) for k in range(5) for p in itertools.permutations(range(6), k)]
+    frame = spark.createDataFrame([(6, p) for p in prefixes], "n int, prefix array<int>").withColumn("count", F.lit(1).cast(layers.COUNT))
+    _, done = search.search(search.start(frame, "prefix"), 6, "prefix", path="prefix")
+    found = {tuple(r.prefix): int(r.completions) for r in done.collect()}
+    for p in prefixes:
+        assert found.get(tuple(p), 0) == sum(s[: len(p)] == tuple(p) for s in simple)
+
+
+def test_strands(spark):
+    """Carried points, forgotten, give the plain states; the last piece spells the order. Runs that the plain scan refuses are refused."""
+    for n in (0, 1, 4, 5):
+        every = orders(spark, n).select("perm", chords.actions(F.col("perm")).alias("acts"), chords.is_simple(F.col("perm")).alias("simple"))
+        indexed = F.transform("acts", lambda a, x: F.struct(a.alias("a"), x.alias("x")))
+        deco = F.aggregate(indexed, strands.start(), lambda s, i: strands.move(s, i["x"], i["a"]["up"], i["a"]["dn"]))
+        plain = F.aggregate(F.col("acts"), F.struct(F.lit("").alias("word"), F.lit(0).alias("h")).cast(words.STATE), lambda s, a: words.move(s["word"], s["h"], a["up"], a["dn"]))
+        out = materialise(every.select("perm", "simple", deco.alias("d"), plain.alias("p")), "strands")
+        assert out.where(F.col("d").isNull() != F.col("p").isNull()).count() == 0
+        assert out.where("d IS NOT NULL").where((strands.forget(F.col("d")) != F.col("p.word")) | (F.col("d.h") != F.col("p.h"))).count() == 0
+        spelt = out.where("d IS NOT NULL").select("perm", "simple", strands.east(F.col("d"), F.lit(n)).alias("whole"))
+        assert spelt.where("simple AND NOT whole <=> perm").count() == spelt.where("NOT simple AND whole <=> perm").count() == 0
+        assert spelt.where("simple").count() == OPEN[n]
+
+
+def test_ranked_over_ranges(spark):
+    """A group that fills most of the table lies in several ranges and is numbered without a gap."""
+    frame = spark.range(3000).selectExpr("CASE WHEN id % 10 < 8 THEN 1 ELSE id % 7 END AS g", "array(CAST(id * 7919 % 3001 AS INT), 1) AS x", "id AS _own")
+    got = ranked(frame.repartition(5), ("g",), ("x",))
+    want = {}
+    for g, x in sorted((r.g, r.x) for r in frame.collect()):
+        want.setdefault(g, []).append(x)
+    assert {(r.g, tuple(r.x), r.number) for r in got.collect()} == {(g, tuple(x), i) for g, xs in want.items() for i, x in enumerate(xs, 1)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and got.columns == ["g", "x", "_own", "number"]
+    assert ranked(frame.limit(0), ("g",), ("x",)).count() == 0
+
+
+def test_codes(spark):
+    """Two nested pieces across the line, and one to the east end: from the outermost above inwards, then from the outermost below."""
+    frame = spark.createDataFrame([("(())", 2), ("()", 1), ("()", 0), ("E", 0), ("(E)", 2), ("", 0)], "word string, h int")
+    found = {(r.word, r.h): r.c for r in frame.select("word", "h", words.codes(F.col("word"), F.col("h")).alias("c")).collect()}
+    assert found == {("(())", 2): [1, 3, 2, 4], ("()", 1): [1, 2], ("()", 0): [3, 1], ("E", 0): [0], ("(E)", 2): [1, 0, 2], ("", 0): []}
