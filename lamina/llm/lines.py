@@ -40,7 +40,7 @@ def digest(key: Column) -> Column:
 
 def digests(text: Column, least: int = LEAST) -> Column:
     """For each line the digest of its key, null where the key is too short to count."""
-    return F.transform(split_lines(text), lambda line: F.when(F.char_length(line_key(line)) >= least, digest(line_key(line))))
+    return F.transform(F.transform(split_lines(text), line_key), lambda key: F.when(F.char_length(key) >= least, digest(key)))
 
 
 def shared_lines(keyed: DataFrame, documents: int = DOCUMENTS) -> DataFrame:

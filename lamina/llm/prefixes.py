@@ -2,7 +2,8 @@
 
 A conversation is the path of its turns' digests (128 bits of SHA-256 each), and conversations of
 one beginning lie together in the order of paths. A bounded sample of paths gives splitters, which
-cut that order into shards of about SHARD conversations. A node whose path begins no splitter has
+cut that order into shards of about SHARD conversations (larger ones where that would be more than
+MOST shards, which bounds the skeleton). A node whose path begins no splitter has
 all its members in one shard; the others, the prefixes of splitters, are the skeleton: a trie of
 (shards - 1) paths at most, which all tasks get. Each shard, sorted by path and conv_id, is read
 once with a stack of open nodes: what leaves the stack outside the skeleton is finished there, and
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import materialise
 
-#: Conversations of a shard; sampled paths for each shard; member ids sent in one piece.
-SHARD, SAMPLES, SEND = 100_000, 20, 4_096
+#: Conversations of a shard, and the most shards; sampled paths for each shard; member ids sent in one piece.
+SHARD, MOST, SAMPLES, SEND = 10_000, 10_000, 20, 4_096
 #: Bytes of a turn's digest.
 WIDTH = 16
 TURN = "struct<id: string, bytes: long>"
@@ -185,7 +186,7 @@ def trie(paths: DataFrame, shard: int = SHARD, samples: int = SAMPLES) -> DataFr
     spark = paths.sparkSession
     rows = materialise(paths.select(F.expr("unhex(array_join(turns.id, ''))").alias("path"), F.col("turns.bytes").alias("bytes"), "conv_id"), "paths")
     count = rows.count()
-    shards = -(-count // shard)
+    shards = min(-(-count // shard), MOST)
     splitters = []
     if shards > 1:
         some = rows.select("path", "conv_id").sample(min(1.0, samples * shards / count), seed=5).limit(2 * samples * shards).toArrow()
