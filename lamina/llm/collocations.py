@@ -1,17 +1,18 @@
 """Phrase collocations by partitioned mining: shards propose, all documents are counted.
 
-A phrase that occurs s times among n words occurs, in some shard of n_i words, at least s * n_i / n
-times. So every shard is mined completely at that lower support, phrases frequent in any shard are
-united, and all of these are counted exactly over all documents.
+A phrase that occurs s times or more occurs ceil(s / SHARDS) times or more in one of SHARDS shards,
+however uneven these are (else it would occur s - 1 times at most). So every shard is mined completely
+at that lower support, phrases frequent in any shard are united, and all of these are counted exactly
+over all documents.
 
 There are SHARDS shards, however large the corpus is (with more than s of them the lower support
 would be one, and shards would propose everything). A shard is a hash of texts, mined by many tasks:
-they tokenise portions of documents, count a portion's phrases in NumPy and send (shard, lang,
-digest, count) rows. Levels follow each other: a phrase of k words is looked at only if both its
-parts of k - 1 words were proposed. Proposals reach the tasks as a bitmap of at most BITS bits, which
-is all that comes to the driver; a bit set by another phrase, or two phrases of one digest, only
-propose more. The last pass counts the proposed phrases as strings, so counts and results are exact
-whatever the bitmap let through.
+they tokenise portions of documents, count a portion's phrases in NumPy and send digests, of which
+lang, shard and size are part, with their counts. Levels follow each other: a phrase of k words is
+looked at only if both its parts of k - 1 words were proposed. Proposals reach the tasks as a bitmap
+of at most BITS bits, which is all that comes to the driver; a bit set by another phrase, or two
+phrases of one digest, only propose more. The last pass counts the proposed phrases as strings, so
+counts and results are exact whatever the bitmap let through.
 
 Null texts are empty, a null lang is `und`. Repeated rows count as often as they occur. Documents of
 any length are tokenised whole. No word at all gives no row. Other columns are ignored.
@@ -19,7 +20,6 @@ any length are tokenised whole. No word at all gives no row. Other columns are i
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,21 +34,22 @@ from lamina.llm.common import materialise
 SHARDS = 4
 #: Words that a task counts together; bits of a bitmap.
 PORTION, BITS = 1 << 21, 1 << 27
-BREAKS = re.compile(rb"[.,;:!?\x0A-\x0D]+")
+#: Bytes of a text as a tokeniser sees them: A-Z in lower case, a tab as a blank, what ends a piece as a line feed.
+SEEN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
 WIDE = "decimal(38,0)"
 
 
 def tokens(texts: list[bytes | None]) -> pa.Array:
     """The words of all texts, in order; a line feed stands where a piece ends."""
-    joined = b" \n ".join([*(t or b"" for t in texts), b""])
-    return pa.array(BREAKS.sub(b" \n ", joined.lower()).replace(b"\t", b" ").split(b" "), pa.binary())
+    joined = b"\n".join([*(t or b"" for t in texts), b""])
+    return pa.array(joined.translate(SEEN).replace(b"\n", b" \n ").split(b" "), pa.binary())
 
 
 class Portion:
     """The words of some documents of one lang and shard, numbered: codes (-1: a piece ends), words and their digests."""
 
-    def __init__(self, parts: list[pa.Array]):
-        one = pa.chunked_array([p.dictionary_encode() for p in parts]).unify_dictionaries().combine_chunks()
+    def __init__(self, lang: str, parts: list[pa.DictionaryArray]):
+        one = pa.chunked_array(parts).unify_dictionaries().combine_chunks()
         one = one.combine_chunks() if isinstance(one, pa.ChunkedArray) else one
         names, codes = one.dictionary, one.indices.to_numpy(zero_copy_only=False)
         codes = codes[codes != pc.index(names, b"").as_py()]
@@ -57,6 +58,7 @@ class Portion:
         new[1:] = ~(ends[1:] & ends[:-1])
         self.codes, self.names = np.where(ends, -1, codes)[new], names
         self.digests = pd.util.hash_array(np.array(names.to_pylist(), dtype=object), categorize=False)
+        self.lang = pd.util.hash_array(np.array([lang], dtype=object), categorize=False)[0]
 
     def starts(self, size: int) -> np.ndarray:
         """Where phrases of ``size`` words begin."""
@@ -67,20 +69,21 @@ class Portion:
         return np.flatnonzero(fits)
 
     def phrase_digests(self, at: np.ndarray, size: int) -> np.ndarray:
-        h = np.full(len(at), size, dtype=np.uint64)
+        h = np.full(len(at), self.lang + np.uint64(size), dtype=np.uint64)
         for i in range(size):
             h = h * np.uint64(0x9E3779B97F4A7C15) + self.digests[self.codes[at + i]]
             h ^= h >> np.uint64(29)
             h *= np.uint64(0xBF58476D1CE4E5B9)
         return h ^ (h >> np.uint64(32))
 
-    def proposed(self, at: np.ndarray, size: int, known: dict[int, np.ndarray]) -> np.ndarray:
-        """Those of the places whose phrases' shorter parts, and they themselves, are set in the bitmaps that there are."""
+    def proposed(self, size: int, known: dict[int, np.ndarray]) -> np.ndarray:
+        """Where phrases of this size begin whose shorter parts, and they themselves, are set in the bitmaps that there are."""
+        at = self.starts(size)
         for k, offsets in ((size - 1, (0, 1)), (size, (0,))):
             for i in offsets if k in known else ():
                 h = self.phrase_digests(at + i, k)
-                words = known[k][(h >> np.uint64(6)).astype(np.int64) & (len(known[k]) - 1)]
-                at = at[(words >> (h & np.uint64(63))) & np.uint64(1) == 1]
+                words = known[k][(h >> np.uint64(22)).astype(np.int64) & (len(known[k]) - 1)]
+                at = at[(words >> ((h >> np.uint64(16)) & np.uint64(63))) & np.uint64(1) == 1]
         return at
 
     def counted(self, at: np.ndarray, size: int) -> tuple[pa.Array, np.ndarray]:
@@ -108,14 +111,14 @@ def portions(batches: Iterator[pa.RecordBatch], portion: int) -> Iterator[tuple[
         texts = batch.column(2).cast(pa.binary())
         for lang, shard, at in zip(*(group.column(c).to_pylist() for c in ("lang", "shard", "at_list")), strict=True):
             part = tokens(texts.take(pa.array(at)).to_pylist())
-            held.setdefault((lang, shard), []).append(part)
+            held.setdefault((lang, shard), []).append(part.dictionary_encode())
             size += len(part)
         if size >= portion:
             for (lang, shard), parts in held.items():
-                yield lang, shard, Portion(parts)
+                yield lang, shard, Portion(lang, parts)
             held, size = {}, 0
     for (lang, shard), parts in held.items():
-        yield lang, shard, Portion(parts)
+        yield lang, shard, Portion(lang, parts)
 
 
 def _texts(documents: DataFrame, shards: int) -> DataFrame:
@@ -123,59 +126,52 @@ def _texts(documents: DataFrame, shards: int) -> DataFrame:
     return documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.pmod(F.xxhash64(text), F.lit(shards)).cast("int").alias("shard"), text.alias("text"))
 
 
-def mined(documents: DataFrame, sizes: tuple[int, ...], known: dict[int, np.ndarray], shards: int = SHARDS, portion: int = PORTION) -> DataFrame:
-    """(shard, lang, size, h, c): occurrences of the phrases of these sizes by shard; of size 0, with h 0, all words."""
+def mined(documents: DataFrame, sizes: tuple[int, ...], known: dict[int, np.ndarray], support: int, shards: int = SHARDS, portion: int = PORTION) -> DataFrame:
+    """(size, h) of the phrases of these sizes that are frequent in some shard."""
+    sent = documents.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, shard, p in portions(batches, portion):
-            n = int((p.codes >= 0).sum())
-            for k in (0, *sizes):
-                h, c = (np.zeros(1, dtype=np.uint64), np.array([n])) if k == 0 else np.unique(p.phrase_digests(p.proposed(p.starts(k), k, known), k), return_counts=True)
-                rows = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, shard, dtype=np.int32)), pa.array([lang] * rows, pa.string()), pa.array(np.full(rows, k, dtype=np.int32)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["shard", "lang", "size", "h", "c"])
+        for _, shard, p in portions(batches, portion):
+            for k in sizes:
+                h, c = np.unique(p.phrase_digests(p.proposed(k, sent.value), k), return_counts=True)
+                # The last bits of a digest give way to the shard's and the size's numbers.
+                key = (h & ~np.uint64(0xFFFF)) | np.uint64(shard << 8 | k)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c.astype(np.int64))], names=["key", "c"])
 
-    rows = _texts(documents, shards).select("lang", "shard", "text").mapInArrow(run, "shard int, lang string, size int, h long, c long")
-    return rows.groupBy("shard", "lang", "size", "h").agg(F.sum("c").alias("c"))
+    rows = _texts(documents, shards).select("lang", "shard", "text").mapInArrow(run, "key long, c long")
+    frequent = rows.groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= -(-support // shards))
+    return frequent.select(F.expr("CAST(key & 255 AS INT)").alias("size"), F.expr("key & ~65535L").alias("h")).distinct()
 
 
 def bitmap(proposals: DataFrame, bits: int = BITS) -> np.ndarray:
     """Proposed digests (h) as a bitmap of at most ``bits`` bits, in longs; 32 bits or more for each digest unless that is too many."""
     many = proposals.count()
     longs = max(1, min(bits, 1 << (32 * many).bit_length()) // 64)
-    rows = proposals.select(F.expr(f"shiftrightunsigned(h, 6) & {longs - 1}L").alias("i"), F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("b"))
+    rows = proposals.select(F.expr(f"shiftrightunsigned(h, 22) & {longs - 1}L").alias("i"), F.expr("shiftleft(1L, CAST(shiftrightunsigned(h, 16) & 63 AS INT))").alias("b"))
     found = rows.groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(longs, dtype=np.uint64)
     out[found.column("i").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
     return out
 
 
-def proposals(counts: DataFrame, support: int) -> DataFrame:
-    """(size, h) of the phrases that are frequent in some shard: c >= ceil(support * n_i / n), n_i a shard's words of a lang and n all of them."""
-    words = counts.where("size = 0").select("shard", "lang", F.col("c").cast(WIDE).alias("own"))
-    total = words.groupBy("lang").agg(F.sum("own").cast(WIDE).alias("n"))
-    needed = words.join(total, "lang").where("n > 0").select("shard", "lang", F.expr(f"CAST(({support} * own + n - 1) div n AS LONG)").alias("least"))
-    return counts.where("size > 0").join(needed, ["shard", "lang"]).where("c >= least").select("size", "h").distinct()
-
-
 def phrase_counts(documents: DataFrame, support: int, longest: int, shards: int = SHARDS, portion: int = PORTION, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of all phrases of 1 to ``longest`` words that occur ``support`` times or more, exactly; (lang, n), all words."""
     known: dict[int, np.ndarray] = {}
-    totals = None
     for sizes in ((1, 2), *((k,) for k in range(3, longest + 1))):
-        counts = materialise(mined(documents, sizes, known, shards, portion), "mined")
-        totals = totals or counts.where("size = 0").groupBy("lang").agg(F.sum("c").alias("n"))
-        found = materialise(proposals(counts, support), "proposals")
-        known |= {k: bitmap(found.where(F.col("size") == k).select("h"), bits) for k in sizes}
+        found = materialise(mined(documents, sizes, known, support, shards, portion), "proposals")
+        known = known | {k: bitmap(found.where(F.col("size") == k).select("h"), bits) for k in sizes}
     sent = documents.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, _, p in portions(batches, portion):
-            for k in sent.value:
-                phrases, c = p.counted(p.proposed(p.starts(k), k, sent.value), k)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), phrases, pa.array(np.full(len(c), k, dtype=np.int32)), pa.array(c.astype(np.int64))], names=["lang", "phrase", "size", "c"])
+            for k in (0, *sent.value):
+                phrases, c = (pa.array([""]), np.array([(p.codes >= 0).sum()])) if k == 0 else p.counted(p.proposed(k, sent.value), k)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(c)), phrases, pa.repeat(pa.scalar(k, pa.int32()), len(c)), pa.array(c.astype(np.int64))], names=["lang", "phrase", "size", "c"])
 
     rows = _texts(documents, 1).select("lang", "shard", "text").mapInArrow(run, "lang string, phrase string, size int, c long")
-    return materialise(rows.groupBy("lang", "phrase", "size").agg(F.sum("c").alias("f")).where(F.col("f") >= support), "phrases"), totals
+    counts = rows.groupBy("lang", "phrase", "size").agg(F.sum("c").alias("f")).where((F.col("f") >= support) | (F.col("size") == 0))  # size 0: all words
+    counts = materialise(counts, "phrases")
+    return counts.where("size > 0"), counts.where("size = 0").select("lang", F.col("f").alias("n"))
 
 
 def _part(phrase: Column, first: Column, count: Column) -> Column:
