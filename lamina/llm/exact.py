@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import ascii_lower, materialise
+from lamina.llm.common import ascii_lower, materialise, small, whole_row
 
 LEAST, MOST = 512, 8192
 
@@ -30,25 +30,31 @@ def _digest(chunk: Column, bits: int) -> Column:
     return h if bits == 64 else F.shiftrightunsigned(h, 64 - bits)
 
 
-def colliding(texts: DataFrame, bits: int = 64) -> list[int]:
-    """Digests that more than one chunk has. The chunks themselves are the grouping key, so this compares bytes.
+def colliding(texts: DataFrame, bits: int = 64) -> DataFrame:
+    """(h): digests that more than one chunk has. The chunks themselves are the grouping key, so this compares bytes.
 
     For n different chunks about n * n / 2**65 such digests are to be expected: none, or a handful.
     """
     rows = texts.select(F.explode(chunks(F.col("t"))).alias("chunk"))
     store = rows.select(_digest(F.col("chunk"), bits).alias("h"), "chunk").groupBy("h", "chunk").agg(F.lit(1).alias("one"))
-    return [r["h"] for r in store.groupBy("h").count().where("count > 1").select("h").collect()]
+    return store.groupBy("h").count().where("count > 1").select("h")
 
 
 def recipes(documents: DataFrame, bits: int = 64) -> DataFrame:
-    """(doc_id, recipe, text_sha256): recipes are equal exactly if the texts are."""
+    """(doc_id, recipe, text_sha256): recipes are equal exactly if the texts are.
+
+    In a text with a chunk whose digest another chunk has, every identifier carries its chunk; such texts, however many, are found and marked by joins.
+    """
     texts = documents.select("doc_id", ascii_lower(F.col("text")).alias("t"))
-    twice = colliding(texts, bits)
-    identifier = lambda c: _digest(c, bits)
-    if twice:  # such a chunk's identifier is the chunk itself
-        known = F.array(*map(F.lit, twice))
-        identifier = lambda c: F.struct(_digest(c, bits).alias("h"), F.when(F.array_contains(known, _digest(c, bits)), c).alias("c"))
-    return texts.select("doc_id", F.transform(chunks(F.col("t")), identifier).alias("recipe"), F.sha2("t", 256).alias("text_sha256"))
+    twice = materialise(colliding(texts, bits), "colliding")
+    named = texts.withColumn("text_sha256", F.sha2("t", 256))
+    if twice.isEmpty():
+        return named.select("doc_id", F.transform(chunks(F.col("t")), lambda c: _digest(c, bits)).alias("recipe"), "text_sha256")
+    held = named.select("text_sha256", F.explode(F.array_distinct(F.transform(chunks(F.col("t")), lambda c: _digest(c, bits)))).alias("h"))
+    marked = materialise(held.join(small(twice), "h", "left_semi").select("text_sha256").distinct(), "marked")
+    named = named.join(small(marked.withColumn("whole", F.lit(True))), "text_sha256", "left")
+    identifier = lambda c: F.struct(_digest(c, bits).alias("h"), F.when(F.col("whole"), c).alias("c"))
+    return named.select("doc_id", F.transform(chunks(F.col("t")), identifier).alias("recipe"), "text_sha256")
 
 
 def members(documents: DataFrame, bits: int = 64) -> DataFrame:
@@ -81,7 +87,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
     keys = members(documents).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     keys = materialise(keys.select(F.col("doc_id").alias("key_id"), F.col("text_sha256").alias("key_sha"), "times"), "kept")
     # Each document goes along as one value, so that its columns clash with none of these.
-    own = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.sha2(ascii_lower(F.col("text")), 256).alias("own_sha"))
+    own = documents.select(whole_row(documents), F.col("doc_id").alias("own_id"), F.sha2(ascii_lower(F.col("text")), 256).alias("own_sha"))
     same = F.col("own_id").eqNullSafe(F.col("key_id")) & (F.col("own_sha") == F.col("key_sha"))
     once = own.join(keys.where("times = 1"), same, "left_semi")
     again = own.join(keys.where("times > 1"), same, "left_semi").dropDuplicates(["own_id", "own_sha"])

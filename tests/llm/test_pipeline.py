@@ -6,10 +6,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lamina.llm import pieces, quality
-from lamina.llm.common import read
+from lamina.llm.common import materialise, read
 
 sp = pytest.importorskip("sentencepiece")
 
@@ -101,3 +102,19 @@ def test_empty_documents(spark, small):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, small)
         assert docs.count() == 0
+
+
+def test_any_column_names(spark, small):
+    """Names with a backtick or a dot, the longest one too, and names that the operators use themselves."""
+    extra = {"a`b": 1, "x.y": 2, "`the longest.name of all`": 3, "row": 4, "own_id": 5, "key_sha": 6, "gone_id": 7, "text_hash": 8, "score": 9, "lost": 10}
+    docs = read(spark, small, "documents")
+    for name, value in extra.items():
+        docs = docs.withColumn(name, F.lit(value))
+    plain = read(spark, small, "documents")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs, plain = stage(spark, docs, small), stage(spark, plain, small)
+        if i < 4:
+            docs, plain = materialise(docs, "named"), materialise(plain, "plain")
+            assert sorted(docs.columns) == sorted([*plain.columns, *extra])
+            assert {tuple(r[c] for c in extra) for r in docs.collect()} == {tuple(extra.values())}
+        assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == sorted(r.doc_id for r in plain.select("doc_id").collect())
