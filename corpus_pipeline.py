@@ -19,8 +19,8 @@ QUALITY = 0.7
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is QUALITY or more. Scores come from the text alone."""
     model = quality.train(docs, read(spark, sf_dir, "labels"))
-    score = "_" + max(docs.columns, key=len)  # a name that no column has
-    return quality.with_quality(docs, model, score).where(F.col(f"`{score}`") >= QUALITY).drop(score)
+    score = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
+    return quality.with_quality(docs, model, score).where(F.col(score) >= QUALITY).drop(score)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
