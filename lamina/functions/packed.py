@@ -147,8 +147,10 @@ def depth(letters: np.ndarray, length: np.ndarray, h: np.ndarray) -> np.ndarray:
     return length - level[np.arange(len(h)), h]
 
 
-def stepped(states: DataFrame, *keep: str, backwards: bool = False) -> DataFrame:
-    """(keep..., h, e, bits, depth, count) of the states a bridge on, or back, each with its source's count; no two equal ones are merged here."""
+def stepped(states: DataFrame, *keep: str, backwards: bool = False, window: tuple[int, int] | None = None) -> DataFrame:
+    """(keep..., h, e, bits, depth, count) of the states a bridge on, or back, each with its source's count; no two equal ones are merged here.
+
+    With a ``window`` (low, high), states of a depth outside (low, high] are dropped before they are packed."""
     rows = states.select(*keep, F.col("h").cast("int").alias("h"), F.col("e").cast("int").alias("e"), "bits", "count")
     own = [f for f in rows.schema if f.name in keep]
     ddl = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in own), "h int, e int, bits long, depth int", f"count {rows.schema['count'].dataType.simpleString()}"])
@@ -158,11 +160,15 @@ def stepped(states: DataFrame, *keep: str, backwards: bool = False) -> DataFrame
             h, e, bits = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(keep), len(keep) + 3))
             letters, length = unpack(e, bits)
             for row, w, n, high in (back if backwards else forward)(letters, length, h.astype(np.int64)):
+                deep = depth(w, n, high)
+                if window:
+                    own = (deep > window[0]) & (deep <= window[1])
+                    row, w, n, high, deep = (x[own] for x in (row, w, n, high, deep))
                 if not len(row):
                     continue
                 new_e, new_bits = pack(w, n)
                 kept = batch.take(pa.array(row))
-                now = [pa.array(high.astype(np.int32)), pa.array(new_e), pa.array(new_bits), pa.array(depth(w, n, high).astype(np.int32))]
+                now = [pa.array(high.astype(np.int32)), pa.array(new_e), pa.array(new_bits), pa.array(deep.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*kept.columns[: len(keep)], *now, kept.columns[-1]], names=[*keep, "h", "e", "bits", "depth", "count"])
 
     return rows.mapInArrow(run, ddl)

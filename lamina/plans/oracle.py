@@ -219,4 +219,12 @@ SQL = {
         key_ AS (SELECT l_orderkey, k, list(code ORDER BY up DESC, CASE WHEN up = 1 THEN place ELSE -place END) AS code FROM mates GROUP BY ALL),
         kinds AS (SELECT n, k, word, h, coalesce(code, []) AS code, count(*) AS orders FROM stat LEFT JOIN key_ USING (l_orderkey, k) GROUP BY ALL)
         SELECT n, k, word, h::BIGINT AS h, array_to_string(code, ',') AS code, row_number() OVER (PARTITION BY n, k ORDER BY h, code) AS number, orders FROM kinds""",
+    "extended_predecessors": f"""
+        WITH RECURSIVE {_LINES}, {_PAIRS}, {_ORDERS}, {_GOOD}, {_STATES}, {_HALF}, {_BACK}
+        SELECT half.n, half.x AS k, CASE WHEN depth <= 2 THEN 0 WHEN depth <= 4 THEN 1 ELSE 2 END::BIGINT AS seg, back.h::BIGINT AS h, {_BITS.format(w="back.w")} AS bits, depth::BIGINT AS depth, sum(orders)::BIGINT AS orders
+        FROM half JOIN back ON nw = half.w AND nh = half.h WHERE half.x > 0 GROUP BY ALL""",
+    "bucketed_dots": """
+        WITH q AS (SELECT l_partkey, l_returnflag AS flag, sum(l_quantity::BIGINT) AS c FROM lineitem GROUP BY ALL),
+        f AS (SELECT * FROM (VALUES ('A', 'N'), ('A', 'R'), ('N', 'R')) v(flag, other))
+        SELECT f.flag, f.other, coalesce(sum(x.c * y.c), 0)::BIGINT AS dot FROM f LEFT JOIN q x ON x.flag = f.flag LEFT JOIN q y ON y.flag = f.other AND y.l_partkey = x.l_partkey GROUP BY ALL""",
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from lamina.operators import layers, mitm, runs, search
 from lamina.operators.ranks import ranked
 from lamina.plans.tables import crossing_orders, ranked_lines, read, simple_orders, states_of, text
 from lamina.session import materialise
-from lamina.sources import values
+from lamina.sources import segments, values
 from lamina.sources.values import verdict
 
 
@@ -111,11 +113,25 @@ def packed_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed_predecessors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The states a bridge before those half-way, on packed states, in segments by depth: what a horizon of one bridge reaches, and what a further one newly admits. Segments are written and united."""
     half = _packed(_half_states(spark, sf_dir).where("k > 0"))
-    back = materialise(layers.merge(packed.stepped(half, "n", "k", backwards=True), "n", "k", "h", "e", "bits", "depth"), "layer")
-    bounds = [(-1, 1), (1, 2), (2, 1 << 30)]
-    parts = [materialise(back.where((F.col("depth") > a) & (F.col("depth") <= z) & (F.col("depth") < F.col("k"))).sortWithinPartitions("h", "bits"), f"segment-{i}").withColumn("seg", F.lit(i).cast("long")) for i, (a, z) in enumerate(bounds)]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.select(F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), "seg", F.col("h").cast("long").alias("h"), "bits", F.col("depth").cast("long").alias("depth"), F.col("count").cast("long").alias("orders"))
+    back = layers.merge(packed.stepped(half, "n", "k", backwards=True), "n", "k", "h", "e", "bits", "depth")
+    seg = F.when(F.col("depth") <= 1, 0).when(F.col("depth") <= 2, 1).otherwise(2)
+    back = back.where(F.col("depth") < F.col("k")).withColumn(segments.SEGMENT, seg)
+    path = values.fresh(spark, "segments")
+    segments.write_segments(back, path)
+    return _segment_rows(segments.read_segments(back, path))
+
+
+def _segment_rows(layer: DataFrame) -> DataFrame:
+    return layer.select(F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), F.col("seg").cast("long").alias("seg"), F.col("h").cast("long").alias("h"), "bits", F.col("depth").cast("long").alias("depth"), F.col("count").cast("long").alias("orders"))
+
+
+def extended_predecessors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same layer for a horizon of two bridges, extended to four and then to all: each step makes only the states of its own depths and appends them."""
+    half = materialise(_packed(_half_states(spark, sf_dir).where("k > 0")), "half")
+    path = values.fresh(spark, "extended")
+    for seg, (low, high) in enumerate([(-1, 2), (2, 4), (4, packed.MOST)]):
+        segments.extend(half, path, seg, low, high, "n", "k")
+    return _segment_rows(segments.read_segments(half.withColumn("depth", F.lit(0)), path))
 
 
 def finished_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,6 +214,16 @@ def layer_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("s_nationkey", F.col("count").cast("long").alias("dot"))
 
 
+def bucketed_dots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dot products of every two return flags' layers of parts: each layer is written once, in buckets of parts, and no product shuffles it again."""
+    lines = read(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", F.col("l_quantity").cast("decimal(38,0)").alias("count"))
+    flags = ("A", "N", "R")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    layer = {f: segments.bucketed(spark, layers.merge(lines.where(F.col("l_returnflag") == f), "l_partkey"), f"layer_{f}", buckets, "l_partkey") for f in flags}
+    dots = [mitm.dot(layer[a], layer[b].hint("merge"), on=("l_partkey",)).select(F.lit(a).alias("flag"), F.lit(b).alias("other"), F.col("count").cast("long").alias("dot")) for a, b in itertools.combinations(flags, 2)]
+    return reduce(DataFrame.unionByName, dots)
+
+
 def modular_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price products summed modulo 2 ** 64 and 2 ** 61 - 1 and put together again, per part."""
     cents = F.round(F.col("l_extendedprice") * 100).cast(numeric.WIDE)
@@ -368,6 +394,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         order_crossings, order_arc_join, closed_orders, order_search_depth, order_sides, order_layers, layer_successors, layer_predecessors, meet_in_the_middle,
         part_layer_merge, layer_dot, modular_totals, growth_ratios, value_report, two_split_check, segment_union, numbered_orders, order_bounds, event_interleavings,
         packed_successors, packed_predecessors, finished_orders, decoded_orders, closed_open_sets, inverse_steps, value_files,
-        state_split_check, accepted_runs, finishing_counts, prefix_completions, search_nodes, decorated_states, numbered_states,
+        state_split_check, accepted_runs, finishing_counts, prefix_completions, search_nodes, decorated_states, numbered_states, extended_predecessors, bucketed_dots,
     )
 }

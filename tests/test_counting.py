@@ -10,7 +10,7 @@ from lamina.functions import chords, numeric, packed, strands, words
 from lamina.operators import layers, mitm, runs, search
 from lamina.operators.ranks import ranked
 from lamina.session import materialise
-from lamina.sources import values
+from lamina.sources import segments, values
 
 #: Numbers of simple orders of 0, 1, ... bridges and of closed ones of 2, 4, ..., as published: fixed values.
 OPEN = [1, 1, 1, 2, 3, 8, 14, 42, 81, 262, 538, 1828]
@@ -291,3 +291,51 @@ def test_codes(spark):
     frame = spark.createDataFrame([("(())", 2), ("()", 1), ("()", 0), ("E", 0), ("(E)", 2), ("", 0)], "word string, h int")
     found = {(r.word, r.h): r.c for r in frame.select("word", "h", words.codes(F.col("word"), F.col("h")).alias("c")).collect()}
     assert found == {("(())", 2): [1, 3, 2, 4], ("()", 1): [1, 2], ("()", 0): [3, 1], ("E", 0): [0], ("(E)", 2): [1, 0, 2], ("", 0): []}
+
+
+def test_replace_is_whole_or_not_at_all(spark, tmp_path):
+    """A reader that began before an overwrite ends with the old table; a writer that fails changes nothing."""
+    path = f"{tmp_path}/table"
+    frame = lambda *rows: spark.createDataFrame(list(rows), "n int, count int, check int")
+    values.write_values(frame((0, 1, None), (1, 1, 1)), path)
+    before = values.read_values(spark, path)
+    values.write_values(frame((2, 3, 3)), path)
+    assert rows(before, "n", "count") == [(0, 1), (1, 1)] and rows(values.read_values(spark, path), "n", "count", "check") == [(2, 3, 3)]
+    broken = frame((5, 5, 5), (6, 6, 6)).withColumn("count", F.when(F.col("n") == 6, F.raise_error(F.lit("lost"))).otherwise(F.col("count")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        values.write_values(broken, path)
+    assert rows(values.read_values(spark, path), "n", "count", "check") == [(2, 3, 3)]
+    values.write_values(frame(), path)
+    values.write_values(frame((7, 7, 7)), path)
+    assert rows(values.read_values(spark, path), "n") == [(7,)]
+    assert sum(p.name.startswith("version-") for p in (tmp_path / "table").iterdir()) == 2  # the present one and the one before
+
+
+def test_extension_equals_building_at_once(spark, tmp_path):
+    """A layer extended from one bound to the next, in any number of steps, has the states and counts of one built whole; a step makes only the depths of its window."""
+    layer = spark.sql(EMPTY).select("h", *packed.narrow(F.col("word")), "count")
+    for _ in range(4):
+        layer = materialise(layers.merge(packed.stepped(layer), "h", "e", "bits"), "layer")
+    whole = layers.merge(packed.stepped(layer, backwards=True), "h", "e", "bits", "depth")
+    want = rows(whole, "h", "e", "bits", "depth", "count")
+    assert len({d for *_, d, _ in want}) > 2
+    for i, bounds in enumerate([(-1, 62), (-1, 2, 62), (-1, 0, 3, 4, 62)]):
+        path = f"{tmp_path}/{i}"
+        for seg, window in enumerate(itertools.pairwise(bounds)):
+            segments.extend(layer, path, seg, *window)
+            got = segments.read_segments(layer.withColumn("depth", F.lit(0)), path)
+            assert rows(got, "h", "e", "bits", "depth", "count") == [r for r in want if r[3] <= window[1]]
+            made = packed.stepped(layer, backwards=True, window=window)
+            assert made.where((F.col("depth") <= window[0]) | (F.col("depth") > window[1])).count() == 0
+        assert got.where((F.col("seg") == 0) & (F.col("depth") > bounds[1])).count() == 0
+
+
+def test_bucketed_layers_join_without_a_shuffle(spark):
+    frame = spark.range(500).selectExpr("id % 90 AS word", "CAST(id % 2 AS INT) AS h", "CAST(id AS DECIMAL(38,0)) AS count")
+    f, g = layers.merge(frame, "word", "h"), layers.merge(frame.where("id % 3 = 0"), "word", "h")
+    a, b = (segments.bucketed(spark, x, name, 4, "word", "h") for x, name in ((f, "f"), (g, "g")))
+    joined = a.join(b.hint("merge"), ["word", "h"])
+    joined.count()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert rows(mitm.dot(a, b.hint("merge")), "count") == rows(mitm.dot(f, g), "count")
