@@ -228,3 +228,51 @@ def test_decoding_equals_the_best_of_all_lattice_paths():
         best = max(p + spelled(word) for p, word in paths(token))
         word = m.decode(token)
         assert max(p for p, w in paths(token) if w == word) + spelled(word) == pytest.approx(best), token
+
+
+def test_many_languages_equal_the_search_over_all(monkeypatch):
+    """Sixty languages: mixtures found among the likeliest and held against all others are those found among all at once, also of more languages than are looked at first, and without the table of all likelihoods."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = [["".join(rng.choice(letters) for _ in range(rng.randrange(3, 8))) for _ in range(6)] for _ in range(60)]
+    text = lambda k, n: " ".join(rng.choice(kinds[k]) for _ in range(n))
+    counts = np.stack([np.bincount(langid.trigrams(text(k, 2000)), minlength=langid.BUCKETS) for k in range(60)]) + langid.ALPHA
+    log_p = np.log(counts / counts.sum(1, keepdims=True))
+    texts = [" ".join(text(k, 60) for k in rng.sample(range(60), size)) for size in (1, 1, 2, 3, 5, 9, 12)] + [None, "12", text(3, 1)]
+    got = langid.mixture(texts, log_p)
+    monkeypatch.setattr(langid, "CELLS", 50_000)
+    small = langid.mixture(texts, log_p)
+    monkeypatch.setattr(langid, "SLOTS", 100)
+    want = langid.mixture(texts, log_p)
+    assert np.allclose(got, small, atol=1e-9) and not got[7:9].any()
+    assert ((got > 0) == (want > 0)).all() and np.abs(got - want).max() < 0.02
+    assert [(row > 0.03).sum() for row in got[:7]] == [1, 1, 2, 3, 5, 9, 12]
+
+
+def test_counts_of_training_equal_plain_ones(spark):
+    docs = spark.createDataFrame([(1, "The cat, the CAT", "en"), (2, "le chat", "fr"), (3, None, "fr"), (4, "x", None), (5, "les chats", "fr"), (6, "1 2", "de")], DDL)
+    langs, model = langid.train(docs)
+    plain = {}
+    for t, lang in (("The cat, the CAT", "en"), ("le chat", "fr"), ("les chats", "fr")):
+        for b in langid.trigrams(t).tolist():
+            plain.setdefault(lang, {}).setdefault(b, 0)
+            plain[lang][b] += 1
+    assert langs == sorted(plain)
+    every = np.arange(langid.BUCKETS)
+    for i, lang in enumerate(langs):
+        total = sum(plain[lang].values())
+        want = np.array([np.log((plain[lang].get(b, 0) + langid.ALPHA) / (total + langid.ALPHA * langid.BUCKETS)) for b in every.tolist()])
+        assert np.allclose(model.logs(np.full((1, len(every)), i), every)[0], want)
+
+
+def test_thousands_of_languages_and_none(spark):
+    """More lang values than any list of languages has give a result; an empty table gives none."""
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} same text", f"l{i}") for i in range(2001)]
+    docs = spark.createDataFrame(rows, DDL).repartition(4)
+    langs, model = langid.train(docs)
+    assert len(langs) == 2001 and model.matrix is None
+    some = docs.where("doc_id % 100 = 7")
+    found = langid.with_language(some, langs, model).select("lang", "language.lang_pred", "language.score").collect()
+    assert len(found) == 20 and all(0 < r.score <= 1 for r in found) and all(r.lang_pred in langs for r in found)
+    assert langid.with_language(docs.limit(0), langs, model).count() == 0
+    assert langid.with_language(docs.limit(0), *langid.train(docs.limit(0))).count() == 0
