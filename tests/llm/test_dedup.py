@@ -197,6 +197,25 @@ def test_similar_groups_in_a_dense_family(spark, monkeypatch, hot, tables):
     assert linked(simhash.similar_groups(frame(spark, [(i, " ".join(w)) for i, w in rows]), tables=tables)) == want
 
 
+@pytest.mark.parametrize("block", [1 << 14, 16])
+def test_a_family_below_the_limit_makes_few_candidates(spark, monkeypatch, block):
+    """Pages of one template with seven words of their own, nearly all pairs between 0.6 and 0.8: the pairs that leave the search are far fewer than the pairs there are, also when a token's members are compared in blocks, and no link is lost."""
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    seen = []
+    whole = overlap.candidates
+    monkeypatch.setattr(overlap, "candidates", lambda *a: seen.append(whole(*a)) or seen[-1])
+    rng = random.Random(21)
+    template = [f"w{i}" for i in range(400)]
+    rows = [(i, edited(rng, template, 7)) for i in range(400)]
+    rows += [(1000 + i, edited(rng, rows[i][1], rng.randrange(1, 5))) for i in range(25)]  # links, some at the limit
+    near = similar(rows)
+    assert len(near) >= 20
+    want = groups(near, {x for p in near for x in p})
+    assert linked(simhash.similar_groups(frame(spark, [(i, " ".join(w)) for i, w in rows]))) == want
+    pairs = len(rows) * (len(rows) - 1) // 2
+    assert seen[0].count() < pairs // 40
+
+
 def test_similar_groups_of_awkward_rows(spark):
     long = " ".join(f"w{i}" for i in range(30000))
     rows = [(1, None), (2, ""), (3, " \t"), (4, "one two"), (5, "ONE two"), (6, long), (7, f"{long} end"), (8, "a b c d e f g h i j"), (8, long), (8, long), (9, "a b c d e f g h i j k"), (None, long), (None, "")]
