@@ -30,9 +30,28 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the scratch folder, which release() will delete."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the scratch tables that this application has written, once their last reader is done: frames that were returned and not yet written can't be read any more. Returns how many folders there were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the scratch folder and reads it again, which ends the lineage of a loop."""
-    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -47,7 +66,7 @@ def ship(spark: SparkSession) -> None:
     Rows here are texts, so Arrow batches are made smaller than Spark's default, unless the session has set their size.
     """
     context = spark.sparkContext
-    if spark.conf.get(BATCH) == "10000":
+    if spark.conf.get(BATCH) == "10000" and not context.getConf().contains(BATCH):
         spark.conf.set(BATCH, "256")
     if context.applicationId in _SHIPPED:
         return

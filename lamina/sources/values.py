@@ -8,12 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.session import scratch_root
+from lamina.session import scratch_path
 
 
 def fresh(spark: SparkSession, name: str) -> str:
     """A new folder name in the shared scratch folder. A reader that is given the name of a folder written whole never sees half of a file."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, name)
 
 
 #: In a folder of versions, the file that names the present one.
