@@ -227,4 +227,8 @@ SQL = {
         WITH q AS (SELECT l_partkey, l_returnflag AS flag, sum(l_quantity::BIGINT) AS c FROM lineitem GROUP BY ALL),
         f AS (SELECT * FROM (VALUES ('A', 'N'), ('A', 'R'), ('N', 'R')) v(flag, other))
         SELECT f.flag, f.other, coalesce(sum(x.c * y.c), 0)::BIGINT AS dot FROM f LEFT JOIN q x ON x.flag = f.flag LEFT JOIN q y ON y.flag = f.other AND y.l_partkey = x.l_partkey GROUP BY ALL""",
+    "residue_layers": """
+        WITH v AS (SELECT l_returnflag, round(l_extendedprice * 100)::HUGEINT AS c, l_quantity::HUGEINT AS q FROM lineitem),
+        p AS (SELECT l_returnflag, sum((q * c * c * c * c * c) // 1000000000000000000)::HUGEINT AS hi, sum((q * c * c * c * c * c) % 1000000000000000000)::HUGEINT AS lo FROM v GROUP BY 1)
+        SELECT l_returnflag, (hi + lo // 1000000000000000000)::VARCHAR || lpad((lo % 1000000000000000000)::VARCHAR, 18, '0') AS total FROM p""",
 }

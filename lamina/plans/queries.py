@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import chords, numeric, packed, strands, words
-from lamina.operators import layers, mitm, runs, search
+from lamina.operators import layers, mitm, residues, runs, search
 from lamina.operators.ranks import ranked
 from lamina.plans.tables import crossing_orders, ranked_lines, read, simple_orders, states_of, text
 from lamina.session import materialise
@@ -233,6 +233,15 @@ def modular_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("l_partkey", F.col("b").cast("long").alias("mod_m61"), numeric.crt(F.col("a"), F.col("b")).cast("string").alias("total"))
 
 
+def residue_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities weighted five times over by their lines' prices in cents, layer by layer, and added up by return flag: totals past 38 digits, carried as residues."""
+    lines = read(spark, sf_dir, "lineitem").select("l_returnflag", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), F.col("l_quantity").cast("long").alias("quantity"))
+    layer = residues.merge(residues.start(lines, F.col("quantity"), "l_returnflag", "cents"), "l_returnflag", "cents")
+    for _ in range(5):
+        layer = residues.weigh(layer, F.col("cents"))
+    return residues.totals(residues.merge(layer, "l_returnflag"))
+
+
 def growth_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running counts of orders by month, with their ratios, rates, exponents and extrapolations."""
     months = read(spark, sf_dir, "orders").groupBy(F.date_trunc("month", "o_orderdate").alias("m")).agg(F.count("*").alias("c"))
@@ -263,11 +272,13 @@ def two_split_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' event layers built in segments of depth (events so far) windows and united; equal to one scan of all."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    events = read(spark, sf_dir, "events").select("event_type", F.row_number().over(w).alias("depth"))
-    bounds = [(0, 10), (10, 30), (30, 1 << 30)]
-    parts = [layers.merge(events.where((F.col("depth") > a) & (F.col("depth") <= z)).select("event_type", "depth", F.lit(1).cast("decimal(38,0)").alias("count")), "event_type", "depth").withColumn("seg", F.lit(i).cast("long")) for i, (a, z) in enumerate(bounds)]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.select("event_type", F.col("depth").cast("long").alias("depth"), "seg", F.col("count").cast("long").alias("events"))
+    events = read(spark, sf_dir, "events").select("event_type", F.row_number().over(w).alias("depth"), F.lit(1).cast("decimal(38,0)").alias("count"))
+    seg = F.when(F.col("depth") <= 10, 0).when(F.col("depth") <= 30, 1).otherwise(2)
+    layer = layers.merge(events, "event_type", "depth").withColumn(segments.SEGMENT, seg)
+    path = values.fresh(spark, "segments")
+    segments.write_segments(layer, path)
+    out = segments.read_segments(layer, path)
+    return out.select("event_type", F.col("depth").cast("long").alias("depth"), F.col("seg").cast("long").alias("seg"), F.col("count").cast("long").alias("events"))
 
 
 def numbered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,6 +405,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         order_crossings, order_arc_join, closed_orders, order_search_depth, order_sides, order_layers, layer_successors, layer_predecessors, meet_in_the_middle,
         part_layer_merge, layer_dot, modular_totals, growth_ratios, value_report, two_split_check, segment_union, numbered_orders, order_bounds, event_interleavings,
         packed_successors, packed_predecessors, finished_orders, decoded_orders, closed_open_sets, inverse_steps, value_files,
-        state_split_check, accepted_runs, finishing_counts, prefix_completions, search_nodes, decorated_states, numbered_states, extended_predecessors, bucketed_dots,
+        state_split_check, accepted_runs, finishing_counts, prefix_completions, search_nodes, decorated_states, numbered_states, extended_predecessors, bucketed_dots, residue_layers,
     )
 }

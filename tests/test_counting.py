@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.functions import chords, numeric, packed, strands, words
-from lamina.operators import layers, mitm, runs, search
+from lamina.operators import layers, mitm, residues, runs, search
 from lamina.operators.ranks import ranked
 from lamina.session import materialise
 from lamina.sources import segments, values
@@ -339,3 +339,20 @@ def test_bucketed_layers_join_without_a_shuffle(spark):
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan
     assert rows(mitm.dot(a, b.hint("merge")), "count") == rows(mitm.dot(f, g), "count")
+
+
+def test_residues_through_layers(spark):
+    """Totals of 40 and more digits, weighted and merged in layers, against whole numbers; all digits of borders."""
+    rng = random.Random(8)
+    lines = [(rng.choice("xy"), rng.randrange(1, 10**9), rng.randrange(10**6)) for _ in range(400)]
+    layer = residues.start(spark.createDataFrame(lines, "k string, w long, c long"), F.col("c"), "k", "w")
+    for _ in range(5):
+        layer = residues.weigh(residues.merge(layer, "k", "w"), F.col("w"))
+    found = {r.k: int(r.total) for r in residues.totals(residues.merge(layer, "k")).collect()}
+    want = {k: sum(c * w**5 for j, w, c in lines if j == k) for k in "xy"}
+    assert found == want and min(want.values()) > 10**38 and max(want.values()) < residues.bound()
+    some = [0, 1, 7, 10**18 - 1, 10**18, 10**36, 10**38 + 5, 2**125, residues.bound() - 1, *(rng.randrange(residues.bound()) for _ in range(50))]
+    frame = spark.createDataFrame([(str(x), *(x % m for m in residues.MODULI)) for x in some], f"x string, {', '.join(f'{r} long' for r in residues.NAMES)}")
+    got = residues.totals(frame)
+    assert got.columns == ["x", "total"] and all(r.x == r.total for r in got.collect())
+    assert rows(residues.totals(residues.start(spark.sql("SELECT -1 AS c, 1 AS k"), F.col("c"), "k")), "total") == [(str(residues.bound() - 1),)]
