@@ -117,7 +117,7 @@ def packed_predecessors(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = F.when(F.col("depth") <= 1, 0).when(F.col("depth") <= 2, 1).otherwise(2)
     back = back.where(F.col("depth") < F.col("k")).withColumn(segments.SEGMENT, seg)
     path = values.fresh(spark, "segments")
-    segments.write_segments(back, path)
+    segments.write_segments(back, path, "h", "bits")
     return _segment_rows(segments.read_segments(back, path))
 
 
@@ -276,7 +276,7 @@ def segment_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = F.when(F.col("depth") <= 10, 0).when(F.col("depth") <= 30, 1).otherwise(2)
     layer = layers.merge(events, "event_type", "depth").withColumn(segments.SEGMENT, seg)
     path = values.fresh(spark, "segments")
-    segments.write_segments(layer, path)
+    segments.write_segments(layer, path, "event_type", "depth")
     out = segments.read_segments(layer, path)
     return out.select("event_type", F.col("depth").cast("long").alias("depth"), F.col("seg").cast("long").alias("seg"), F.col("count").cast("long").alias("events"))
 

@@ -25,9 +25,9 @@ def extend(source: DataFrame, path: str, seg: int, low: int, high: int, *keep: s
     grown.withColumn(SEGMENT, F.lit(seg)).sortWithinPartitions("h", "bits").write.mode("append").partitionBy(SEGMENT).parquet(path)
 
 
-def write_segments(layer: DataFrame, path: str) -> None:
-    """Writes a layer that has a column seg, all segments in one pass."""
-    layer.sortWithinPartitions(SEGMENT, "h", "bits").write.partitionBy(SEGMENT).parquet(path)
+def write_segments(layer: DataFrame, path: str, *keys: str) -> None:
+    """Writes a layer that has a column seg, all segments in one pass, each sorted by the keys."""
+    layer.sortWithinPartitions(SEGMENT, *keys).write.partitionBy(SEGMENT).parquet(path)
 
 
 def read_segments(like: DataFrame, path: str) -> DataFrame:
