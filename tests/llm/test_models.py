@@ -276,3 +276,134 @@ def test_thousands_of_languages_and_none(spark):
     assert len(found) == 20 and all(0 < r.score <= 1 for r in found) and all(r.lang_pred in langs for r in found)
     assert langid.with_language(docs.limit(0), langs, model).count() == 0
     assert langid.with_language(docs.limit(0), *langid.train(docs.limit(0))).count() == 0
+
+
+def test_features_equal_plain_ones():
+    for text in ("Hello WORLD!! 12 $$ a a\nsame line\nsame line\n\nété — ok.", "x", " \t\n", "... !!! ###", "A b. C d! e# 9 9 9"):
+        data = text.encode()
+        upper, lower, digit = (sum(chr(b) in s for b in data if b < 128) for s in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"))
+        shout, other = sum(b in b"!?" for b in data), sum(b >= 128 for b in data)
+        marks, feeds = sum(b in b".,;:'\"-" for b in data), data.count(b"\n")
+        blanks = sum(b < 128 and chr(b).isspace() for b in data)
+        words = text.split()
+        n, nb = len(words), len(data)
+        if n:
+            lines = [x for x in text.split("\n") if x]
+            want = [math.log(1 + len(text)), upper / max(upper + lower + other, 1), shout / nb, (nb - upper - lower - digit - shout - other - marks - blanks) / nb, digit / nb, blanks / nb, feeds / nb]
+            want += [sum(map(len, words)) / n, len(set(words)) / n, len({(words[i], words[i + 1]) for i in range(n - 1)}) / max(n - 1, 1), max(map(words.count, words)) / n]
+            want += [sum(words[i] == words[i + 1] for i in range(n - 1)) / n, sum(w[-1] in "!#$%&*|@^~+=<>" for w in words) / n, sum(not any(c.isalpha() for c in w) for w in words) / n, 1 - len(set(lines)) / max(len(lines), 1)]
+            want += [-sum(data.count(b) / nb * math.log2(data.count(b) / nb) for b in set(data)), max(map(len, words)), sum(len(w) <= 3 for w in words) / n, other / nb, marks / n]
+        else:
+            want = [math.log(1 + len(text))] + [0.0] * (len(quality.NAMES) - 1)
+        assert quality.features(text) == pytest.approx(want)
+
+
+def test_fit_equals_plain_boosting(monkeypatch):
+    """Quantile bins, cyclic trees of three leaves and four-leaf pair trees, by loops over rows and cuts."""
+    for name, value in {"BINS": 6, "PAIR_BINS": 4, "ROUNDS": 4, "PAIR_ROUNDS": 3, "PAIRS": 2}.items():
+        monkeypatch.setattr(quality, name, value)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 3))
+    y = ((x[:, 0] > 0.2) ^ (x[:, 1] * x[:, 2] > 0)).astype(float)
+    m = quality.fit(x, y)
+    bias = math.log((y.sum() + 1) / (len(y) + 1 - y.sum()))
+    z = [bias] * len(y)
+
+    def slopes():
+        p = [1 / (1 + math.exp(-v)) for v in z]
+        return [t - q for t, q in zip(y, p, strict=True)], [q * (1 - q) for q in p]
+
+    worth = lambda rows, g, h: sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + quality.RIDGE)
+    value = lambda rows, g, h: sum(g[i] for i in rows) / (sum(h[i] for i in rows) + quality.RIDGE)
+    bin_of = lambda bins, j: [sum(v >= e for e in np.quantile(x[:, j], [k / bins for k in range(1, bins)])) for v in x[:, j]]
+    tables = [[0.0] * 6 for _ in range(3)]
+    fine, coarse = [bin_of(6, j) for j in range(3)], [bin_of(4, j) for j in range(3)]
+    for _ in range(4):
+        for j in range(3):
+            g, h = slopes()
+            leaves = [list(range(6))]
+            for _ in range(2):
+                rows = lambda some: [i for i in range(len(y)) if fine[j][i] in some]  # noqa: B023, E731
+                splits = [(worth(rows(leaf[:c]), g, h) + worth(rows(leaf[c:]), g, h) - worth(rows(leaf), g, h), k, c) for k, leaf in enumerate(leaves) for c in range(1, len(leaf))]
+                gain, k, c = max(splits)
+                if gain > 1e-9:
+                    leaves[k : k + 1] = [leaves[k][:c], leaves[k][c:]]
+            for leaf in leaves:
+                own = [i for i in range(len(y)) if fine[j][i] in leaf]
+                step = quality.RATE * value(own, g, h)
+                for b in leaf:
+                    tables[j][b] += step
+                for i in own:
+                    z[i] += step
+
+    def best_pair(a, b, g, h):
+        found = []
+        for s in range(1, 4):
+            for t in range(1, 4):
+                parts = [[i for i in range(len(y)) if (coarse[a][i] < s) == u and (coarse[b][i] < t) == v] for u in (True, False) for v in (True, False)]
+                found.append((sum(worth(p, g, h) for p in parts) - worth(range(len(y)), g, h), parts))
+        return max(found, key=lambda f: f[0])
+
+    g, h = slopes()
+    pairs = sorted(((best_pair(a, b, g, h)[0], a, b) for a in range(3) for b in range(a)), reverse=True)[:2]
+    for _ in range(3):
+        for _, a, b in pairs:
+            g, h = slopes()
+            for part in best_pair(a, b, g, h)[1]:
+                step = quality.RATE * value(part, g, h)
+                for i in part:
+                    z[i] += step
+    assert m.bias == pytest.approx(bias) and m.pairs == [(a, b) for _, a, b in pairs]
+    for table, want in zip(m.tables, tables, strict=True):
+        assert table.tolist() == pytest.approx(want)
+    assert m.score(x).tolist() == pytest.approx([1 / (1 + math.exp(-v)) for v in z])
+
+
+def test_lexicon_and_counts_equal_plain_ones(spark):
+    """Evidence and odds of words and beginnings over labelled texts that are not held out; letter trigrams over all texts."""
+    rng = random.Random(9)
+    bad, good = ["idiotic", "moron"], ["garden", "window", "paper", "river", "ideal"]
+    rows = []
+    for i in range(400):
+        toxic = i % 3 == 0
+        rows.append((i, " ".join([*rng.choices(good, k=6), *(rng.choices(bad, k=1) if toxic else [])]) + rng.choice(["!", "", " Ünd"]), "en"))
+    rows += [(None, "moron", "en"), (500, None, "en")]
+    docs = spark.createDataFrame(rows, DDL)
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(350)], LABELS)
+    m = toxicity.train(docs, labels)
+    held = {r.doc_id for r in docs.where(toxicity.held_out(F.col("doc_id"))).collect()}
+    sets = {0: [], 1: []}
+    for i, text, _ in rows:
+        if i is not None and i < 350 and i not in held:
+            words = {w for w in "".join(c if c.isalpha() else " " for c in text.lower()).split() if 2 < len(w) < 32}
+            sets[int(i % 3 == 0)].append({k for w in words for k in ["=" + w, *(w[:n] for n in range(4, 9) if n < len(w))]})
+    T, C = len(sets[1]), len(sets[0])
+    want = {}
+    for k in set().union(*sets[0], *sets[1]):
+        t, c = sum(k in s for s in sets[1]), sum(k in s for s in sets[0])
+        if t < 3:
+            continue
+        odds = math.log((t + 0.5) / (T + 1)) - math.log((c + 0.5) / (C + 1))
+        p = T / (T + C)
+        evidence = 2 * (t * math.log(t / ((t + c) * p)) + (c * math.log(c / ((t + c) * (1 - p))) if c else 0))
+        if odds > toxicity.ODDS and evidence > toxicity.EVIDENCE:
+            want[k] = odds
+    assert set(want) >= {"=moron", "=idiotic", "idio"} and m.lexicon == pytest.approx(want)
+    plain = {}
+    for _, text, _ in rows:
+        signs = [26 if not c.isalpha() else ord(c) - 97 if "a" <= c <= "z" else 27 for c in (text or "").lower()] if text is not None else None
+        if signs is not None:
+            signs = [26, *signs, 26]
+            signs = [s for i, s in enumerate(signs) if i == 0 or s != 26 or signs[i - 1] != 26]
+            for t in zip(signs, signs[1:], signs[2:], strict=False):
+                plain[t] = plain.get(t, 0) + 1
+    counts = toxicity.char_counts(docs).reshape(28, 28, 28)
+    assert {t: int(counts[t]) for t in zip(*(v.tolist() for v in np.nonzero(counts)), strict=True)} == plain
+
+
+def test_tied_turns_do_not_depend_on_partitions(spark):
+    rows = [(1, 0, "user", t) for t in ("b", "a", "c", "a")] + [(1, 1, "assistant", "x"), (1, 1, "assistant", "w"), (2, None, "user", "q"), (2, None, "assistant", "r")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = [sorted(map(tuple, chat.digests(chat.format_chats(frame.repartition(n))).select("conv_id", "n_turns", "turns_sha256", "loss_sha256").collect())) for n in (1, 3)]
+    want = hashlib.sha256(b"".join(f"{r}\n{t}\n".encode() for r, t in [("user", "a"), ("user", "a"), ("user", "b"), ("user", "c"), ("assistant", "w"), ("assistant", "x")])).hexdigest()
+    assert got[0] == got[1] and got[0][0][1:3] == (6, want)
