@@ -2,8 +2,9 @@
 
 Tokens (digests of shingles) have a fixed order. Two sets of Jaccard similarity s or more share so
 many tokens that the first n - ceil(s * n) + l tokens of each, n its size, share l at least. So only
-these first tokens are compared, and a pair is a candidate if it shares l of them; l is LEAST, or
-what a small set allows.
+these first tokens are compared, and a pair is a candidate if it shares l of them; l is LEAST and a
+PART-th of the set more, or what a small set allows. As l grows with a set, passages that it has in
+common with many others leave it other tokens to be told by, unless they are a good part of it.
 
 A token that more than HOT sets have among their first ones is not expanded into pairs. A set with h
 such tokens must share l - h of the others, which is tested in the same way. Only sets in which that
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import materialise, small
 
-LEAST, HOT = 12, 64
+LEAST, PART, HOT = 12, 8, 64
 #: (least tokens, longs): a set of at least so many tokens has a parity of so many longs.
 PARITY = ((0, 16), (1_000, 128), (8_000, 1_024))
 #: Longs of the parity that goes along with a token; sets of a block.
@@ -39,7 +40,7 @@ FOLD, BLOCK = 16, 1 << 14
 
 def prefix_length(n: int, share: Fraction) -> int:
     need = -(-n * share.numerator // share.denominator)
-    return n - need + min(LEAST, need)
+    return n - need + min(LEAST + n // PART, need)
 
 
 def parity(sets: list[np.ndarray]) -> pa.ListArray:
@@ -65,9 +66,10 @@ def possible(pairs: DataFrame, sketches: DataFrame, share: Fraction) -> DataFram
 
 
 def _floor(n: Column, share: Fraction) -> Column:
-    """Tokens that a set of n must share among the first ones with any similar set, which has share * n tokens at least and must share that share of them."""
+    """Tokens that a set of n must share among the first ones with any similar set: that has share * n tokens at least, so its l is what such a set's is at least, and they share that share of them."""
     square = share * share
-    return F.least(F.lit(LEAST), F.ceil(n * square.numerator / F.lit(float(square.denominator)) - F.lit(1e-9)).cast("int"))
+    least = F.ceil(n * share.numerator / F.lit(float(share.denominator)) - F.lit(1e-9))
+    return F.least(F.lit(LEAST) + F.floor(least / PART), F.ceil(n * square.numerator / F.lit(float(square.denominator)) - F.lit(1e-9))).cast("int")
 
 
 def _bucket_pairs(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
