@@ -34,17 +34,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm.common import materialise
+
 SAMPLE = 100_000
 #: An entry's evidence (log-likelihood ratio against independence), log-odds and length.
 EVIDENCE, ODDS, PREFIXES = 18.0, 1.5, range(4, 9)
 #: What a character may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c", "<": "c", "£": "l", "¡": "i", "§": "s"}
 _MERGED = {"l": "i"} | {k: ("i" if "i" in v or v == "l" else v) for k, v in LOOKS.items()}
+#: Letters of a skeleton that are looked up before all of it.
+HEAD = 5
+_NONE: list[str] = []  # one for all tokens without hits
 SUBSTITUTE, NOISE, NOISE_LOOK, REPEAT = -0.6, -0.3, -4.0, -0.7
 LETTERS, EDGE, OTHER, SIZE = 26, 26, 27, 28
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _ODD = re.compile(r"[\W\d_]|(.)\1")
+_REPEATED = re.compile(r"(.)\1+", re.DOTALL)
 _CUTS = re.compile(r"[/\\()\[\]{}<>|+,;:\"'–—-]+")
 _SPACED = re.compile(r"(?<!\w)(?:\S[\s._*-]{1,3}){3,}\S(?!\w)")
 
@@ -90,14 +96,20 @@ def entries(word: str) -> list[str]:
     return [f"={word}", *(word[:n] for n in PREFIXES if n < len(word))]
 
 
+class _Skeleton(dict):
+    """For str.translate(): look-alikes merged, all but letters dropped. Filled as characters are met."""
+
+    def __missing__(self, code: int) -> str | None:
+        c = _MERGED.get(chr(code), chr(code))
+        self[code] = c if c.isalpha() else None
+        return self[code]
+
+
+_SKELETON = _Skeleton()
+
+
 def skeleton(token: str) -> str:
-    out, last = [], ""
-    for c in token:
-        c = _MERGED.get(c, c)
-        if c.isalpha() and c != last:
-            out.append(c)
-            last = c
-    return "".join(out)
+    return _REPEATED.sub(r"\1", token.translate(_SKELETON))
 
 
 @dataclass
@@ -107,13 +119,23 @@ class Model:
     weights: np.ndarray  # bias, strongest hit, log number of hits, any hit
     skeletons: set[str] = field(init=False)
     lengths: list[int] = field(init=False)
+    beginnings: list[int] = field(init=False)  # lengths of entries that are beginnings of words
+    short: list[int] = field(init=False)  # lengths of skeletons below HEAD
+    heads: set[str] = field(init=False)  # first letters of the other skeletons
 
     def __post_init__(self):
         self.skeletons = {skeleton(k.lstrip("=")) for k in self.lexicon}
         self.lengths = sorted({len(s) for s in self.skeletons})
+        self.beginnings = sorted({len(k) for k in self.lexicon if k[0] != "="})
+        self.short = [n for n in self.lengths if n < HEAD]
+        self.heads = {s[:HEAD] for s in self.skeletons if len(s) >= HEAD}
 
     def hits(self, word: str) -> list[str]:
-        return [k for k in entries(word) if k in self.lexicon]
+        found = [f"={word}"] if f"={word}" in self.lexicon else []
+        for n in self.beginnings:
+            if n < len(word) and word[:n] in self.lexicon:
+                found.append(word[:n])
+        return found
 
     def decode(self, token: str) -> str:
         """The likeliest word behind a token."""
@@ -136,7 +158,8 @@ class Model:
         return max((p + self.log_p[a, b, EDGE], word) for (a, b), (p, word) in states.items())[1]
 
     def token_hits(self, token: str) -> list[str]:
-        found = [k for w in _WORDS.findall(token) for k in self.hits(w)]
+        words = (token,) if token.isalpha() else _WORDS.findall(token)
+        found = [k for w in words for k in self.hits(w)]
         if found or not _ODD.search(token):
             return found
         parts = [token]
@@ -150,7 +173,10 @@ class Model:
         return []
 
     def _maybe(self, s: str) -> bool:
-        return any(s[:n] in self.skeletons for n in self.lengths)
+        for n in self.short:
+            if s[:n] in self.skeletons:
+                return True
+        return s[:HEAD] in self.heads and any(s[:n] in self.skeletons for n in self.lengths)
 
     def run_hits(self, run: str) -> list[str]:
         """Hits of whole words anywhere in letters that were spaced out."""
@@ -163,16 +189,16 @@ class Model:
         return whole or self.hits(restored)
 
     def measure(self, text: str | None, memo: dict[str, list[str]]) -> tuple[float, int]:
-        """Weight of the strongest hit and number of different hits."""
+        """Weight of the strongest hit and number of different hits. memo: of tokens seen before."""
         text = (text or "").lower()
         found: set[str] = set()
-        for token in set(text.split()):
-            if (h := memo.get(token)) is None:
-                if len(memo) > 200_000:
-                    memo.clear()
-                h = memo[token] = self.token_hits(token)
-            if h:
-                found.update(h)
+        tokens = set(text.split())
+        if len(memo) > 200_000:
+            memo.clear()
+        for token in tokens.difference(memo):
+            memo[token] = self.token_hits(token) or _NONE
+        for h in filter(None, map(memo.__getitem__, tokens)):
+            found.update(h)
         for m in _SPACED.finditer(text):
             found.update(self.run_hits(m[0]))
         return max((self.lexicon[k] for k in found), default=0.0), len(found)
@@ -220,6 +246,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y")  # ``sample`` short rows are broadcast
+    rows = materialise(rows, "labelled")  # read three times, ``sample`` texts
 
     def count(batches):
         n: tuple[Counter, Counter] = (Counter(), Counter())
