@@ -40,9 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and the hash of the text that the ids decode to, which is the text's."""
-    vocabulary = pieces.Vocabulary.load()
-    back = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
-    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"))
+    return pieces.round_trip(docs).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 STAGES = [

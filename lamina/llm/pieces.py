@@ -30,6 +30,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -149,6 +150,11 @@ class Vocabulary:
                 places[at] = rank((piece, ids[at + 1]), LAST)
         return ids
 
+    @cached_property
+    def segmenter(self) -> Segmenter:
+        """One for all tasks of a Python process, which goes on with the words of the tasks before."""
+        return Segmenter(self)
+
     # Whole words.
 
     def unit(self, text: str) -> tuple[int, ...]:
@@ -583,7 +589,8 @@ def _long_texts(long: DataFrame, shared, chunk: int) -> DataFrame:
         s = cut_states([json.loads(m) for m in frame["m"]], json.loads(frame["i"].iloc[0]), json.loads(frame["j"].iloc[0]))
         return pd.DataFrame([(key[0], c, json.dumps(i), json.dumps(j)) for c, i, j in zip(frame["chunk"], s, s[1:], strict=False)])
 
-    states = matrices.join(ends, ["key", "block"]).groupBy("key", "block").applyInPandas(inside, "key string, chunk long, i string, j string")
+    found = matrices.join(ends, ["key", "block"]).groupBy("key", "block").applyInPandas(inside, "key string, chunk long, i string, j string")
+    states = materialise(found, "states")  # so that no task finds states in one Python process and traces in another
 
     @F.arrow_udf("array<int>")
     def traced(a: pa.Array, z: pa.Array, text: pa.Array, own: pa.Array, i: pa.Array, j: pa.Array) -> pa.Array:
@@ -601,27 +608,56 @@ def encode(documents: DataFrame, vocabulary: Vocabulary | None = None, chunk: in
 
     @F.arrow_udf("array<int>")
     def short(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        segmenter = Segmenter(shared.value)
         for texts in batches:
-            yield pa.concat_arrays([encode_batch(segmenter, part) for part in portions(texts)])
+            yield pa.concat_arrays([encode_batch(shared.value.segmenter, part) for part in portions(texts)])
             pa.default_memory_pool().release_unused()
 
-    is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
-    rows = documents.select("doc_id", "text")
-    near = rows.where(~is_long).select("doc_id", short("text").alias("ids"))
-    keyed = rows.where(is_long).select("doc_id", "text", F.sha2("text", 256).alias("key"))
-    far = _long_texts(keyed.select("key", "text"), shared, chunk)
-    return near.unionAll(keyed.select("doc_id", "key").join(far, "key").select("doc_id", "ids"))
+    near, keyed, far = _by_length(documents, shared, chunk)
+    return near.select("doc_id", short("text").alias("ids")).unionAll(keyed.join(far, "key").select("doc_id", "ids"))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
     """All rows and columns and the text that their ids stand for."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary.load())
+    return _decoded(encoded, encoded.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary.load()))
+
+
+def round_trip(documents: DataFrame, vocabulary: Vocabulary | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, ids, text): what decode() gives of encode().
 
+    A column of ids that goes from one Python function to another takes two Python processes for each
+    task, each with its vocabulary. Here the ids of a portion are decoded where they were made.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary.load())
+
+    @F.arrow_udf("struct<ids: array<int>, text: string>")
+    def short(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        raw = pa.array(shared.value.raw, pa.large_binary())
+        for texts in batches:
+            ids = [encode_batch(shared.value.segmenter, part) for part in portions(texts)]
+            back = [decode_batch(shared.value, raw, part) for part in ids]
+            yield pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(back)], ["ids", "text"])
+            del ids, back
+            pa.default_memory_pool().release_unused()
+
+    near, keyed, far = _by_length(documents, shared, chunk)
+    both = near.select("doc_id", short("text").alias("both")).select("doc_id", "both.ids", "both.text")
+    return both.unionAll(_decoded(keyed.join(far, "key").select("doc_id", "ids"), shared))
+
+
+def _by_length(documents: DataFrame, shared, chunk: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, text) of texts of up to ``chunk`` characters, (doc_id, key) of the others, and (key, ids) of these."""
+    is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
+    rows = documents.select("doc_id", "text")
+    keyed = rows.where(is_long).select("doc_id", "text", F.sha2("text", 256).alias("key"))
+    return rows.where(~is_long), keyed.select("doc_id", "key"), _long_texts(keyed.select("key", "text"), shared, chunk)
+
+
+def _decoded(encoded: DataFrame, shared) -> DataFrame:
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         raw = pa.array(shared.value.raw, pa.large_binary())
         for ids in batches:
             yield pa.concat_arrays([decode_batch(shared.value, raw, part) for part in portions(ids)])
+            pa.default_memory_pool().release_unused()
 
     return encoded.withColumn("text", text("ids"))

@@ -42,9 +42,7 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = pieces.Vocabulary.load()
-    back = pieces.decode(pieces.encode(read(spark, sf_dir, "documents"), vocabulary), vocabulary)
-    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"))
+    return pieces.round_trip(read(spark, sf_dir, "documents")).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

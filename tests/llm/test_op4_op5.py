@@ -217,3 +217,23 @@ def test_encode_and_decode_tables(spark, library):
     back = sorted((str(r.doc_id), r.text) for r in pieces.decode(out).collect())
     assert back == sorted((str(i), t or "") for i, t in rows)
     assert pieces.encode(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_round_trip_is_decode_of_encode(spark):
+    long = " ".join(["the", "tion"] * 40)
+    rows = [(1, "hello world"), (2, None), (3, ""), (4, long), (4, long), (None, "x ▁ y"), (5, "z" * 70), (6, "  a\x00 b\nc ")]
+    frame = spark.createDataFrame(rows, DDL)
+    want = pieces.decode(pieces.encode(frame, chunk=64))
+    got = pieces.round_trip(frame, chunk=64)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted((str(i), t or "") for i, t in rows)
+    assert pieces.round_trip(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_words_stay_known_from_task_to_task(spark):
+    """One segmenter serves all tasks of a Python process."""
+    v = pieces.Vocabulary.load()
+    first = v.segmenter
+    pieces.encode_batch(first, pa.array(["hello world"]))
+    assert v.segmenter is first and "▁hello" in first.known

@@ -118,3 +118,22 @@ def test_any_column_names(spark, small):
             assert sorted(docs.columns) == sorted([*plain.columns, *extra])
             assert {tuple(r[c] for c in extra) for r in docs.collect()} == {tuple(extra.values())}
         assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == sorted(r.doc_id for r in plain.select("doc_id").collect())
+
+
+def most_python_nodes(node):
+    """Of Python operators that a task has at once: those on one path without an exchange between."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return most_python_nodes(node.initialPlan())
+    children = node.children()
+    below = [most_python_nodes(children.apply(i)) for i in range(children.size())]
+    here = max((n for n, _ in below), default=0) + any(x in name for x in ("Python", "Pandas", "Arrow"))
+    return (0 if "Exchange" in name else here), max([here, *(m for _, m in below)])
+
+
+@pytest.mark.parametrize("rows", [1, 1000])
+def test_one_python_process_a_task_for_tokens(spark, small, rows):
+    """Ids that were encoded in one process and decoded in another took two vocabularies for each task."""
+    docs = read(spark, small, "documents").limit(rows)
+    out = corpus_pipeline.tokens(spark, docs, small)
+    assert most_python_nodes(out._jdf.queryExecution().executedPlan())[1] == 1
