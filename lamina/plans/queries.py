@@ -9,10 +9,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamina.functions import chords, numeric, packed, strands, words
+from lamina.functions import chords, decoding, numeric, packed, strands, words
 from lamina.operators import layers, mitm, residues, runs, search
 from lamina.operators.ranks import ranked
-from lamina.plans.tables import crossing_orders, ranked_lines, read, simple_orders, states_of, text
+from lamina.plans.tables import crossing_orders, listed_lines, ranked_lines, read, simple_orders, states_of, text
 from lamina.session import materialise
 from lamina.sources import segments, values
 from lamina.sources.values import verdict
@@ -147,9 +147,9 @@ def finished_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decoded_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders put together again from their actions alone: exactly the simple ones come back."""
-    o = crossing_orders(spark, sf_dir).select("l_orderkey", "perm", chords.decode(chords.actions(F.col("perm"))).alias("back"))
-    same = F.coalesce(F.col("back") == F.col("perm"), F.lit(False))
-    return o.select("l_orderkey", F.when(same, text(F.col("back"))).alias("decoded"), same.alias("same"))
+    o = decoding.decoded(listed_lines(spark, sf_dir), "l_orderkey")
+    same = F.col("same") & F.col("l_orderkey").isNotNull()  # the SQL's joins find no order without a key
+    return o.select("l_orderkey", F.when(same, F.col("decoded")).alias("decoded"), same.alias("same"))
 
 
 def closed_open_sets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,16 @@ def ranked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("l_orderkey", (F.row_number().over(by_date) - 1).alias("pos"), (F.row_number().over(by_price) - 1).alias("bridge"))
 
 
+def listed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, pos, bridge) without gathering: an order's lines are rows of one partition, one after another by pos. Nulls rank last, as they do in the queries' SQL."""
+    by = lambda first: [F.asc_nulls_last(c) for c in (first, *LINE)]
+    place = lambda first: F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*by(first))) - 1
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", *LINE)
+    lines = lines.withColumn("bridge", place("l_extendedprice")).withColumn("pos", place("l_shipdate"))
+    # The last window leaves its rows in this order already: the plan has no third sort.
+    return lines.sortWithinPartitions("l_orderkey", *by("l_shipdate")).select("l_orderkey", "pos", "bridge")
+
+
 def crossing_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(l_orderkey, n, perm)."""
     rows = ranked_lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("pos", "bridge"))).alias("r"))
